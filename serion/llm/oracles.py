@@ -1,3 +1,77 @@
 """DuckDB SQL of the numbered operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from serion.llm.chat_format import ACCEPT, TRANSITIONS, Template
+from serion.llm.decontaminate import NEAR_SPAN, WINDOW  # noqa: F401
+from serion.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, RULES, STOP_WORDS
+from serion.llm.queries import HOSTILE_CHAT
+from serion.llm.url_filters import BLOCKED_HOSTS, LOWER_CASE, UPPER
+from serion.llm.url_filters import RULES as URL_RULES
+
+WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER_CASE}')"
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _quality() -> str:
+    kept = ["NOT base_failed"]
+    for r in RULES:
+        ratio = f"(CASE WHEN {r.per} > 0 THEN {r.measure}::DOUBLE / {r.per} ELSE 0.0 END)"
+        kept += [f"{ratio} >= {r.low}"] * (r.low is not None) + [f"{ratio} <= {r.high}"] * (r.high is not None)
+    w = REPEAT_WINDOW
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT k, doc_id, t, regexp_extract_all(t, '{WORD}') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
+win AS (SELECT k, s, hash(w[s:s + {w - 1}]) AS h FROM (SELECT k, w, unnest(range(1, len(w) - {w - 2})) AS s FROM p WHERE len(w) >= {w})),
+rep AS (SELECT k, s FROM (SELECT k, s, count(*) OVER (PARTITION BY k, h) AS c FROM win) WHERE c > 1),
+cov AS (SELECT k, count(DISTINCT s + o) AS n FROM rep, range({w}) r(o) GROUP BY k),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  len(list_filter(w, lambda x: list_contains([{", ".join(map(_quote, sorted(set(STOP_WORDS))))}], lower(x)))) AS n_stop_words
+  FROM p LEFT JOIN cov USING (k)),
+b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ({" AND ".join(kept)}) AS kept FROM b"""
+
+
+def _urls() -> str:
+    rules = sorted(URL_RULES, key=lambda r: -len(r.name))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in rules]
+    rule = " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in zip(fits, rules, strict=True))
+    verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, rules, strict=True))
+    listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER_CASE}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  CASE {verdict} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM s"""
+
+
+def _chats() -> str:
+    t, (conv, said) = Template(), HOSTILE_CHAT
+    state = " ".join(f"WHEN a = '{a}' AND r = '{r}' THEN '{b}'" for (a, r), b in TRANSITIONS.items())
+    loss = f"list_filter(turns, lambda x: x.role IN ({', '.join(map(_quote, t.loss_roles))}))"
+    marks = len(t.open + t.mid + t.close)
+    return rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES ({conv}, 0, 'user', {_quote(said)}), ({conv}, 1, 'assistant', {_quote(said)})),
+g AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns,
+  sum({marks} + length(role) + len(regexp_extract_all(role, '[\\<#:]')) + length(text) + len(regexp_extract_all(text, '[\\<#]'))) AS n FROM c GROUP BY conv_id),
+o AS (SELECT *, array_to_string(list_transform({loss}, lambda x: x.text), '') AS loss,
+  list_reduce(list_transform(turns, lambda x: x.role), lambda a, r: CASE {state} ELSE 'error' END, 'start') AS state FROM g)
+SELECT conv_id, len(turns)::BIGINT AS n_turns,
+  sha256(array_to_string(list_transform(turns, lambda x: x.role || chr(10) || x.text || chr(10)), '')) AS turns_sha256,
+  length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars, state IN ({", ".join(map(_quote, ACCEPT))}) AS valid FROM o"""
+
+
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": _quality(),
+    "op6_url_filters": _urls(),
+    "op9_chat_format": _chats(),
+}
