@@ -1 +1,339 @@
-"""Operator 3."""
+"""Operator 3: exact Jaccard join of word n-gram sets by parity sketches.
+
+Method. Each distinct shingle of a text flips one bit of a wide bit sketch, so
+the Hamming distance of two sketches never exceeds the symmetric difference of
+the sets. Texts are put into bands by set size; a band fixes the largest
+symmetric difference D that a link can have, and the sketch is cut into more than
+D blocks, so linked texts agree in some block (pigeonhole). A block is never
+materialised: its key is the XOR of a 64-bit code of each bit that is flipped an
+odd number of times. Texts that meet in a block are candidates; every link that
+counts is verified on the whole sets.
+
+Blocks of at most one shingle tell little and would gather many texts. A band
+therefore has E blocks more than the pigeonhole needs, so linked texts agree in
+E + 1 blocks: a text that has E poor blocks at most leaves them out and is still
+found by another block. If both texts have more and agree in poor blocks only,
+then of a text's E + x poor blocks fewer than x disagree, so the first two that
+agree are among its first x + 1, and pairs of these are its further keys. Bands of
+small sets use pairs of blocks throughout. So nothing is capped and no link is lost.
+
+Only connected components are asked for, so the pairs of a block need not all be
+tried: first every member is verified against the block's most central member,
+components are formed, and only members of different components that share a
+block are tried further: all of them, or, while those are many, against one more
+pivot of another component.
+
+Texts with equal sets are one vertex, named by a 64-bit digest of the set, so
+copies never become pairs. (With n distinct texts the chance that any two digests
+agree is about n * n / 2**65.)
+
+Defined cases: a null or empty text has no shingle and is linked with nothing; a
+text shorter than a shingle is one shingle; repeated rows are in one component; a
+row with a null id is in the component of the rows of the same set, and links of
+a set that has null ids only are not searched; a component's id is its smallest.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from serion.llm.storage import Scratch
+from serion.llm.words import SPACE, mix, slices, words
+
+#: Ratio of the bounds of a size band.
+BAND_RATIO = 1.15
+#: Bands of at most this difference use pairs of blocks.
+SMALL_DIFFERENCE = 6
+#: A block of at most this many shingles is poor.
+POOR = 1
+#: Rows of (key, pivot) up to which a table is broadcast (about 24 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Further pivots are tried while all pairs across components would be more than this many times the members, up to so many rounds.
+PAIRS_PER_MEMBER, PIVOT_ROUNDS = 8, 4
+
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Band(NamedTuple):
+    number: int
+    low: int
+    high: int
+    reach: int  # largest size of a partner
+    blocks: int
+    spare: int  # blocks beyond the pigeonhole's need; -1: pairs of blocks; -2: only equal sets can be linked
+
+
+def _poor_share(mean: float) -> float:
+    return math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(POOR + 1))
+
+
+def _spare(low: int, most: int) -> int:
+    """Blocks to add so that a text of a band gives the fewest keys in expectation."""
+
+    def cost(spare: int) -> float:
+        blocks = most + 1 + spare
+        share = _poor_share(low / blocks)
+        poor, sigma = blocks * share, math.sqrt(blocks * share * (1 - share))
+        excess = [max(0.0, poor + z * sigma - spare) for z in (-1.5, -0.5, 0.5, 1.5)]
+        return blocks - poor + sum(x * (x + 1) / 2 for x in excess) / len(excess)
+
+    return min(range(1, most + 2, max(1, most // 100)), key=cost)
+
+
+@lru_cache(maxsize=8)
+def bands(percent: int, largest: int = 1 << 31) -> list[Band]:
+    """Size bands for links of at least ``percent`` of the union."""
+    out, low = [], 1
+    while low <= largest:
+        high = max(low, math.ceil(low * BAND_RATIO) - 1)
+        reach = high * 100 // percent
+        most = (high + reach) * (100 - percent) // (100 + percent)
+        if most == 0:
+            blocks, spare = 0, -2
+        elif most <= SMALL_DIFFERENCE:
+            blocks, spare = most + 2, -1
+        else:
+            spare = _spare(low, most)
+            blocks = most + 1 + spare
+        out.append(Band(len(out), low, high, reach, blocks, spare))
+        low = high + 1
+    return out
+
+
+def _shingles(at: np.ndarray, data: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct shingle hashes of each row of a slice, and the rows' word counts."""
+    w = words(at, data, SPACE)
+    n = np.diff(w.bounds)
+    h = np.zeros(max(0, len(w.hash) - size + 1), np.uint64)
+    for k in range(size):
+        h = h * _GOLD + w.hash[k : len(w.hash) - size + 1 + k]
+    h = mix(h)
+    out = []
+    for a, z in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+        if z - a >= size:
+            out.append(np.unique(h[a : z - size + 1]))
+        elif z > a:
+            one = np.full(1, z - a, np.uint64)
+            for x in w.hash[a:z]:
+                one = one * _GOLD + x
+            out.append(mix(one ^ _GOLD))
+        else:
+            out.append(h[:0])
+    return out, n
+
+
+def _digest(h: np.ndarray) -> int:
+    """64 bits for a set."""
+    a, b = np.bitwise_xor.reduce(mix(h ^ np.uint64(0x5851F42D4C957F2D))), np.add.reduce(mix(h + _GOLD))
+    return int(mix(np.array([a, len(h)], np.uint64) + mix(np.array([b], np.uint64)))[0].view(np.int64))
+
+
+def _keys(h: np.ndarray, percent: int) -> np.ndarray:
+    """Block keys of a sorted set of hashes, over all bands it takes part in."""
+    every, n, out = bands(percent), len(h), []
+    k = _band_of(percent, n)
+    flips = mix((h & np.uint64(0xFFFFFFFF)) ^ _GOLD)
+    place = h >> np.uint64(32)
+    while k >= 0 and n <= every[k].reach:
+        band = every[k]
+        k -= 1
+        if band.spare == -2:
+            continue
+        block = (place * np.uint64(band.blocks)) >> np.uint64(32)
+        counts = np.bincount(block.astype(np.int64), minlength=band.blocks)
+        value = np.zeros(band.blocks, np.uint64)
+        there = np.flatnonzero(counts)
+        value[there] = np.bitwise_xor.reduceat(flips, (np.cumsum(counts) - counts)[there])
+        value = mix(value + (np.arange(band.blocks, dtype=np.uint64) + np.uint64(band.number << 32)) * _GOLD)
+        if band.spare == -1:
+            out.append(_paired(value))
+            continue
+        poor = counts <= POOR
+        out.append(value[~poor])
+        excess = int(poor.sum()) - band.spare
+        if excess > 0:
+            out.append(_paired(value[poor][: excess + 1]))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _paired(value: np.ndarray) -> np.ndarray:
+    a, b = np.triu_indices(len(value), 1)
+    return mix(value[a] * _GOLD + value[b])
+
+
+@lru_cache(maxsize=8)
+def _lows(percent: int) -> np.ndarray:
+    return np.array([b.low for b in bands(percent)])
+
+
+def _band_of(percent: int, n: int) -> int:
+    return int(np.searchsorted(_lows(percent), n, "right")) - 1
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(id, n, vertex, keys) per row."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, end, at, data in slices(b.column(1)):
+                sets, _ = _shingles(at, data, shingle)
+                keys = [_keys(h, percent) for h in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([len(h) for h in sets], pa.int64()), pa.array([_digest(h) for h in sets], pa.int64()), lists], ["id", "n", "vertex", "keys"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n long, vertex long, keys array<long>")
+
+
+def sets_of(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(vertex, hashes) per row."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, at, data in slices(b.column(0)):
+                sets, _ = _shingles(at, data, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["vertex", "hashes"])
+
+    return df.select(F.col(text_col).alias("text")).mapInArrow(task, "vertex long, hashes array<long>")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marks a stored table for broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def linked(a: Column, b: Column, percent: int) -> Column:
+    """The join's condition on two arrays of hashes."""
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(100 * small < percent * large, F.lit(False)).otherwise(100 * shared >= percent * (F.size(a) + F.size(b) - shared))
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(vertex, label): the smallest vertex that each vertex reaches; edges: a stored table (a, b)."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    now = scratch.save("labels", both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("label")))
+    k = 0
+    while True:
+        k += 1
+        label = now.select(F.col("vertex").alias("b"), F.col("label").alias("of_b"))
+        near = both.join(label, "b").groupBy(F.col("a").alias("vertex")).agg(F.min("of_b").alias("near"))
+        hooked = now.join(near, "vertex").select("vertex", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # a label's own label is never larger
+        jump = now.select(F.col("vertex").alias("label"), F.col("label").alias("of_label"))
+        after = hooked.join(jump, "label").select("vertex", "old", F.least("label", "of_label").alias("label"))
+        after = scratch.save(f"labels{k}", after)
+        scratch.drop(f"labels{k - 1}" if k > 1 else "labels")
+        now = after.select("vertex", "label")
+        if after.where("old != label").isEmpty():
+            return now
+
+
+def join_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
+    """(id_col, n_shingles, component_id) per row of df."""
+    scratch = Scratch(df.sparkSession, "jaccard")
+    made = scratch.save("sketches", sketches(df, id_col, text_col, shingle, percent))
+    labels = _labels(scratch, df, made, id_col, text_col, shingle, percent)
+    rows = made.select("id", "n", "vertex")
+    if labels is not None:
+        rows = rows.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    else:
+        rows = rows.withColumn("label", F.col("vertex"))
+    rows = scratch.save("rows", rows.select("id", "n", "label"))
+    scratch.drop("sketches")
+    first = rows.where("n > 0").groupBy("label").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("label", "first")
+    out = rows.join(first, "label", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _labels(scratch: Scratch, df: DataFrame, made: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame | None:
+    """(vertex, label) of all vertices that have a link; None if none has."""
+    # of copies, one row gives keys
+    copies = made.groupBy("vertex").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("vertex", "first")
+    copies = scratch.save("copies", copies)
+    others = made.join(_small(copies), "vertex").where(~F.col("id").eqNullSafe(F.col("first"))).select("id").distinct()
+    others = scratch.save("others", others)
+    keyed = made.where("id IS NOT NULL").join(_small(others), "id", "left_anti").select(F.explode("keys").alias("key"), "vertex")
+    met = scratch.save("met", keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = scratch.save("members", keyed.join(_small(met), "key").select("key", "vertex", "size").distinct())
+    vertices = scratch.save("vertices", members.select("vertex").distinct())
+    first = made.select("id", "vertex").join(_small(vertices), "vertex", "left_semi").groupBy("vertex").agg(F.min("id").alias("id"))
+    first = scratch.save("first", first.select(F.col("id").alias(id_col)).distinct())
+    texts = df.select(id_col, text_col).join(_small(first), id_col, "left_semi")
+    sets = scratch.save("sets", sets_of(texts, id_col, text_col, shingle).dropDuplicates(["vertex"]))
+    for name in ("copies", "others", "met", "vertices", "first"):
+        scratch.drop(name)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("vertex").alias("a"), F.col("hashes").alias("of_a"))
+        right = sets.select(F.col("vertex").alias("b"), F.col("hashes").alias("of_b"))
+        both = pairs.join(left, "a").join(right, "b")
+        return both.where(linked(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
+
+    # the member that meets most others over all its blocks is a block's first pivot
+    central = members.groupBy("vertex").agg(F.sum("size").alias("score"))
+    members = scratch.save("scored", members.join(central, "vertex").select("key", "vertex", "score"))
+    scratch.drop("members")
+    pivots = members.groupBy("key").agg(F.max(F.struct("score", "vertex")).alias("p")).select("key", F.col("p.vertex").alias("b"))
+    pairs = members.join(pivots, "key").where("vertex != b").select(F.col("vertex").alias("a"), "b").distinct()
+    edges = scratch.save("edges", verified(pairs))
+    labels, k, last = None, 0, False
+    while True:
+        if not edges.isEmpty():
+            labels = scratch.save(f"component{k}", components(scratch, edges))
+        scratch.drop(f"edges{k - 1}" if k else "edges")
+        if last:
+            return labels
+        at = members.select("key", "vertex", "score")
+        if labels is None:
+            at = at.withColumn("label", F.col("vertex"))
+        else:
+            at = at.join(labels, "vertex", "left").select("key", "vertex", "score", F.coalesce("label", "vertex").alias("label"))
+        # blocks that still hold several components
+        open_ = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+        members = scratch.save(f"open{k}", at.join(open_, "key"))
+        scratch.drop(f"open{k - 1}" if k else "scored")
+        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        rows, across = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
+        if not rows:
+            return labels
+        last = across <= PAIRS_PER_MEMBER * rows or k >= PIVOT_ROUNDS
+        if last:
+            one = members.select("key", F.col("vertex").alias("a"), F.col("label").alias("la"))
+            two = members.select("key", F.col("vertex").alias("b"), F.col("label").alias("lb"))
+            pairs = one.join(two, "key").where("la < lb").select("a", "b").distinct()
+        else:
+            # a pivot of another component in each round
+            order = F.struct(F.xxhash64("label", F.lit(k)).alias("tie"), "score", "vertex", "label")
+            pivots = members.groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.vertex").alias("b"), F.col("p.label").alias("of_pivot"))
+            pairs = members.join(pivots, "key").where("label != of_pivot").select(F.col("vertex").alias("a"), "b").distinct()
+        found = verified(pairs)
+        star = found if labels is None else labels.where("vertex != label").select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(found)
+        edges = scratch.save(f"edges{k}", star)
+        k += 1
+
+
+def keep_representatives(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns: of each component the one row of its smallest id; rows without words all stay.
+
+    Where several rows share that id, one of them stays.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    found = join_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+    lost = scratch.save("lost", found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    repeated = scratch.save("repeated", docs.groupBy(id_col).count().where("count > 1").select(id_col))
+    kept = docs.join(_small(lost), id_col, "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(_small(repeated), id_col, "left_anti").select(docs.columns)
+    several = kept.join(_small(repeated), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    return single.union(several)

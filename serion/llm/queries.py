@@ -99,3 +99,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_url_filters": op6_url_filters, "op9_chat_format": op9_chat_format}
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles share 85 percent of their union."""
+    from serion.llm.jaccard_join import join_components
+
+    return join_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+QUERIES["op3_jaccard_join"] = op3_jaccard_join
