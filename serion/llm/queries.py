@@ -119,3 +119,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_html_extraction"] = op1_html_extraction
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a hidden Markov model and under the token counts."""
+    from serion.llm.lm_scoring import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_lm_scoring"] = op10_lm_scoring
