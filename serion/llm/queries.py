@@ -129,3 +129,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_lm_scoring"] = op10_lm_scoring
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every document; kept: selected for training."""
+    from serion.llm.quality_classifier import grade, learn, with_grade
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    got = with_grade(docs, learn(docs, labels), out="g")
+    g = F.col("g")
+    return got.select("doc_id", g["expected_grade"].alias("expected_grade"), F.element_at(g["tails"], 1).alias("p_not_toxic"), F.element_at(g["tails"], 2).alias("p_good"), g["selected"].alias("kept"))
+
+
+QUERIES["op7_quality_classifier"] = op7_quality_classifier
