@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from serion.plans import series_queries, zero_queries
+from serion.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
-Query = Callable[[SparkSession, str], DataFrame]
+flagship = zero_queries.zeros_and_events
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+assert series_queries.event_gaps.__name__ in QUERIES
