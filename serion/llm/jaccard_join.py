@@ -17,11 +17,17 @@ then of a text's E + x poor blocks fewer than x disagree, so the first two that
 agree are among its first x + 1, and pairs of these are its further keys. Bands of
 small sets use pairs of blocks throughout. So nothing is capped and no link is lost.
 
+Passages that many texts share would make blocks agree without a link. Shingles
+that are frequent in a sample (any choice is correct) count as hot. The sets
+without their hot shingles differ by D at most, too, so a text is keyed by its
+cold shingles alone if it has enough of them, by all if most are hot, and both
+ways in between, with a margin that no link can jump.
+
 Only connected components are asked for, so the pairs of a block need not all be
-tried: first every member is verified against the block's most central member,
-components are formed, and only members of different components that share a
-block are tried further: all of them, or, while those are many, against one more
-pivot of another component.
+tried: first every member is verified against the block's most central member and
+components are formed. Of members of different components that still share a
+block, a pair becomes a row only if sizes and the Hamming distance of two sketches
+(of hot and of cold shingles) allow a link; such pairs are verified.
 
 Texts with equal sets are one vertex, named by a 64-bit digest of the set, so
 copies never become pairs. (With n distinct texts the chance that any two digests
@@ -56,8 +62,12 @@ SMALL_DIFFERENCE = 6
 POOR = 1
 #: Rows of (key, pivot) up to which a table is broadcast (about 24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Further pivots are tried while all pairs across components would be more than this many times the members, up to so many rounds.
-PAIRS_PER_MEMBER, PIVOT_ROUNDS = 8, 4
+#: Texts of the sample that tells hot shingles, at least; its share of all texts, at least; sample texts that have a hot shingle, at least.
+HOT_SAMPLE, HOT_SHARE, HOT_TEXTS = 5000, 1 / 128, 10
+#: Hot shingles that are kept (8 bytes each, broadcast), the most frequent ones.
+HOT_SHINGLES = 200_000
+#: Words of 64 bits of the sketches of cold and of hot shingles.
+COLD_WORDS, HOT_WORDS = 8, 4
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,9 +146,9 @@ def _digest(h: np.ndarray) -> int:
     return int(mix(np.array([a, len(h)], np.uint64) + mix(np.array([b], np.uint64)))[0].view(np.int64))
 
 
-def _keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Block keys of a sorted set of hashes, over all bands it takes part in."""
-    every, n, out = bands(percent), len(h), []
+def _keys(h: np.ndarray, n: int, percent: int, tag: int) -> list[np.ndarray]:
+    """Block keys of sorted hashes, over all bands that a set of size n takes part in; h: the set or its cold part."""
+    every, out = bands(percent), []
     k = _band_of(percent, n)
     flips = mix((h & np.uint64(0xFFFFFFFF)) ^ _GOLD)
     place = h >> np.uint64(32)
@@ -151,8 +161,9 @@ def _keys(h: np.ndarray, percent: int) -> np.ndarray:
         counts = np.bincount(block.astype(np.int64), minlength=band.blocks)
         value = np.zeros(band.blocks, np.uint64)
         there = np.flatnonzero(counts)
-        value[there] = np.bitwise_xor.reduceat(flips, (np.cumsum(counts) - counts)[there])
-        value = mix(value + (np.arange(band.blocks, dtype=np.uint64) + np.uint64(band.number << 32)) * _GOLD)
+        if len(there):
+            value[there] = np.bitwise_xor.reduceat(flips, (np.cumsum(counts) - counts)[there])
+        value = mix(value + (np.arange(band.blocks, dtype=np.uint64) + np.uint64((2 * band.number + tag) << 32)) * _GOLD)
         if band.spare == -1:
             out.append(_paired(value))
             continue
@@ -161,9 +172,35 @@ def _keys(h: np.ndarray, percent: int) -> np.ndarray:
         excess = int(poor.sum()) - band.spare
         if excess > 0:
             out.append(_paired(value[poor][: excess + 1]))
+    return out
+
+
+def keys_of(h: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
+    """All block keys of a sorted set of hashes; hot: which of them are hot."""
+    n, cold = len(h), len(h) - int(hot.sum())
+    margin = 1.5 * (100 - percent) / (100 + percent)
+    out = []
+    if cold >= n * (0.5 - margin):
+        out += _keys(h[~hot], n, percent, 1)
+    if cold <= n * (0.5 + margin):
+        out += _keys(h, n, percent, 0)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def _parity(h: np.ndarray, words64: int) -> np.ndarray:
+    """Parity sketch of a set: one bit flips per hash."""
+    bits = np.bincount((mix(h) & np.uint64(64 * words64 - 1)).astype(np.int64), minlength=64 * words64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(h), bool)
+    at = np.searchsorted(hot, h)
+    at[at == len(hot)] = 0
+    return hot[at] == h
+
+
 def _paired(value: np.ndarray) -> np.ndarray:
     a, b = np.triu_indices(len(value), 1)
     return mix(value[a] * _GOLD + value[b])
@@ -178,20 +215,41 @@ def _band_of(percent: int, n: int) -> int:
     return int(np.searchsorted(_lows(percent), n, "right")) - 1
 
 
+def hot_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many sampled texts have."""
+    share = min(1.0, max(HOT_SAMPLE / max(df.count(), 1), HOT_SHARE))
+    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 24)) < int(share * (1 << 24))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, at, data in slices(b.column(0)):
+                sets, _ = _shingles(at, data, shingle)
+                h, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counted = df.where(drawn).select(F.col(text_col).alias("text")).mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TEXTS)
+    return np.sort(counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(id, n, vertex, keys) per row."""
+    """(id, n, vertex, keys, cold, sketch) per row; cold: number of cold shingles."""
+    shared = df.sparkSession.sparkContext.broadcast(hot_shingles(df, id_col, text_col, shingle))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, at, data in slices(b.column(1)):
                 sets, _ = _shingles(at, data, shingle)
-                keys = [_keys(h, percent) for h in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([len(h) for h in sets], pa.int64()), pa.array([_digest(h) for h in sets], pa.int64()), lists], ["id", "n", "vertex", "keys"])
+                hot = [_is_hot(h, shared.value) for h in sets]
+                keys = [keys_of(h, x, percent) for h, x in zip(sets, hot, strict=True)]
+                marks = [np.concatenate([_parity(h[~x], COLD_WORDS), _parity(h[x], HOT_WORDS)]) for h, x in zip(sets, hot, strict=True)]
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in x])]), pa.int32()), pa.array(np.concatenate(x)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, end - first), pa.array([len(h) for h in sets], pa.int64()), pa.array([_digest(h) for h in sets], pa.int64()), lists(keys), pa.array([len(x) - int(x.sum()) for x in hot], pa.int64()), lists(marks)],
+                    ["id", "n", "vertex", "keys", "cold", "sketch"],
+                )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n long, vertex long, keys array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n long, vertex long, keys array<long>, cold long, sketch array<long>")
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -218,10 +276,10 @@ def linked(a: Column, b: Column, percent: int) -> Column:
     return F.when(100 * small < percent * large, F.lit(False)).otherwise(100 * shared >= percent * (F.size(a) + F.size(b) - shared))
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, name: str, edges: DataFrame) -> DataFrame:
     """(vertex, label): the smallest vertex that each vertex reaches; edges: a stored table (a, b)."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    now = scratch.save("labels", both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("label")))
+    now = scratch.save(name, both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("label")))
     k = 0
     while True:
         k += 1
@@ -231,8 +289,8 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         # a label's own label is never larger
         jump = now.select(F.col("vertex").alias("label"), F.col("label").alias("of_label"))
         after = hooked.join(jump, "label").select("vertex", "old", F.least("label", "of_label").alias("label"))
-        after = scratch.save(f"labels{k}", after)
-        scratch.drop(f"labels{k - 1}" if k > 1 else "labels")
+        after = scratch.save(f"{name}{k}", after)
+        scratch.drop(f"{name}{k - 1}" if k > 1 else name)
         now = after.select("vertex", "label")
         if after.where("old != label").isEmpty():
             return now
@@ -265,12 +323,12 @@ def _labels(scratch: Scratch, df: DataFrame, made: DataFrame, id_col: str, text_
     keyed = made.where("id IS NOT NULL").join(_small(others), "id", "left_anti").select(F.explode("keys").alias("key"), "vertex")
     met = scratch.save("met", keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     members = scratch.save("members", keyed.join(_small(met), "key").select("key", "vertex", "size").distinct())
-    vertices = scratch.save("vertices", members.select("vertex").distinct())
-    first = made.select("id", "vertex").join(_small(vertices), "vertex", "left_semi").groupBy("vertex").agg(F.min("id").alias("id"))
+    met_vertices = scratch.save("met_vertices", members.select("vertex").distinct())
+    first = made.select("id", "vertex").join(_small(met_vertices), "vertex", "left_semi").groupBy("vertex").agg(F.min("id").alias("id"))
     first = scratch.save("first", first.select(F.col("id").alias(id_col)).distinct())
     texts = df.select(id_col, text_col).join(_small(first), id_col, "left_semi")
     sets = scratch.save("sets", sets_of(texts, id_col, text_col, shingle).dropDuplicates(["vertex"]))
-    for name in ("copies", "others", "met", "vertices", "first"):
+    for name in ("copies", "others", "met", "first"):
         scratch.drop(name)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -281,45 +339,41 @@ def _labels(scratch: Scratch, df: DataFrame, made: DataFrame, id_col: str, text_
 
     # the member that meets most others over all its blocks is a block's first pivot
     central = members.groupBy("vertex").agg(F.sum("size").alias("score"))
-    members = scratch.save("scored", members.join(central, "vertex").select("key", "vertex", "score"))
-    scratch.drop("members")
-    pivots = members.groupBy("key").agg(F.max(F.struct("score", "vertex")).alias("p")).select("key", F.col("p.vertex").alias("b"))
+    pivots = members.join(central, "vertex").groupBy("key").agg(F.max(F.struct("score", "vertex")).alias("p")).select("key", F.col("p.vertex").alias("b"))
     pairs = members.join(pivots, "key").where("vertex != b").select(F.col("vertex").alias("a"), "b").distinct()
     edges = scratch.save("edges", verified(pairs))
-    labels, k, last = None, 0, False
-    while True:
-        if not edges.isEmpty():
-            labels = scratch.save(f"component{k}", components(scratch, edges))
-        scratch.drop(f"edges{k - 1}" if k else "edges")
-        if last:
-            return labels
-        at = members.select("key", "vertex", "score")
-        if labels is None:
-            at = at.withColumn("label", F.col("vertex"))
-        else:
-            at = at.join(labels, "vertex", "left").select("key", "vertex", "score", F.coalesce("label", "vertex").alias("label"))
-        # blocks that still hold several components
-        open_ = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        members = scratch.save(f"open{k}", at.join(open_, "key"))
-        scratch.drop(f"open{k - 1}" if k else "scored")
-        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        rows, across = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
-        if not rows:
-            return labels
-        last = across <= PAIRS_PER_MEMBER * rows or k >= PIVOT_ROUNDS
-        if last:
-            one = members.select("key", F.col("vertex").alias("a"), F.col("label").alias("la"))
-            two = members.select("key", F.col("vertex").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(two, "key").where("la < lb").select("a", "b").distinct()
-        else:
-            # a pivot of another component in each round
-            order = F.struct(F.xxhash64("label", F.lit(k)).alias("tie"), "score", "vertex", "label")
-            pivots = members.groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.vertex").alias("b"), F.col("p.label").alias("of_pivot"))
-            pairs = members.join(pivots, "key").where("label != of_pivot").select(F.col("vertex").alias("a"), "b").distinct()
-        found = verified(pairs)
-        star = found if labels is None else labels.where("vertex != label").select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(found)
-        edges = scratch.save(f"edges{k}", star)
-        k += 1
+    labels = None if edges.isEmpty() else components(scratch, "first", edges)
+    at = members.select("key", "vertex")
+    if labels is None:
+        at = at.withColumn("label", F.col("vertex"))
+    else:
+        at = at.join(labels, "vertex", "left").select("key", "vertex", F.coalesce("label", "vertex").alias("label"))
+    # blocks that still hold several components
+    open_ = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    marks = made.join(_small(met_vertices), "vertex", "left_semi").groupBy("vertex").agg(F.first("n").alias("n"), F.first("cold").alias("cold"), F.first("sketch").alias("sketch"))
+    rows = at.join(open_, "key").join(marks, "vertex")
+    rows = scratch.save("open", rows.select("key", "vertex", "label", "n", "cold", *[F.col("sketch")[k].alias(f"s{k}") for k in range(COLD_WORDS + HOT_WORDS)]))
+    if rows.isEmpty():
+        return labels
+    one = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "key"])
+    two = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "key"])
+    pairs = one.join(two, (one["key"] == two["key"]) & _may_link(percent)).select(F.col("a_vertex").alias("a"), F.col("b_vertex").alias("b")).distinct()
+    more = scratch.save("more", verified(pairs))
+    if more.isEmpty():
+        return labels
+    if labels is not None:
+        more = scratch.save("all", labels.where("vertex != label").select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(more))
+    return components(scratch, "second", more)
+
+
+def _may_link(percent: int) -> Column:
+    """What a pair of different components must fulfil before its sets are looked at."""
+    a, b = F.col("a_n"), F.col("b_n")
+    most = F.floor((100 - percent) * (a + b) / (100 + percent))
+    away = F.lit(0)
+    for k in range(COLD_WORDS + HOT_WORDS):
+        away = away + F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}")))
+    return (F.col("a_label") < F.col("b_label")) & (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.abs(F.col("a_cold") - F.col("b_cold")) <= most) & (away <= most)
 
 
 def keep_representatives(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

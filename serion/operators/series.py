@@ -21,7 +21,8 @@ def _chunk(df: DataFrame, order: str) -> tuple[Column, int]:
     n = max(1, min(MAX_CHUNKS, -(-df.count() // CHUNK_ROWS)))
     if n == 1:
         return F.lit(0), 1
-    cuts = sorted(set(df.approxQuantile(order, [k / n for k in range(1, n)], 0.2 / n)))
+    found = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n).alias("cuts")).first().cuts
+    cuts = sorted(set(found or []))
     borders = F.array(*[F.lit(c) for c in cuts])
     return F.size(F.filter(borders, lambda c: c <= F.col(order))), len(cuts) + 1
 

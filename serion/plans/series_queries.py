@@ -233,13 +233,22 @@ def parse_numbers(spark, sf_dir):
     return t.withColumn("s", s).select("event_id", "token", F.col("s.re").alias("re"), F.col("s.im").alias("im"), parse.number_kind(F.col("s")).alias("kind"))
 
 
-@query("SELECT n_name, sensor FROM (SELECT n_name, round(coalesce(CASE WHEN a > 0 THEN a END, CASE WHEN b > 0 THEN b END, CASE WHEN c > 0 THEN c END), 4) AS sensor FROM (SELECT n_name, avg(CASE WHEN s_suppkey % 3 = 0 AND s_acctbal > 0 THEN s_acctbal END) AS a, avg(CASE WHEN s_suppkey % 3 = 1 AND s_acctbal > 0 THEN s_acctbal END) AS b, max(CASE WHEN s_suppkey % 3 = 2 THEN s_acctbal / 1000 END) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1))")
+@query("""
+WITH s AS (SELECT n_name, s_suppkey % 3 AS g, s_acctbal AS v, s_acctbal::DECIMAL(12,2) AS d FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m AS (SELECT n_name, (sum(d) FILTER (WHERE g = 0 AND v > 0))::DOUBLE / count(*) FILTER (WHERE g = 0 AND v > 0) AS a,
+  (sum(d) FILTER (WHERE g = 1 AND v > 0))::DOUBLE / count(*) FILTER (WHERE g = 1 AND v > 0) AS b, max(v / 1000) FILTER (WHERE g = 2) AS c FROM s GROUP BY 1)
+SELECT n_name, coalesce(a, b, CASE WHEN c > 0 THEN c END) AS sensor FROM m""")
 def priority_sensor(spark, sf_dir):
     """Per place: mean of the positive readings of the first group that has any, else of the second, else the scaled maximum."""
     s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     group, v = F.col("s_suppkey") % 3, F.col("s_acctbal")
-    means = s.groupBy("n_name").agg(F.avg(F.when((group == 0) & (v > 0), v)).alias("a"), F.avg(F.when((group == 1) & (v > 0), v)).alias("b"), F.max(F.when(group == 2, classify.degrees(v))).alias("c"))
-    return means.select("n_name", F.round(classify.first_present(F.col("a"), F.col("b"), F.col("c")), 4).alias("sensor"))
+
+    def mean(k: int):
+        there = (group == k) & (v > 0)
+        return F.sum(F.when(there, v.cast("decimal(12,2)"))).cast("double") / F.nullif(F.count_if(there), F.lit(0))
+
+    means = s.groupBy("n_name").agg(mean(0).alias("a"), mean(1).alias("b"), F.max(F.when(group == 2, classify.degrees(v))).alias("c"))
+    return means.select("n_name", classify.first_present(F.col("a"), F.col("b"), F.col("c")).alias("sensor"))
 
 
 @query("SELECT event_id, round(value / 1e9, 15) AS gb, round(value / 1000, 6) AS degrees, round(90 - value / 100 * 360, 6) AS angle FROM events")
