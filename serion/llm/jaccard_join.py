@@ -322,7 +322,7 @@ def _labels(scratch: Scratch, df: DataFrame, made: DataFrame, id_col: str, text_
     others = scratch.save("others", others)
     keyed = made.where("id IS NOT NULL").join(_small(others), "id", "left_anti").select(F.explode("keys").alias("key"), "vertex")
     met = scratch.save("met", keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = scratch.save("members", keyed.join(_small(met), "key").select("key", "vertex", "size").distinct())
+    members = scratch.save("members", keyed.join(met, "key").select("key", "vertex", "size").distinct())
     met_vertices = scratch.save("met_vertices", members.select("vertex").distinct())
     first = made.select("id", "vertex").join(_small(met_vertices), "vertex", "left_semi").groupBy("vertex").agg(F.min("id").alias("id"))
     first = scratch.save("first", first.select(F.col("id").alias(id_col)).distinct())
