@@ -48,6 +48,8 @@ RULES = (
     Rule("repeated lines", "n_dup_lines", "n_lines", None, 0.5),
 )
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -65,7 +67,7 @@ def _repeat_words(n: Column, words: Column) -> Column:
 
     # starts of repeated windows: sort (hash, start), keep those equal to a neighbour
     def starts(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def kept(sorted_pairs: Column) -> Column:
             m = F.size(sorted_pairs)
@@ -76,7 +78,7 @@ def _repeat_words(n: Column, words: Column) -> Column:
                 after = (i + 1 < m) & (F.element_at(sorted_pairs, F.least(i + 2, m))["h"] == here)
                 return before | after
 
-            return F.array_sort(F.transform(F.filter(sorted_pairs, lambda x, i: same(i)), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(sorted_pairs, lambda x, i: same(i)), lambda x: x["i"]))
 
         return _let(pairs, kept)
 
@@ -101,9 +103,8 @@ def measures(text: Column) -> Column:
     """One struct of all measures of a text."""
     text = F.coalesce(text, F.lit(""))
 
-    def of_words(w: Column) -> Column:
+    def of_words(w: Column, lines: Column) -> Column:
         n = F.size(w)
-        lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
             n.cast("long").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -114,7 +115,8 @@ def measures(text: Column) -> Column:
             F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
         )
 
-    return _let(_words(text), of_words)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return _let(_words(text), lambda w: _let(lines, lambda x: of_words(w, x)))
 
 
 def base_failed(m: Column) -> Column:
@@ -135,9 +137,9 @@ def compile_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def with_quality(df: DataFrame, *, text_col: str = "text", out: str = "quality") -> DataFrame:
     """df and a struct column ``out``: the measures, base_failed and kept."""
-    measured = df.withColumn(out, measures(F.col(text_col)))
-    m = F.col(out)
-    return measured.withColumn(out, m.withField("base_failed", base_failed(m)).withField("kept", ~base_failed(m) & compile_rules(m)))
+    # one expression from text to verdict: a filter on it, pushed to the scan, measures each text once
+    judged = _let(measures(F.col(text_col)), lambda m: F.struct(*[m[n].alias(n) for n in MEASURES], base_failed(m).alias("base_failed"), (~base_failed(m) & compile_rules(m)).alias("kept")))
+    return df.withColumn(out, judged)
 
 
 def keep_good(df: DataFrame, *, text_col: str = "text") -> DataFrame:
