@@ -25,6 +25,9 @@ STOP_WORDS = (
     "de la el y en que los se del las un por con no una su para es al lo como"
 ).split()
 
+#: Marks that may stand around a stop word.
+MARKS = ".,;:!?()'\"«»„“”"
+
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
@@ -112,7 +115,7 @@ def measures(text: Column) -> Column:
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             _repeat_words(n, w).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda x: F.trim(F.lower(x), F.lit(MARKS)).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
         )
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -236,6 +236,12 @@ def test_quality(spark, docs, none):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_stop_words_with_marks(spark):
+    rows = [(1, "zork blim. " * 2 + " ".join(f"word{i}" for i in range(20)) + " (The."), (2, " ".join(f"word{i}" for i in range(24)))]
+    got = {r.doc_id: r.quality for r in quality_rules.with_quality(_docs(spark, rows)).collect()}
+    assert (got[1].n_stop_words, got[1].kept, got[2].n_stop_words, got[2].kept) == (1, True, 0, False)
+
+
 def test_quality_is_native(spark):
     plan = q.op5_quality_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
     plan += q.op9_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -20,7 +20,7 @@ def good(t):
     n, chars, symbols, repeated, _, failed = brute.quality(t)
     if failed:
         return False
-    stop = sum(w.lower() in quality_rules.STOP_WORDS for w in brute.WORD.findall(t))
+    stop = sum(w.lower().strip(quality_rules.MARKS) in quality_rules.STOP_WORDS for w in brute.WORD.findall(t))
     lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
     return 2 <= chars / n <= 12 and symbols / n <= 0.1 and stop / n >= 0.04 and repeated / lines <= 0.5
 
