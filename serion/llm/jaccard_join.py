@@ -318,9 +318,9 @@ def _labels(scratch: Scratch, df: DataFrame, made: DataFrame, id_col: str, text_
     # of copies, one row gives keys
     copies = made.groupBy("vertex").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("vertex", "first")
     copies = scratch.save("copies", copies)
-    others = made.join(_small(copies), "vertex").where(~F.col("id").eqNullSafe(F.col("first"))).select("id").distinct()
+    others = made.join(_small(copies), "vertex").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "vertex").distinct()
     others = scratch.save("others", others)
-    keyed = made.where("id IS NOT NULL").join(_small(others), "id", "left_anti").select(F.explode("keys").alias("key"), "vertex")
+    keyed = made.where("id IS NOT NULL").join(_small(others), ["id", "vertex"], "left_anti").select(F.explode("keys").alias("key"), "vertex")
     met = scratch.save("met", keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     members = scratch.save("members", keyed.join(met, "key").select("key", "vertex", "size").distinct())
     met_vertices = scratch.save("met_vertices", members.select("vertex").distinct())

@@ -138,6 +138,13 @@ def test_components_of_awkward_rows(spark, docs, none, k, percent):
     assert jaccard_join.join_components(none).count() == 0
 
 
+def test_one_id_of_two_texts(spark):
+    long = TEXTS[16]
+    rows = [(1, SAID), (9, SAID), (9, long), (12, long + " end")]
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.join_components(_docs(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1), (9, 1), (9, 9), (12, 9)]
+
+
 def _mutants(seed):
     """Groups of mutated copies with a shared passage, of many sizes."""
     rng = random.Random(seed)
