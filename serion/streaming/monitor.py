@@ -36,10 +36,15 @@ def ring_buffers(stream: DataFrame, key: str, order: str, value: str, rows: int
     return rows_in.groupBy("k").applyInPandasWithState(update, f"key {kind}, n long, least double, largest double, mean double", "o array<double>, v array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def tumbling(stream: DataFrame, ts: str, value: str, width: str = "30 seconds", late: str = "1 minute") -> DataFrame:
-    """(start, n, mean) per window of event time; rows later than ``late`` may be dropped by a stream."""
+def tumbling(stream: DataFrame, ts: str, value: str, width: str = "30 seconds", late: str | None = None) -> DataFrame:
+    """(start, n, mean) per window of event time.
+
+    A stream keeps the state of every window and counts all rows, in whatever order
+    its files come. For a stream without end, ``late`` bounds the state: windows older
+    than that are forgotten, and rows that come later still are dropped.
+    """
     rows = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
-    if rows.isStreaming:
+    if rows.isStreaming and late is not None:
         rows = rows.withWatermark("_ts", late)
     return rows.groupBy(F.window("_ts", width).alias("w")).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), "n", "mean")
 
