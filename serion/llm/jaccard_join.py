@@ -379,15 +379,28 @@ def _may_link(percent: int) -> Column:
 def keep_representatives(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns: of each component the one row of its smallest id; rows without words all stay.
 
-    Where several rows share that id, one of them stays.
+    Where several rows share that id, or none of a component has an id, one of them
+    stays. Rows whose id is null or stands on other rows too are told apart by a
+    stored key, so a row goes only if its own text is a copy.
     """
     scratch = Scratch(docs.sparkSession, "representatives")
-    found = join_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
-    lost = scratch.save("lost", found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    repeated = scratch.save("repeated", docs.groupBy(id_col).count().where("count > 1").select(id_col))
-    kept = docs.join(_small(lost), id_col, "left_anti").select(docs.columns)
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(_small(repeated), id_col, "left_anti").select(docs.columns)
-    several = kept.join(_small(repeated), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
-    return single.union(several)
+    vague = scratch.save("vague", docs.groupBy(id_col).agg(F.count("*").alias("_serion_n")).where((F.col("_serion_n") > 1) | F.col(id_col).isNull()).select(id_col))
+    if vague.isEmpty():
+        found = join_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+        lost = scratch.save("lost", found.where(F.col(id_col) != F.col("component_id")).select(id_col))
+        return docs.join(_small(lost), id_col, "left_anti").select(docs.columns)
+    row, key = "_serion_row", "_serion_key"
+    known, repeated = docs.where(F.col(id_col).isNotNull()), vague.where(F.col(id_col).isNotNull())
+    single = known.join(_small(repeated), id_col, "left_anti").select(docs.columns)
+    several = docs.where(F.col(id_col).isNull()).union(known.join(_small(repeated), id_col, "left_semi").select(docs.columns))
+    several = scratch.save("several", several.withColumn(row, F.expr("uuid()")))
+
+    def keyed(rows: DataFrame, own: Column) -> DataFrame:
+        # by this key, rows with an id come first
+        return rows.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), own.alias("row")).alias(key), text_col)
+
+    found = join_components(keyed(single, F.lit("")).union(keyed(several, F.col(row))), id_col=key, text_col=text_col, shingle=shingle, percent=percent)
+    lost = scratch.save("lost", found.where(F.col(key) != F.col("component_id")).select(F.col(key)["id"].alias(id_col), F.col(key)["row"].alias(row)))
+    of_single = single.join(_small(lost.where(F.col(row) == "").select(id_col)), id_col, "left_anti")
+    of_several = several.join(_small(lost.where(F.col(row) != "").select(row)), row, "left_anti")
+    return of_single.select(docs.columns).union(of_several.select(docs.columns))

@@ -196,6 +196,15 @@ def test_representatives(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in want if want[i][1] == i)
 
 
+def test_representatives_of_repeated_and_null_ids(spark):
+    long, alone = TEXTS[16], " ".join(f"v{i}" for i in range(300))
+    rows = [(1, SAID), (9, SAID), (9, long), (9, alone), (9, alone.upper()), (12, long + " end"), (None, SAID), (None, "null " + alone)]
+    rows += [(None, t) for t in (" ".join(f"u{i}" for i in range(300)), " ".join(f"u{i}" for i in range(299)))] + [(None, None), (None, ""), (20, "one of its own")]
+    got = [(r.doc_id, (r.text or "").lower()[:3]) for r in jaccard_join.keep_representatives(_docs(spark, rows)).collect()]
+    want = [(1, "the"), (9, "w0 "), (9, "v0 "), (None, "u0 "), (None, ""), (None, ""), (20, "one")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_joined_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in q.op3_jaccard_join(spark, SF).collect()}
