@@ -7,7 +7,7 @@ holds are never looked up, so their postings are not stored. A test window is
 searched from its rarest term (by occurrences in the whole corpus): the list of
 that term, less the term's offset in the window, is intersected with the lists
 of the next rarer terms until it is empty or all terms agree. Proximity matches
-ask only that the rarest terms of an item lie within a span of words.
+ask only that the rarest terms of an item lie within a span of words of one document.
 
 Sharding by document keeps each term's postings, however frequent, in pieces of
 bounded size; nothing is shuffled by term.
@@ -148,17 +148,20 @@ def _intersect(lists: dict[int, np.ndarray], order: np.ndarray, terms: np.ndarra
 _NOWHERE = np.zeros(0, np.int64)
 
 
-def _near(lists: dict[int, np.ndarray], rare: list[int]) -> np.ndarray:
-    """Positions of the rarest term that have all the other given terms within NEAR_SPAN words."""
+def _near(lists: dict[int, np.ndarray], rare: list[int], first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Positions of the rarest term that have all the other given terms within NEAR_SPAN words of the same document."""
     at = lists.get(rare[0])
     if at is None:
         return _NOWHERE
+    row = np.searchsorted(first, at, "right") - 1
+    low, high = np.maximum(at - NEAR_SPAN // 2, first[row]), np.minimum(at + NEAR_SPAN // 2, first[row] + n_words[row] - 1)
     for t in rare[1:]:
         there = lists.get(t)
         if there is None:
             return _NOWHERE
-        k = np.searchsorted(there, at - NEAR_SPAN // 2)
-        at = at[(k < len(there)) & (there[np.minimum(k, len(there) - 1)] <= at + NEAR_SPAN // 2)]
+        k = np.searchsorted(there, low)
+        held = (k < len(there)) & (there[np.minimum(k, len(there) - 1)] <= high)
+        at, low, high = at[held], low[held], high[held]
         if not len(at):
             break
     return at
@@ -197,7 +200,7 @@ def _search_shard(b: pa.RecordBatch, plans: list) -> pa.RecordBatch:
     size = int(first[-1] + n_words[-1] + 2) if n else 1
     cover, items, near = np.zeros(size + 1, np.int32), {}, {}
     for item, rare, windows in plans:
-        for row in set((np.searchsorted(first, _near(lists, rare), "right") - 1).tolist()):
+        for row in set((np.searchsorted(first, _near(lists, rare, first, n_words), "right") - 1).tolist()):
             near.setdefault(row, []).append(item)
         rows: set[int] = set()
         for order, t in windows:

@@ -355,6 +355,14 @@ def test_proximity(spark):
     assert got == {1: ([], ["i"]), 2: ([], ["i"]), 3: ([], [])}
 
 
+def test_proximity_ends_with_the_document(spark):
+    rows = [(1, "alpha x beta x gamma x delta"), (2, "delta gamma beta alpha"), (3, "alpha " + "x " * 200 + "beta gamma delta"), (4, "alpha"), (5, ""), (6, "beta gamma"), (7, "delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    test = spark.createDataFrame([("i", "alpha beta gamma delta")], "item_id string, text string")
+    got = {r.doc_id: r.near_items for r in decontaminate.decontaminate(docs, test).collect()}
+    assert got == {1: ["i"], 2: ["i"], 3: [], 4: [], 5: [], 6: [], 7: []}
+
+
 # 9 -------------------------------------------------------------------------------------------------
 
 _CONTROL = st.lists(st.sampled_from(["\\", "<", "#", "</turn>\n", "### ", ": ", "\n", "0", "1", "2", "3", "a"]), max_size=12).map("".join)
