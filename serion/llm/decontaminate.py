@@ -14,7 +14,8 @@ bounded size; nothing is shuffled by term.
 
 Defined cases: a null text has no words and is never contaminated; an item
 without words (or null) matches nothing; an item shorter than the window is one
-window; repeated documents are judged one by one; items with equal ids count once.
+window; repeated documents are judged one by one; items with equal ids count once,
+and so do items without one: together they are one item, null, last in the lists.
 An empty test table leaves every document clean.
 """
 
@@ -221,7 +222,7 @@ def _search_shard(b: pa.RecordBatch, plans: list) -> pa.RecordBatch:
         span_start[row].append(a - int(first[row]))
         span_end[row].append(z - int(first[row]))
     shard = column("shard")[0].as_py()
-    each = lambda found: pa.array([sorted(set(found.get(r, ()))) for r in range(n)], pa.list_(pa.string()))
+    each = lambda found: pa.array([sorted(set(found.get(r, ())), key=lambda x: (x is None, x or "")) for r in range(n)], pa.list_(pa.string()))
     ids = column("ids")
     ints = pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays(

@@ -339,6 +339,17 @@ def test_contamination(spark, monkeypatch, docs, none, block):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, (n, h, _) in enumerate(want) if not (h and 20 * h >= n)]
 
 
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_contamination_by_items_without_id(spark, monkeypatch, docs, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    more = [*ITEMS, (None, "w10 w11 w12")]
+    last = "\uffff"
+    want = [(n, h, [None if i == last else i for i in found]) for n, h, found in brute.contamination([t for _, t in DOCS], [(last if i is None else i, t) for i, t in more])]
+    assert ["6", None] in [found for _, _, found in want]
+    found = decontaminate.decontaminate(docs, spark.createDataFrame(more, "item_id string, text string"))
+    assert _found(found) == dict(enumerate(want))
+
+
 def test_contamination_over_shards(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 3000)
     rows, test = table(spark, SF, "documents"), table(spark, SF, "benchmark")
