@@ -12,6 +12,8 @@ from serion.sources import tables
 
 T_MAX, STEP, RUN = 100.0, 0.05, "20260101_000000"
 TERMS = int(3 * T_MAX)
+#: Height of the configured run (10142 zeros).
+PRODUCTION_T_MAX = 10_000.0
 
 
 def _z_sql(detector: str = "hardy_z", step: float = STEP) -> str:
@@ -73,6 +75,12 @@ def zeros_refined(spark, sf_dir):
     return zeros.where("n <= 10").withColumn("t", F.round("t", 9))
 
 
+@query()
+def zeros_table(spark, sf_dir):
+    """The whole final table at the height of the configured run."""
+    return scan.zero_table(spark, PRODUCTION_T_MAX, STEP, run_ts=RUN)
+
+
 @query(f"WITH {_z_sql()} SELECT count(*) AS n_zeros, round(count(*) / {T_MAX}, 6) AS rate, trunc({_EST})::BIGINT AS expected, round({_EST} + 0.875, 6) AS expected_corrected FROM r")
 def run_summary(spark, sf_dir):
     """Count, rate and expected counts of a run."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from serion.functions import kernel, parse
 from serion.operators import points, scan, series
-from serion.plans import series_queries
+from serion.plans import series_queries, zero_queries
 from serion.sources import config, prompts, tables
 from serion.streaming import monitor
 
@@ -165,3 +165,11 @@ def test_stream_of_shuffled_files_counts_every_row(spark, tmp_path):
 
 def _sorted_rows(df):
     return sorted(tuple(r) for r in df.collect())
+
+
+def test_the_whole_zero_table_comes_back(spark):
+    rows = zero_queries.zeros_table(spark, "").orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(1, 10_143))
+    assert all(a.t < b.t for a, b in zip(rows, rows[1:], strict=False)) and rows[-1].t < 10_000
+    assert [r.t for r in rows[:10]] == pytest.approx(tables.FIRST_ZEROS, abs=1e-9)
+    assert sum(r.t <= 1000 for r in rows) == 649
