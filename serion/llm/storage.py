@@ -9,32 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where a session has none (tests on one machine), a temporary folder."""
+    """``spark.checkpoint.dir``; where a session on one machine (tests) has none, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="serion-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
 class Scratch:
-    """Parquet tables of one run under the shared folder."""
+    """Parquet tables of one run under the shared folder.
+
+    A run drops what no later job reads. What its result still reads is deleted
+    when the application ends. (Paths are deleted through the JVM's file system
+    API, so this needs a classic session, not Spark Connect.)
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/serion/{name}-{uuid.uuid4().hex}"
+        self._marked = False
+
+    def _path(self, *names: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *names]))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Writes df and reads it back: later jobs start from the files."""
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        if not self._marked:
+            files, path = self._path()
+            files.deleteOnExit(path)
+            self._marked = True
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later job reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later job reads."""
+        for name in names:
+            files, path = self._path(name)
+            files.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
