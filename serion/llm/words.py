@@ -99,6 +99,18 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         first = end
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, equal for equal bytes; spans may overlap."""
+    n = len(data)
+    codes = _byte_codes()[data]
+    codes *= _power(_BASE, n)[:n]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes, out=total[1:])
+    value = (total[end] - total[start]) * _power(_BASE_INVERSE, n)[start]
+    value += (end - start).astype(np.uint64) * _M1
+    return mix(value)
+
+
 def words(at: np.ndarray, data: np.ndarray, stops: np.ndarray = SPACE, lower: bool = True) -> Words:
     """All words of a slice. ``stops``: the 256 flags of bytes that no word holds."""
     if lower:
@@ -113,13 +125,7 @@ def words(at: np.ndarray, data: np.ndarray, stops: np.ndarray = SPACE, lower: bo
     opens[inner] = inside[inner + 1]
     closes[inner - 1] = inside[inner]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    codes = _byte_codes()[data]
-    codes *= _power(_BASE, n)[:n]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes, out=total[1:])
-    value = (total[end] - total[start]) * _power(_BASE_INVERSE, n)[start]
-    value += (end - start).astype(np.uint64) * _M1
-    return Words(np.searchsorted(start, at), start, end, mix(value), data)
+    return Words(np.searchsorted(start, at), start, end, span_hashes(data, start, end), data)
 
 
 def hash_words(texts: list[str], stops: np.ndarray = SPACE, lower: bool = True) -> list[np.ndarray]:

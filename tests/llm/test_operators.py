@@ -267,26 +267,51 @@ def test_quality_is_native(spark):
 # 6 -------------------------------------------------------------------------------------------------
 
 
-def test_urls(spark, monkeypatch):
-    urls = [None, "", "no scheme", "http://A.Example.ORG", "http://x.example.org/es/1?q#f", "https://y.org/a", "http://z.com/fr/", "http://z.com/de/?", "ftp://spam-farm.example.org.evil.net/x", "http://www.spam-farm.example.com/x", "http://spam-farm.example.org", "a://b://c", "http://host?x=/p", "http://ß.com/fr/#/de/"]
-    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    blocked = spark.createDataFrame([("Spam-farm.example.com",), ("spam-farm.example.org",), (None,), ("",), ("elsewhere.net",)], "host string")
-    got = {r.page_id: r.url_filter for r in url_filters.judge_urls(pages, blocked).collect()}
+URLS = [None, "", "no scheme", "http://A.Example.ORG", "http://x.example.org/es/1?q#f", "https://y.org/a", "http://z.com/fr/", "http://z.com/de/?", "ftp://spam-farm.example.org.evil.net/x", "http://www.spam-farm.example.com/x", "http://spam-farm.example.org", "a://b://c", "http://host?x=/p", "http://ß.com/fr/#/de/", "http://www.spam-farm.example.com/x", "http://elsewhere.net./", "http://a..elsewhere.net/"]
+
+
+def _judged(spark, urls, hosts):
+    pages = spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, rule string, key int")
+    got = url_filters.judge_urls(pages, spark.createDataFrame([(h,) for h in hosts], "host string"))
+    assert got.columns == [*pages.columns, "url_filter"]
+    return {r.page_id: r.url_filter for r in got.collect()}
+
+
+def test_urls(spark):
+    got = _judged(spark, URLS, ["Spam-farm.example.com", "spam-farm.example.org", None, "", "elsewhere.net", "elsewhere.net"])
     assert [(got[i].host, got[i].path) for i in (0, 2, 3, 11, 12)] == [("", ""), ("", ""), ("a.example.org", ""), ("b:", "//c"), ("host", "")]
     assert [(got[i].rule, got[i].verdict) for i in (4, 5, 6, 7)] == [("example.org/es/", "block"), ("org/", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
-    assert [got[i].verdict for i in (0, 1, 2, 3, 8, 9, 10, 13)] == ["allow", "allow", "allow", "allow", "allow", "block", "block", "allow"]
-    monkeypatch.setattr(url_filters, "MAX_LISTED", 1)
-    assert {r.page_id: r.url_filter for r in url_filters.judge_urls(pages, blocked).collect()} == got
-    assert url_filters.judge_urls(pages.limit(0), blocked.limit(0)).count() == 0
+    assert [got[i].verdict for i in (0, 1, 2, 3, 8, 9, 10, 13, 14, 15, 16)] == ["allow", "allow", "allow", "allow", "allow", "block", "block", "allow", "block", "allow", "block"]
+    assert {x.verdict for x in _judged(spark, URLS[8:10], []).values()} == {"allow"}
+    assert _judged(spark, [], ["a.b"]) == {}
+
+
+@pytest.mark.parametrize(("range_keys", "pass_bytes"), [(10**6, 1 << 26), (700, 1 << 26), (80, 1), (80, 4000)])
+def test_any_number_of_ranges_and_passes(spark, monkeypatch, range_keys, pass_bytes):
+    monkeypatch.setattr(url_filters, "RANGE_KEYS", range_keys)
+    monkeypatch.setattr(url_filters, "PASS_BYTES", max(pass_bytes, 1))
+    rng = random.Random(6)
+    hosts = [".".join(rng.choice("abcdefghijkl") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 5))) for _ in range(1500)]
+    listed = set(rng.sample(hosts, 12)) - set("abcdefghijkl")
+    got = _judged(spark, ["x://" + h for h in hosts], sorted(listed))
+    parents = lambda h: {h.split(".", k)[k] for k in range(h.count(".") + 1)}
+    assert [got[i].listed for i in range(len(hosts))] == [bool(parents(h) & listed) for h in hosts]
+
+
+def test_long_hosts_take_linear_time(spark):
+    long = ".".join(["ab"] * 60_000)
+    got = _judged(spark, ["http://" + long + ".evil.net", "http://" + long + ".good.net", "http://" + "x" * 10**6], ["evil.net"])
+    assert [got[i].verdict for i in range(3)] == ["block", "allow", "allow"]
 
 
-def test_cascade_is_exact(spark):
+def test_cascade_is_exact():
     rng = np.random.default_rng(6)
-    keys = np.unique(rng.integers(-(2**63), 2**63, 20000))
-    listed = keys[rng.random(len(keys)) < 0.05].view(np.uint64)
-    levels = url_filters.build_cascade(spark.createDataFrame([(int(k),) for k in keys], "key long"), listed)
-    assert len(levels) > 1
-    assert np.array_equal(url_filters.listed_by(levels, keys.view(np.uint64)), np.isin(keys.view(np.uint64), listed))
+    keys = np.unique(rng.integers(0, 2**64, 20000, dtype=np.uint64))
+    for share in (0.0, 0.001, 0.05, 0.6, 1.0):
+        listed = keys[rng.random(len(keys)) < share]
+        levels = url_filters.build_cascade(keys, listed)
+        assert np.array_equal(url_filters.listed_by(levels, keys), np.isin(keys, listed))
+        assert len(levels) > 1 or share in (0.0, 0.001, 1.0)
 
 
 # 7 -------------------------------------------------------------------------------------------------
