@@ -354,8 +354,9 @@ def _found(df):
 @pytest.mark.parametrize("block", [16 << 20, 60])
 def test_contamination(spark, monkeypatch, docs, none, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    items = spark.createDataFrame(ITEMS[:-1], "item_id string, text string")
-    want = brute.contamination([t for _, t in DOCS], ITEMS[:-1])
+    named = [x for x in ITEMS if x[0] is not None]  # those without id have a test of their own
+    items = spark.createDataFrame(named, "item_id string, text string")
+    want = brute.contamination([t for _, t in DOCS], named)
     assert _found(decontaminate.decontaminate(docs, items)) == dict(enumerate(want))
     assert decontaminate.decontaminate(none, items).count() == 0
     assert {x[1] for x in _found(decontaminate.decontaminate(docs, items.limit(0))).values()} == {0}
@@ -384,6 +385,23 @@ def test_contamination_over_shards(spark, monkeypatch):
     assert got == {r.doc_id: w for r, w in zip(texts, want, strict=True)}
 
 
+@pytest.mark.parametrize(("candidates", "block"), [(1 << 18, 16 << 20), (7, 16 << 20), (50, 900)])
+def test_contamination_of_few_words(spark, monkeypatch, candidates, block):
+    """Texts of a tiny vocabulary: many places per term, overlapping and repeated windows; one index, two test tables."""
+    monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(12)
+    said = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, said(rng.randrange(60), "a a a b c".split())) for i in range(80)] + [(80, "a " * 500), (80, "a " * 40), (None, "b c " * 30), (81, None)]
+    index = decontaminate.Scratch(spark, "t").save("index", decontaminate.build_index(_docs(spark, rows).coalesce(2)))
+    for items in ([(str(i), said(rng.randrange(1, 18), "a b c d".split())) for i in range(60)], [("x", "a " * 13), ("y", "b c " * 8), ("z", "a"), ("w", rows[7][1])]):
+        got = decontaminate.search_table(index, spark.createDataFrame(items, "item_id string, text string")).collect()
+        want = brute.contamination([t for _, t in rows], items)
+        key = lambda x: str(x)
+        assert sorted(((r.id, r.n_words, r.n_hit, r["items"]) for r in got), key=key) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=key)
+        assert all(r.n_hit == len({k for a, z in zip(r.span_start, r.span_end, strict=True) for k in range(a, z)}) for r in got)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta x gamma x delta"), (2, "delta gamma beta alpha"), (3, "alpha " + "x " * 200 + "beta gamma delta")], "doc_id long, text string")
     test = spark.createDataFrame([("i", "alpha beta gamma delta")], "item_id string, text string")
