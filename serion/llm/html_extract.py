@@ -1,12 +1,24 @@
 """Operator 1: main text of web pages by composite text density.
 
 Method. A page becomes a tree of elements. Each node's composite density is its
-characters per tag (its own tag and those below, without marks of running text), adjusted by its share of link characters and link tags
-against the body's own share; a node's density sum is the sum over its children.
-The node with the largest density sum is found, the least density on its path to
-the body is the threshold, and within every branch whose nodes reach the
-threshold the subtree of largest density sum is taken. What is furniture by its
-element or by its class, id or role is cut before.
+characters per tag (its own tag and those below, without marks of running text),
+adjusted by its share of link characters and link tags against the body's own
+share; a node's density sum is the sum over its children. The subtree of the
+largest density sum is the main text; the least density on its path to the body is
+the threshold. A subtree elsewhere belongs to the text, too, if all its path reaches
+the threshold and its density sum is a quarter of the largest one or it is a
+sibling of the same kind; so do first headings beside the path. Inside a chosen
+subtree, link lists below the threshold are left out, and where the body itself is
+chosen, all containers below it. If the choice lies in an article or main element,
+or such elements hold most of its text, their borders are taken.
+
+What elements, classes, ids and roles say is evidence only. Script, style and
+controls hold no text. A nav, footer, aside, form or the like, a class token that is
+a furniture word, or a compound that begins or ends with an unmistakable one, marks
+a subtree strongly; another compound with a furniture word marks it weakly. A marked
+subtree is left out unless it holds the page: a strong mark is void if the unmarked
+text elsewhere is less than a 30th of the subtree's own, a weak one if it is less
+than half.
 
 The text of the taken subtrees is written block by block in page order: character
 references decoded, white space inside a block turned into one space, trimmed,
@@ -29,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from serion.llm.words import byte_runs
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -42,41 +56,61 @@ CLOSES_P = BLOCK - frozenset("br body html caption tbody td tfoot th thead tr li
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "a": ({"a"}, {"td", "th", "table"})}
 #: Marks within running text: they are no tags of their own and no subtrees to choose.
 INLINE = frozenset("abbr b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that never hold main text.
-FURNITURE = frozenset("script style title textarea xmp iframe noembed noframes head noscript template nav footer aside form button select option input svg canvas object audio video map menu dialog fieldset label".split())
+#: Elements that hold no text of a page.
+HARD = frozenset("script style title textarea xmp iframe noembed noframes head noscript template button select option input svg canvas object audio video map".split())
+#: Elements that are strong evidence for furniture (a header outside articles, too).
+FURNITURE = frozenset("nav footer aside form menu dialog fieldset label".split())
 #: Words of class, id or role that mark furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments disqus complementary contentinfo cookie cookies consent disclaimer dialog footer form header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Those that mark a compound strongly as its first or last word.
+UNMISTAKABLE = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus footer menu nav navbar navigation newsletter sidebar sponsor sponsored".split())
+#: Words by which a compound speaks of a layout or of the text itself.
+LAYOUT_WORDS = frozenset("no not non with without has have is hide show toggle js".split())
+TEXT_WORDS = frozenset("content article story entry post body text".split())
 #: Elements that are main text by definition, whatever their class.
 TRUSTED = frozenset(("html", "body", "article", "main"))
+#: Elements that hold parts of a page.
+CONTAINERS = frozenset("div section ul ol dl table center td".split())
+#: Unmarked text elsewhere, as a share of a marked subtree's, below which the mark is void.
+STRONG_SHARE, WEAK_SHARE = 1 / 30, 1 / 2
+#: Density sum of a further subtree of the text, as a share of the largest.
+FURTHER_SHARE = 1 / 4
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+[^>]*)>|<[/a-zA-Z][^>]*\Z|</[^>]*>""",
     re.S,
 )
 _MARKED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Tree:
     """Elements in page order; a parent's number is below its children's."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.cut = ["body"], [0], [False]
+        self.tag, self.parent, self.cut, self.mark, self.kind = ["body"], [0], [False], [0], [""]
         self.leaves: list[tuple[int, int, str]] = []  # element, block, text
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _token_mark(token: str) -> int:
+    if token.lower() in FURNITURE_WORDS:
+        return 2
+    parts = [w.lower() for w in _WORDS.findall(token)]
+    if len(parts) < 2 or FURNITURE_WORDS.isdisjoint(parts) or not LAYOUT_WORDS.isdisjoint(parts):
+        return 0
+    return 2 if (parts[0] in UNMISTAKABLE or parts[-1] in UNMISTAKABLE) and TEXT_WORDS.isdisjoint(parts) else 1
+
+
+def _mark(tag: str, attributes: str, in_article: bool) -> int:
+    """Evidence for furniture: 0 none, 1 weak, 2 strong."""
     if tag in FURNITURE or tag == "header" and not in_article:
-        return True
+        return 2
     if tag in TRUSTED or not attributes:
-        return False
-    for m in _MARKED.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if not FURNITURE_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+        return 0
+    tokens = [x for m in _MARKED.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
+    return max(map(_token_mark, tokens), default=0)
 
 
 def _parse(page: str) -> _Tree:
@@ -129,7 +163,9 @@ def _parse(page: str) -> _Tree:
             close(k)
         t.tag.append(tag)
         t.parent.append(stack[-1])
-        t.cut.append(t.cut[stack[-1]] or _is_furniture(tag, m[3], articles > 0))
+        t.cut.append(t.cut[stack[-1]] or tag in HARD)
+        t.mark.append(_mark(tag, m[3], articles > 0))
+        t.kind.append(f"{tag} {m[3].strip()}")
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
@@ -155,14 +191,33 @@ def _density(c: int, tags: int, link_c: int, link_tags: int, share: float) -> fl
     return c / tags * math.log(max(ratio, 1.0) + 1) / math.log(base)
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    t = _parse(page)
+def _cut_furniture(t: _Tree, leaves: list[tuple[int, int, str]]) -> None:
+    """Cuts marked subtrees, the outer ones first, but those that hold the page."""
+    n = len(t.tag)
+    plain, link = [0] * n, [False] * n  # own characters outside links and outside marked elements below
+    for e in range(1, n):
+        link[e] = t.tag[e] == "a" or link[t.parent[e]]
+    for e, _, x in leaves:
+        if not link[e]:
+            plain[e] += len("".join(x.split()))
+    for e in range(n - 1, 0, -1):
+        if not t.mark[e]:
+            plain[t.parent[e]] += plain[e]
+    elsewhere = plain[0]
+    for e in range(1, n):
+        if t.cut[t.parent[e]]:
+            t.cut[e] = True
+        elif t.mark[e] and not t.cut[e]:
+            if elsewhere < plain[e] * (STRONG_SHARE if t.mark[e] == 2 else WEAK_SHARE):
+                elsewhere += plain[e]
+            else:
+                t.cut[e] = True
+
+
+def _chosen(t: _Tree, leaves: list[tuple[int, int, str]]) -> list[bool]:
+    """Which elements' own text is main text."""
     n = len(t.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    leaves = [(e, b, references.unescape(x)) for e, b, x in t.leaves if not t.cut[e]]
     for e, _, x in leaves:
         chars[e] += len("".join(x.split()))
     for e in range(n - 1, 0, -1):
@@ -189,22 +244,56 @@ def main_text(page: str | None) -> str:
         p = t.parent[e]
         if sums[best[e]] > sums[best[p]]:
             best[p] = best[e]
-    threshold, e = density[0], best[0]
-    while e:
-        threshold = min(threshold, density[e])
-        e = t.parent[e]
+    top = best[0]
+    path = [top]
+    while path[-1]:
+        path.append(t.parent[path[-1]])
+    threshold = min(density[e] for e in path)
     taken = [False] * n
-    if sums[best[0]] <= 0:
-        taken[0] = True
-    reached = [density[0] >= threshold]
+    # the borders of articles
+    around = [e for e in path if t.tag[e] in ("article", "main")]
+    inner: list[int] = []
+    root = around[-1] if around else top
+    if not around:
+        within, covered = [e == top for e in range(n)], [False] * n
+        for e in range(1, n):
+            p = t.parent[e]
+            within[e] = within[e] or within[p]
+            covered[e] = covered[p] or t.tag[p] in ("article", "main")
+            if t.tag[e] in ("article", "main") and within[e] and not covered[e] and not t.cut[e]:
+                inner.append(e)
+        if 2 * sum(chars[e] - link_chars[e] for e in inner) < chars[top] - link_chars[top]:
+            inner = []
+    for e in inner or [root]:
+        taken[e] = True
+    # other subtrees of the text
+    on_path, reached = set(path), [density[0] >= threshold] + [False] * (n - 1)
     for e in range(1, n):
-        # a branch counts if every node from the body down reaches the threshold
-        reached.append(reached[t.parent[e]] and density[e] >= threshold and density[e] > 0)
-    for e in range(n):
-        if reached[e]:
-            taken[best[e] if sums[best[e]] > 0 else e] = True
+        p = t.parent[e]
+        reached[e] = reached[p] and density[e] >= threshold and density[e] > 0
+        if inner or e in on_path or p not in on_path or p == top:
+            continue
+        alike = t.parent[root] == p and t.kind[e] == t.kind[root] and t.tag[e] in CONTAINERS
+        if reached[e] and (alike or sums[best[e]] >= FURTHER_SHARE * sums[top] > 0) or t.tag[e] == "h1":
+            taken[e if alike or t.tag[e] == "h1" else best[e]] = True
+    trusted = bool(inner) or t.tag[root] in ("article", "main")
     for e in range(1, n):
-        taken[e] = taken[e] or taken[t.parent[e]]
+        if not taken[e] and taken[t.parent[e]]:
+            linked = 2 * link_chars[e] > chars[e]
+            low = not trusted and t.tag[e] in CONTAINERS and density[e] < threshold and (linked or root == 0 and t.parent[e] == 0 and chars[e] < chars[0] / 2)
+            taken[e] = not low
+    return taken
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page."""
+    if not page:
+        return ""
+    t = _parse(page)
+    leaves = [(e, b, references.unescape(x)) for e, b, x in t.leaves if not t.cut[e]]
+    _cut_furniture(t, leaves)
+    leaves = [x for x in leaves if not t.cut[x[0]]]
+    taken = _chosen(t, leaves)
     blocks: list[str] = []
     last, part = -1, []
     for e, b, x in leaves:
@@ -225,8 +314,8 @@ def extract_pages(df: DataFrame, *, keep: tuple[str, ...] = ("page_id", "url"),
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for first, end in byte_runs(b.column(0)):
+                part = b.slice(first, end - first)
                 texts = [main_text(x.as_py()) for x in part.column(0)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*part.schema.names[1:], "text", "n_chars"])
 

@@ -65,6 +65,50 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+def _para(k, n=30):
+    return "<p>" + " ".join(f"word{k}{i}" for i in range(n)) + ".</p>"
+
+
+def _said(ks):
+    return " ".join(" ".join(f"word{k}{i}" for i in range(30)) + "." for k in ks)
+
+
+_LINKS = "<div>" + "".join(f"<a href=/{i}>link {i}</a> " for i in range(8)) + "</div>"
+_ARTICLE = "".join(map(_para, "abc"))
+#: Pages whose furniture no element or class names: only densities tell the text.
+DENSE = [
+    (f"<body>{_LINKS}<div><span>Buy now, cheap pills for all of you today</span></div><div><div><h1>Head</h1>{_ARTICLE}</div></div>{_LINKS}<div>Copyright by nobody</div></body>", "Head " + _said("abc")),
+    (f"<body>{_LINKS}<h1>Head</h1>{_ARTICLE}<div>Buy now</div>{_LINKS}</body>", "Head " + _said("abc")),
+    (f"<body>{_LINKS}<div><h1>Head</h1><div class=s>{_ARTICLE}</div><div class=s>{_para('d')}</div></div><div>Last</div></body>", "Head " + _said("abcd")),
+    (f"<body><div><div>{_LINKS}</div><div>{_ARTICLE}<ul><li>point one<li>point two</ul></div></div></body>", _said("abc") + " point one point two"),
+]
+#: Pages whose class names speak of furniture around or beside the text.
+NAMED = [
+    *[(f"<body>{_LINKS}<div class='{c}'>{_ARTICLE}</div><div>(c) someone</div></body>", _said("abc")) for c in ("content no-sidebar", "content with-sidebar", "post-header", "layout--has-header", "share-story", "sidebar", "story")],
+    (f"<body><form>{_LINKS}<div>{_ARTICLE}</div><div class=comments>{_para('z')}</div></form></body>", _said("abc")),
+    *[(f"<body><div id=x>{_ARTICLE}</div><div class='{c}'>{_para('q') * 9}</div></body>", _said("abc")) for c in ("comments", "comment-list", "site-footer", "mainNav")],
+    (f"<body><aside>{_para('q')}</aside><article>{_ARTICLE}<ul><li><a href=x>ref one</a></li></ul><div role=search>find</div></article><dialog>Notice</dialog></body>", _said("abc") + " ref one"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), DENSE + NAMED)
+def test_main_text_of_layouts(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_density_decides(monkeypatch):
+    monkeypatch.setattr(html_extract, "_density", lambda *_: 0.0)
+    assert all(html_extract.main_text(page) != want for page, want in DENSE)
+
+
+def test_awkward_page_rows(spark):
+    long = "<div>" + _para("a", 300_000) + "</div>"
+    rows = [(1, "u", None, 5, 1.0), (1, "u", "", 6, 1.0), (2, None, "<p>a b</p>", 7, 2.0), (2, None, "<p>a b</p>", 7, 2.0), (None, "v", long, 8, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text long, k0 double")
+    got = html_extract.extract_pages(df, keep=("page_id", "url", "k0")).collect()
+    assert sorted(((r.page_id or 0, r.url or "", r.k0 or 0.0, len(r.text), r.n_chars) for r in got)) == sorted([(1, "u", 1.0, 0, 0), (1, "u", 1.0, 0, 0), (2, "", 2.0, 3, 3), (2, "", 2.0, 3, 3), (0, "v", 0.0, len(long) - 18, len(long) - 18)])
+
+
 def test_pages(spark):
     import html
     import re
