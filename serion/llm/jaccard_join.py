@@ -27,16 +27,27 @@ Only connected components are asked for, so the pairs of a block need not all be
 tried: first every member is verified against the block's most central member and
 components are formed. Of members of different components that still share a
 block, a pair becomes a row only if sizes and the Hamming distance of two sketches
-(of hot and of cold shingles) allow a link; such pairs are verified.
-
-Texts with equal sets are one vertex, named by a 64-bit digest of the set, so
-copies never become pairs. (With n distinct texts the chance that any two digests
-agree is about n * n / 2**65.)
+(of hot and of cold shingles) allow a link; such pairs are verified. In a block
+of more than BLOCK_ROWS members not even these are tried: its members are keyed
+anew by the rarest shingles of each set, as many as any link must share one of
+(of n shingles, two linked sets share ceil(n * percent / 100) at least, so one of
+the first n - that + 1 in any common order). Groups of these keys that are still
+large are cut into cells of CELL_ROWS members a side, and pairs of cells are dealt
+to all tasks.
+
+Texts with equal sets are one vertex, named by one of its rows, so copies never
+become pairs. Sets are told apart by 128-bit digests (with n distinct texts the
+chance that any two agree is about n * n / 2**129). Texts without a shingle take
+no part in any join.
+
+No key of a join lands in one task: a key that holds more than HOT_KEY of a
+table's rows (there are 1 / HOT_KEY of them at most) is dealt to SALTS places, and
+its one row of the other table is repeated there.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing; a
-text shorter than a shingle is one shingle; repeated rows are in one component; a
-row with a null id is in the component of the rows of the same set, and links of
-a set that has null ids only are not searched; a component's id is its smallest.
+text shorter than a shingle is one shingle; repeated rows are in one component;
+rows with a null id take part like all others, and a component's id is its
+smallest that is not null, if it has any; other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,18 +71,29 @@ BAND_RATIO = 1.15
 SMALL_DIFFERENCE = 6
 #: A block of at most this many shingles is poor.
 POOR = 1
-#: Rows of (key, pivot) up to which a table is broadcast (about 24 bytes each); more are joined by a shuffle.
+#: Counted rows of one or two numbers up to which a table is broadcast (about 24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Texts of the sample that tells hot shingles, at least; its share of all texts, at least; sample texts that have a hot shingle, at least.
 HOT_SAMPLE, HOT_SHARE, HOT_TEXTS = 5000, 1 / 128, 10
 #: Hot shingles that are kept (8 bytes each, broadcast), the most frequent ones.
 HOT_SHINGLES = 200_000
+#: Share of a table's rows from which on a join key is hot, and the places it is dealt to.
+HOT_KEY, SALTS = 1 / 256, 256
+#: Members of a block up to which its pairs are tried; members of a cell of a larger group.
+BLOCK_ROWS, CELL_ROWS = 256, 256
 #: Words of 64 bits of the sketches of cold and of hot shingles.
 COLD_WORDS, HOT_WORDS = 8, 4
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Hot(NamedTuple):
+    """Hot shingles."""
+
+    hashes: np.ndarray  # in order
+    rank: np.ndarray  # of each, the rarest first
+
+
 class Band(NamedTuple):
     number: int
     low: int
@@ -140,10 +162,12 @@ def _shingles(at: np.ndarray, data: np.ndarray, size: int) -> tuple[list[np.ndar
     return out, n
 
 
-def _digest(h: np.ndarray) -> int:
-    """64 bits for a set."""
-    a, b = np.bitwise_xor.reduce(mix(h ^ np.uint64(0x5851F42D4C957F2D))), np.add.reduce(mix(h + _GOLD))
-    return int(mix(np.array([a, len(h)], np.uint64) + mix(np.array([b], np.uint64)))[0].view(np.int64))
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two independent 64-bit digests of each set."""
+    n = np.array([len(h) for h in sets], np.uint64)
+    a = np.array([np.bitwise_xor.reduce(mix(h ^ np.uint64(0x5851F42D4C957F2D))) for h in sets], np.uint64)
+    b = np.array([np.add.reduce(mix(h + _GOLD)) for h in sets], np.uint64)
+    return [pa.array(mix(x + n * _GOLD).view(np.int64)) for x in (a, b)]
 
 
 def _keys(h: np.ndarray, n: int, percent: int, tag: int) -> list[np.ndarray]:
@@ -184,7 +208,16 @@ def keys_of(h: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
         out += _keys(h[~hot], n, percent, 1)
     if cold <= n * (0.5 + margin):
         out += _keys(h, n, percent, 0)
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def prefix_of(h: np.ndarray, hot: Hot, percent: int) -> np.ndarray:
+    """The first shingles of a set, the rarest first, of which any linked set shares one."""
+    last = _is_hot(h, hot.hashes)
+    rank = np.zeros(len(h), np.int64)
+    if last.any():
+        rank[last] = 1 + hot.rank[np.searchsorted(hot.hashes, h[last])]
+    return h[np.lexsort((h, rank))][: len(h) - -(-percent * len(h) // 100) + 1]
 
 
 def _parity(h: np.ndarray, words64: int) -> np.ndarray:
@@ -215,10 +248,10 @@ def _band_of(percent: int, n: int) -> int:
     return int(np.searchsorted(_lows(percent), n, "right")) - 1
 
 
-def hot_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many sampled texts have."""
+def hot_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Hot:
+    """The shingles that many sampled texts have."""
     share = min(1.0, max(HOT_SAMPLE / max(df.count(), 1), HOT_SHARE))
-    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 24)) < int(share * (1 << 24))
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 24)) < int(share * (1 << 24))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,14 +261,22 @@ def hot_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counted = df.where(drawn).select(F.col(text_col).alias("text")).mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TEXTS)
-    return np.sort(counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    found = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).toArrow()
+    h, n = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy()
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, n))] = np.arange(len(h))
+    order = np.argsort(h)
+    return Hot(h[order], rank[order])
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(id, n, vertex, keys, cold, sketch) per row; cold: number of cold shingles."""
-    shared = df.sparkSession.sparkContext.broadcast(hot_shingles(df, id_col, text_col, shingle))
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, hot: Hot) -> DataFrame:
+    """(row, id, n, d1, d2, keys, cold, sketch) per row; row: a number of its own; cold: number of cold shingles."""
+    shared = df.sparkSession.sparkContext.broadcast(hot.hashes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             for first, end, at, data in slices(b.column(1)):
                 sets, _ = _shingles(at, data, shingle)
@@ -244,31 +285,47 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
                 marks = [np.concatenate([_parity(h[~x], COLD_WORDS), _parity(h[x], HOT_WORDS)]) for h, x in zip(sets, hot, strict=True)]
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in x])]), pa.int32()), pa.array(np.concatenate(x)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, end - first), pa.array([len(h) for h in sets], pa.int64()), pa.array([_digest(h) for h in sets], pa.int64()), lists(keys), pa.array([len(x) - int(x.sum()) for x in hot], pa.int64()), lists(marks)],
-                    ["id", "n", "vertex", "keys", "cold", "sketch"],
+                    [pa.array(row + np.arange(end - first)), b.column(0).slice(first, end - first), pa.array([len(h) for h in sets], pa.int64()), *_digests(sets), lists(keys), pa.array([len(x) - int(x.sum()) for x in hot], pa.int64()), lists(marks)],
+                    ["row", "id", "n", "d1", "d2", "keys", "cold", "sketch"],
                 )
+                row += end - first
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n long, vertex long, keys array<long>, cold long, sketch array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"row long, id {kind}, n long, d1 long, d2 long, keys array<long>, cold long, sketch array<long>")
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(vertex, hashes) per row."""
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(d1, d2, hashes) of each distinct set of a one-column table of texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, at, data in slices(b.column(0)):
                 sets, _ = _shingles(at, data, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["vertex", "hashes"])
+                yield pa.RecordBatch.from_arrays([*_digests(sets), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["d1", "d2", "hashes"])
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(task, "vertex long, hashes array<long>")
+    return texts.mapInArrow(task, "d1 long, d2 long, hashes array<long>").dropDuplicates(["d1", "d2"])
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Marks a stored table for broadcast if its counted rows are few enough."""
+    """Marks a stored table of one or two numbers for broadcast if its counted rows are few enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
+    """Keys of more than HOT_KEY of all rows, so 1 / HOT_KEY at most. counts: (key, rows)."""
+    return [r[0] for r in counts.where(F.col("rows") > total * HOT_KEY).select(key).collect()]
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, hot: list[int], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with found, which has one row per key; rows of hot keys are dealt by a hash of the column ``by``."""
+    if not hot:
+        return rows.join(found, key, how)
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    places = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_salt", salt).join(found.withColumn("_salt", F.explode(places)), [key, "_salt"], how).drop("_salt")
+
+
 def linked(a: Column, b: Column, percent: int) -> Column:
     """The join's condition on two arrays of hashes."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
@@ -276,19 +333,25 @@ def linked(a: Column, b: Column, percent: int) -> Column:
     return F.when(100 * small < percent * large, F.lit(False)).otherwise(100 * shared >= percent * (F.size(a) + F.size(b) - shared))
 
 
+def _counted(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("rows"))
+
+
 def components(scratch: Scratch, name: str, edges: DataFrame) -> DataFrame:
     """(vertex, label): the smallest vertex that each vertex reaches; edges: a stored table (a, b)."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
+    centres = hot_keys(_counted(both, "b"), "b", 2 * edges.count())
     now = scratch.save(name, both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("label")))
-    k = 0
+    total, k = now.count(), 0
     while True:
         k += 1
         label = now.select(F.col("vertex").alias("b"), F.col("label").alias("of_b"))
-        near = both.join(label, "b").groupBy(F.col("a").alias("vertex")).agg(F.min("of_b").alias("near"))
+        near = looked_up(both, label, "b", centres, "a").groupBy(F.col("a").alias("vertex")).agg(F.min("of_b").alias("near"))
         hooked = now.join(near, "vertex").select("vertex", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # a label's own label is never larger
         jump = now.select(F.col("vertex").alias("label"), F.col("label").alias("of_label"))
-        after = hooked.join(jump, "label").select("vertex", "old", F.least("label", "of_label").alias("label"))
+        large = hot_keys(_counted(now, "label"), "label", total)
+        after = looked_up(hooked, jump, "label", large, "vertex").select("vertex", "old", F.least("label", "of_label").alias("label"))
         after = scratch.save(f"{name}{k}", after)
         scratch.drop(f"{name}{k - 1}" if k > 1 else name)
         now = after.select("vertex", "label")
@@ -299,71 +362,116 @@ def components(scratch: Scratch, name: str, edges: DataFrame) -> DataFrame:
 def join_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
     """(id_col, n_shingles, component_id) per row of df."""
     scratch = Scratch(df.sparkSession, "jaccard")
-    made = scratch.save("sketches", sketches(df, id_col, text_col, shingle, percent))
-    labels = _labels(scratch, df, made, id_col, text_col, shingle, percent)
-    rows = made.select("id", "n", "vertex")
+    hot = hot_shingles(df, id_col, text_col, shingle)
+    made = scratch.save("sketches", sketches(df, id_col, text_col, shingle, percent, hot))
+    there = made.where("n > 0")
+    total = there.count()
+    # of rows with equal sets, the first one stands for all
+    copies = scratch.save("copies", there.groupBy("d1", "d2").agg(F.min("row").alias("vertex"), F.count("*").alias("rows")).where("rows > 1"))
+    often = hot_keys(copies, "d1", total)
+    moved = looked_up(there.select("row", "d1", F.col("d2").alias("own")), copies.select("d1", "d2", "vertex"), "d1", often, "row").where("own = d2 AND row != vertex").select("row", "vertex")
+    moved = scratch.save("moved", moved)
+    labels = _labels(scratch, df, there, moved, hot, id_col, text_col, shingle, percent)
+    rows = there.select("row", "id", "n").join(moved, "row", "left").select("row", "id", "n", F.coalesce("vertex", "row").alias("vertex"))
+    vertices = rows.groupBy("vertex").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
     if labels is not None:
-        rows = rows.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+        vertices = vertices.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     else:
-        rows = rows.withColumn("label", F.col("vertex"))
-    rows = scratch.save("rows", rows.select("id", "n", "label"))
-    scratch.drop("sketches")
-    first = rows.where("n > 0").groupBy("label").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("label", "first")
-    out = rows.join(first, "label", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")).alias("component_id"))
-
-
-def _labels(scratch: Scratch, df: DataFrame, made: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame | None:
+        vertices = vertices.withColumn("label", F.col("vertex"))
+    vertices = scratch.save("vertices", vertices)
+    groups = vertices.groupBy("label").agg(F.min("first").alias("component"), F.sum("rows").alias("size"), F.count("*").alias("rows"))
+    large = hot_keys(groups, "label", total)
+    groups = groups.where("size > 1").select("label", "component")
+    of_vertex = looked_up(vertices.select("vertex", "label"), groups, "label", large, "vertex").select("vertex", "component")
+    often = hot_keys(vertices, "vertex", total)
+    out = looked_up(rows, of_vertex, "vertex", often, "row", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = scratch.save("result", out.union(made.where("n = 0").select("id", "n", F.col("id").alias("component"))))
+    scratch.drop_others("result")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _labels(scratch: Scratch, df: DataFrame, there: DataFrame, moved: DataFrame, hot: Hot, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame | None:
     """(vertex, label) of all vertices that have a link; None if none has."""
-    # of copies, one row gives keys
-    copies = made.groupBy("vertex").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("vertex", "first")
-    copies = scratch.save("copies", copies)
-    others = made.join(_small(copies), "vertex").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "vertex").distinct()
-    others = scratch.save("others", others)
-    keyed = made.where("id IS NOT NULL").join(_small(others), ["id", "vertex"], "left_anti").select(F.explode("keys").alias("key"), "vertex")
-    met = scratch.save("met", keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = scratch.save("members", keyed.join(met, "key").select("key", "vertex", "size").distinct())
-    met_vertices = scratch.save("met_vertices", members.select("vertex").distinct())
-    first = made.select("id", "vertex").join(_small(met_vertices), "vertex", "left_semi").groupBy("vertex").agg(F.min("id").alias("id"))
-    first = scratch.save("first", first.select(F.col("id").alias(id_col)).distinct())
-    texts = df.select(id_col, text_col).join(_small(first), id_col, "left_semi")
-    sets = scratch.save("sets", sets_of(texts, id_col, text_col, shingle).dropDuplicates(["vertex"]))
-    for name in ("copies", "others", "met", "first"):
-        scratch.drop(name)
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    keyed = there.join(_small(moved.select("row")), "row", "left_anti").select(F.explode("keys").alias("key"), F.col("row").alias("vertex"))
+    met = scratch.save("met", keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    n_members = met.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    crowded = hot_keys(met, "key", n_members)
+    members = scratch.save("members", looked_up(keyed, met.withColumnRenamed("rows", "size"), "key", crowded, "vertex").select("key", "vertex", "size"))
+    # how many others a vertex meets over all its blocks
+    central = scratch.save("central", members.groupBy("vertex").agg(F.sum("size").alias("score"), F.count("*").alias("rows")))
+    busy = hot_keys(central, "vertex", n_members)
+    own = there.select(F.col("row").alias("vertex"), "id", "n", "d1", "d2", "cold", "sketch").join(_small(central.select("vertex")), "vertex", "left_semi")
+    own = scratch.save("own", own)
+    ids = scratch.save("ids", own.where("id IS NOT NULL").select(F.col("id").alias(id_col)).distinct())
+    texts = df.join(_small(ids), id_col, "left_semi").select(text_col).union(df.where(F.col(id_col).isNull()).select(text_col))
+    sets = scratch.save("sets", sets_of(texts, shingle).join(own.select("d1", "d2", "vertex"), ["d1", "d2"]).select("vertex", "hashes"))
+
+    def verified(name: str, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are linked, stored under the name."""
+        pairs = scratch.save(f"{name}_pairs", pairs.distinct())
+        total = pairs.count()
         left = sets.select(F.col("vertex").alias("a"), F.col("hashes").alias("of_a"))
         right = sets.select(F.col("vertex").alias("b"), F.col("hashes").alias("of_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.where(linked(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
-
-    # the member that meets most others over all its blocks is a block's first pivot
-    central = members.groupBy("vertex").agg(F.sum("size").alias("score"))
-    pivots = members.join(central, "vertex").groupBy("key").agg(F.max(F.struct("score", "vertex")).alias("p")).select("key", F.col("p.vertex").alias("b"))
-    pairs = members.join(pivots, "key").where("vertex != b").select(F.col("vertex").alias("a"), "b").distinct()
-    edges = scratch.save("edges", verified(pairs))
+        both = looked_up(pairs, left, "a", hot_keys(_counted(pairs, "a"), "a", total), "b")
+        both = looked_up(both, right, "b", hot_keys(_counted(pairs, "b"), "b", total), "a")
+        found = scratch.save(name, both.where(linked(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
+        scratch.drop(f"{name}_pairs")
+        return found
+
+    # the most central member is a block's pivot
+    scored = looked_up(members, central.select("vertex", "score"), "vertex", busy, "key")
+    pivots = scored.groupBy("key").agg(F.max_by("vertex", "score").alias("b"))
+    pairs = looked_up(members.select("key", "vertex"), pivots, "key", crowded, "vertex").where("vertex != b").select(F.col("vertex").alias("a"), "b")
+    edges = verified("edges", pairs)
     labels = None if edges.isEmpty() else components(scratch, "first", edges)
     at = members.select("key", "vertex")
     if labels is None:
         at = at.withColumn("label", F.col("vertex"))
     else:
-        at = at.join(labels, "vertex", "left").select("key", "vertex", F.coalesce("label", "vertex").alias("label"))
+        at = looked_up(at, labels, "vertex", busy, "key", "left").select("key", "vertex", F.coalesce("label", "vertex").alias("label"))
     # blocks that still hold several components
-    open_ = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    marks = made.join(_small(met_vertices), "vertex", "left_semi").groupBy("vertex").agg(F.first("n").alias("n"), F.first("cold").alias("cold"), F.first("sketch").alias("sketch"))
-    rows = at.join(open_, "key").join(marks, "vertex")
-    rows = scratch.save("open", rows.select("key", "vertex", "label", "n", "cold", *[F.col("sketch")[k].alias(f"s{k}") for k in range(COLD_WORDS + HOT_WORDS)]))
-    if rows.isEmpty():
-        return labels
-    one = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "key"])
-    two = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "key"])
-    pairs = one.join(two, (one["key"] == two["key"]) & _may_link(percent)).select(F.col("a_vertex").alias("a"), F.col("b_vertex").alias("b")).distinct()
-    more = scratch.save("more", verified(pairs))
-    if more.isEmpty():
-        return labels
-    if labels is not None:
-        more = scratch.save("all", labels.where("vertex != label").select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(more))
-    return components(scratch, "second", more)
+    open_ = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x != y").select("key", "size")
+    at = scratch.save("open", looked_up(at, open_, "key", crowded, "vertex"))
+    marks = own.select("vertex", "n", "cold", *[F.col("sketch")[k].alias(f"s{k}") for k in range(COLD_WORDS + HOT_WORDS)])
+    small = at.where(F.col("size") <= BLOCK_ROWS).select("key", "vertex", "label", F.lit(1).alias("cells"))
+    crowd = at.where(F.col("size") > BLOCK_ROWS).select("vertex", "label").distinct()
+    again = prefix_keys(sets.join(crowd, "vertex"), hot, percent)
+    shared = _counted(again, "key").where("rows > 1").withColumn("cells", F.ceil(F.col("rows") / CELL_ROWS).cast("int")).select("key", "cells")
+    again = again.join(shared, "key").select("key", "vertex", "label", "cells")
+    rows = scratch.save("cells", small.union(again))
+    scratch.drop("met", "members", "open", "ids")
+    more = edges.limit(0) if rows.isEmpty() else verified("more", _cell_pairs(rows.join(marks, "vertex"), percent))
+    if not more.isEmpty():
+        if labels is not None:
+            more = scratch.save("all", labels.where("vertex != label").select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(more))
+        labels = components(scratch, "second", more)
+    return labels
+
+
+def prefix_keys(sets: DataFrame, hot: Hot, percent: int) -> DataFrame:
+    """(key, vertex, label): each set's rarest shingles, of which any linked set shares one."""
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [prefix_of(x.values.to_numpy(zero_copy_only=False).view(np.uint64), shared.value, percent) for x in b.column(2)]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["key", "vertex", "label"])
+
+    return sets.select("vertex", "label", "hashes").mapInArrow(task, "key long, vertex long, label long")
+
+
+def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows that share a key and may be linked. A key's members are dealt to its cells; each pair of cells is a join key of its own."""
+    cell = F.pmod(F.xxhash64("vertex"), F.col("cells")).cast("int")
+    values = [c for c in rows.columns if c not in ("key", "cells")]
+    one = rows.withColumn("i", cell).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("cells") - 1)))
+    two = rows.withColumn("j", cell).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
+    one = one.select("key", "i", "j", *[F.col(c).alias(f"a_{c}") for c in values])
+    two = two.select("key", "i", "j", *[F.col(c).alias(f"b_{c}") for c in values])
+    met = one.join(two, ["key", "i", "j"]).where(_may_link(percent))
+    return met.select(F.least("a_vertex", "b_vertex").alias("a"), F.greatest("a_vertex", "b_vertex").alias("b"))
 
 
 def _may_link(percent: int) -> Column:
@@ -373,7 +481,9 @@ def _may_link(percent: int) -> Column:
     away = F.lit(0)
     for k in range(COLD_WORDS + HOT_WORDS):
         away = away + F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}")))
-    return (F.col("a_label") < F.col("b_label")) & (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.abs(F.col("a_cold") - F.col("b_cold")) <= most) & (away <= most)
+    # within a cell, each pair comes in both orders
+    once = (F.col("i") < F.col("j")) & (F.col("a_label") != F.col("b_label")) | (F.col("a_label") < F.col("b_label"))
+    return once & (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.abs(F.col("a_cold") - F.col("b_cold")) <= most) & (away <= most)
 
 
 def keep_representatives(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/serion/{name}-{uuid.uuid4().hex}"
-        self._marked = False
+        self._names: set[str] = set()
 
     def _path(self, *names: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *names]))
@@ -40,10 +40,10 @@ class Scratch:
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Writes df and reads it back: later jobs start from the files."""
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
-        if not self._marked:
+        if not self._names:
             files, path = self._path()
             files.deleteOnExit(path)
-            self._marked = True
+        self._names.add(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -51,6 +51,11 @@ class Scratch:
         for name in names:
             files, path = self._path(name)
             files.delete(path, True)
+            self._names.discard(name)
+
+    def drop_others(self, *kept: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*sorted(self._names - set(kept)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -205,15 +205,50 @@ def _mutants(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
-def test_components_of_mutants(spark, monkeypatch, seed, k, percent):
+@pytest.mark.parametrize(("seed", "k", "percent", "small"), [(1, 4, 85, False), (2, 5, 80, True), (3, 2, 60, False), (4, 3, 50, True)])
+def test_components_of_mutants(spark, monkeypatch, seed, k, percent, small):
+    """small: every block is too large for its pairs, every key is hot, no table is small."""
     rows = _mutants(seed)
     monkeypatch.setattr(jaccard_join, "HOT_TEXTS", 6)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 10 if seed == 2 else 10**6)
+    if small:
+        for name, value in {"BROADCAST_ROWS": 10, "BLOCK_ROWS": 2, "CELL_ROWS": 2, "HOT_KEY": 1 / 300, "SALTS": 3}.items():
+            monkeypatch.setattr(jaccard_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(_docs(spark, rows), shingle=k, percent=percent).collect()}
     assert got == brute.components(rows, k, percent)
 
 
+def test_null_and_repeated_ids_take_part(spark):
+    """Links among rows without id, and copies without id of rows that have one."""
+    long, other = TEXTS[16], " ".join(f"u{i}" for i in range(300))
+    rows = [(None, long), (None, long + " end"), (None, None), (None, ""), (5, other + " end"), (None, other), (None, other), (7, other), (7, "x y"), (3, "x y")]
+    got = jaccard_join.join_components(_docs(spark, rows)).collect()
+    key = lambda r: (str(r[0]), r[1], str(r[2]))
+    want = [(None, 1997, None), (None, 1998, None), (None, 0, None), (None, 0, None), (5, 298, 5), (None, 297, 5), (None, 297, 5), (7, 297, 5), (7, 1, 3), (3, 1, 3)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(11)
+    for t in range(600):
+        percent, n = (85, 80, 50)[t % 3], int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, 1 + n // 4) :], rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 4)), dtype=np.uint64)]))
+        both = np.intersect1d(a, b)
+        every = np.union1d(a, b)
+        if 100 * len(both) < percent * len(every):
+            continue
+        hashes = every[rng.random(len(every)) < rng.choice([0, 0.5, 1])]
+        hot = jaccard_join.Hot(hashes, rng.permutation(len(hashes)))
+        assert len(np.intersect1d(jaccard_join.prefix_of(a, hot, percent), jaccard_join.prefix_of(b, hot, percent)))
+
+
+def test_scratch_is_cleared(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark.conf, "get", lambda *a, get=spark.conf.get: f"file://{tmp_path}" if a[0] == "spark.checkpoint.dir" else get(*a), raising=False)
+    assert jaccard_join.join_components(docs).count() == len(DOCS)
+    (left,) = (tmp_path / "serion").iterdir()
+    assert [x.name for x in left.iterdir()] == ["result"]
+
+
 def test_no_link_misses_a_key():
     rng = np.random.default_rng(5)
     draw = lambda n: rng.integers(0, 2**64, int(n), dtype=np.uint64)
