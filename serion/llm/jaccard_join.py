@@ -317,10 +317,11 @@ def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, hot: list[int], by: str, how: str = "inner") -> DataFrame:
-    """rows joined with found, which has one row per key; rows of hot keys are dealt by a hash of the column ``by``."""
-    if not hot:
-        return rows.join(found, key, how)
-    is_hot = F.col(key).isin(hot)
+    """rows joined with found, which has one row per key; rows of hot keys are dealt by a hash of the column ``by``.
+
+    Without hot keys the join is the same, so its plan does not depend on the data.
+    """
+    is_hot = F.col(key).isin(*hot, -1)
     salt = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     places = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return rows.withColumn("_salt", salt).join(found.withColumn("_salt", F.explode(places)), [key, "_salt"], how).drop("_salt")
