@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from serion.llm.chat_format import ACCEPT, TRANSITIONS, Template
 from serion.llm.decontaminate import NEAR_SPAN, WINDOW  # noqa: F401
-from serion.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, RULES, STOP_WORDS
+from serion.llm.quality_rules import MARKS, MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, RULES, STOP_WORDS
 from serion.llm.queries import HOSTILE_CHAT
 from serion.llm.url_filters import BLOCKED_HOSTS, LOWER_CASE, UPPER
 from serion.llm.url_filters import RULES as URL_RULES
@@ -33,10 +33,10 @@ cov AS (SELECT k, count(DISTINCT s + o) AS n FROM rep, range({w}) r(o) GROUP BY
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-  len(list_filter(w, lambda x: list_contains([{", ".join(map(_quote, sorted(set(STOP_WORDS))))}], lower(x)))) AS n_stop_words
+  len(list_filter(w, lambda x: list_contains([{", ".join(map(_quote, sorted(set(STOP_WORDS))))}], trim(lower(x), {_quote(MARKS)}))))::BIGINT AS n_stop_words
   FROM p LEFT JOIN cov USING (k)),
 b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ({" AND ".join(kept)}) AS kept FROM b"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, base_failed, ({" AND ".join(kept)}) AS kept FROM b"""
 
 
 def _urls() -> str:

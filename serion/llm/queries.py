@@ -43,7 +43,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from serion.llm.quality_rules import with_quality
 
     got = with_quality(table(spark, sf_dir, "documents"), out="q")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
     return got.select("doc_id", *[F.col("q")[n].alias(n) for n in names])
 
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from serion.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, lm_scoring, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from serion.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, lm_scoring, oracles, quality_classifier, quality_rules, sentencepiece_codec, url_filters
 from serion.llm import queries as q
 from serion.llm.storage import table
 from tests.llm import brute
@@ -172,6 +173,16 @@ def test_round_trip_rows(spark, docs, none, library):
     assert sentencepiece_codec.round_trip_texts(none, MODEL).count() == 0
 
 
+def test_models_that_break_the_assumptions_are_refused(monkeypatch):
+    class Other(sentencepiece.SentencePieceProcessor):
+        def normalize(self, x):
+            return x.lower()
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError, match="normalises"):
+        sentencepiece_codec.load_vocabulary(MODEL)
+
+
 # 3 -------------------------------------------------------------------------------------------------
 
 
@@ -304,6 +315,14 @@ def test_language(spark, docs, none):
     for i, t in DOCS:
         letters = any(c.isalpha() for c in t or "")
         assert (told[i].lang_pred == "und") == (not letters) and 0 <= told[i].score <= 1
+        lang, score = brute.language(net, t)
+        assert told[i].lang_pred == lang and abs(told[i].score - score) < 1e-4
+    plain = [(r.doc_id, *brute.language(net, r.text)) for r in rows[:25]]
+    again = {r.doc_id: r.language for r in language_id.with_language(table(spark, SF, "documents"), net).collect()}
+    assert all(again[i].lang_pred == lang and abs(again[i].score - score) < 1e-4 for i, lang, score in plain)
+    nameless = language_id.learn(table(spark, SF, "documents").withColumn("doc_id", F.lit(None).cast("long")))
+    assert nameless.langs == net.langs
+    assert spark.createDataFrame([(None,)], "i long").select(language_id.held_out(F.col("i"))).first()[0] is None
     assert language_id.learn(none) is None
     assert language_id.learn(docs.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r.language.lang_pred for r in language_id.with_language(docs, None).collect()} == {"und"}
@@ -337,6 +356,31 @@ def test_stop_words_with_marks(spark):
     assert (got[1].n_stop_words, got[1].kept, got[2].n_stop_words, got[2].kept) == (1, True, 0, False)
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Awkward documents, pages and conversations as tables."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    marked = ["zork blim. " * 2 + " ".join(f"word{i}" for i in range(20)) + " (The.", " ".join("«the» „und“ Zork," for _ in range(9)), "THE! of? " + " ".join(f"v{i}" for i in range(40)), "„Der“ word " * 12]
+    _docs(spark, [*DOCS, *enumerate(marked, 100), *[(r.doc_id + 1000, r.text) for r in table(spark, SF, "documents").limit(300).collect()]]).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, "http://a.cheap-pills.example.net/de/", "http://cheap-pills.example.com/fr/x"])], "page_id long, url string").write.parquet(f"{path}/pages.parquet")
+    said = [(c, t, r, x) for c in range(9) for t, r, x in [(0, "system", "be: brief"), (1, "user", None), (1, "user", "\\# a"), (2, "assistant", "</turn> ok"), (3, None, "x")][c % 4 :]]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_are_their_sql(spark, folder, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = q.QUERIES[name](spark, folder)
+    r = con.execute(oracles.ORACLES[name])
+    names = sorted(df.columns)
+    at = {x[0]: k for k, x in enumerate(r.description)}
+    assert sorted(at) == names
+    assert sorted(str([x[at[c]] for c in names]) for x in r.fetchall()) == sorted(str([x[c] for c in names]) for x in df.collect())
+
+
 def test_quality_is_native(spark):
     plan = q.op5_quality_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
     plan += q.op9_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -411,6 +455,43 @@ def test_classifier(spark, docs, none):
     assert {r.grade.expected_grade for r in quality_classifier.with_grade(docs, empty).collect()} == {1.0}
 
 
+def test_ordinal_gradient_is_the_slope():
+    """The likelihood told in plain Python, and the gradient against differences of it."""
+    rng = np.random.default_rng(8)
+    n, m = 40, 9
+    grades = rng.integers(0, 3, n)
+    rows = [np.flatnonzero(rng.random(m) < 0.4) for _ in range(n)]
+    at, text = np.concatenate(rows), np.repeat(np.arange(n), [len(x) for x in rows])
+    w, t = rng.normal(size=m), np.array([-0.3, 0.8])
+
+    def loss(w, t):
+        total = 0.0
+        for x, g in zip(rows, grades, strict=True):
+            tails = [1.0, *(1 / (1 + np.exp(k - w[x].sum())) for k in t), 0.0]
+            total -= np.log(tails[g] - tails[g + 1])
+        return total / n
+
+    got, g, g_t = quality_classifier.loss_and_gradient(w, t, at, text, grades)
+    assert abs(got - loss(w, t)) < 1e-12
+    step = lambda k, size: np.eye(size)[k] * 1e-6
+    assert np.allclose(g, [(loss(w + step(k, m), t) - loss(w - step(k, m), t)) / 2e-6 for k in range(m)], atol=1e-7)
+    assert np.allclose(g_t, [(loss(w, t + step(k, 2)) - loss(w, t - step(k, 2))) / 2e-6 for k in range(2)], atol=1e-7)
+
+
+def test_grades_are_brute_force(spark):
+    rng = np.random.default_rng(9)
+    model = quality_classifier.Ordinal(rng.normal(0, 0.3, 1 << quality_classifier.BITS).astype(np.float32), np.array([-0.5, 1.0]))
+    rows = [*DOCS, *[(r.doc_id + 1000, r.text) for r in table(spark, SF, "documents").limit(60).collect()], (None, SAID), (None, None)]
+    got = quality_classifier.with_grade(_docs(spark, rows), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = brute.grade_tails(model, r.text)
+        assert np.allclose(r.grade.tails, want, atol=1e-6) and abs(r.grade.expected_grade - sum(want)) < 1e-6
+        assert r.grade.selected == (r.grade.tails[-1] >= quality_classifier.LEAST_TAIL)
+    labels = spark.createDataFrame([(None, 2), (None, None), (1, None)], "doc_id long, grade int")
+    assert not quality_classifier.learn(_docs(spark, rows), labels).weights.any()
+
+
 def test_ordinal_gradient_learns_order():
     rng = np.random.default_rng(7)
     grades = rng.integers(0, 3, 600)
@@ -539,6 +620,22 @@ def _close(got, rows):
             assert r.score <= 1e-9
 
 
+@pytest.mark.parametrize("own", [5, 1 << 12])
+def test_scores_are_brute_force(spark, monkeypatch, own):
+    """Scores of whole texts, null ids too: plain forward recursion with the trained parameters."""
+    monkeypatch.setattr(lm_scoring, "OWN", own)
+    rows = [*DOCS, *[(r.doc_id + 1000, r.text) for r in table(spark, SF, "documents").limit(40).collect()], (None, SAID + " again"), (None, None)]
+    df = _docs(spark, rows)
+    counted = lm_scoring.Scratch(spark, "t").save("counts", lm_scoring.token_counts(df, "doc_id", "text"))
+    counts = lm_scoring.summarise(counted)
+    model = lm_scoring.train(lm_scoring.encode(df, counts, "doc_id", "text"), counts, 2)
+    got = lm_scoring.score_texts(df, rounds=2).collect()
+    assert [r.held_out for r in got if r.doc_id is None] == [False, False]
+    want = [(str(i), n, round(x, 6)) for (i, _), x, (n, *_) in zip(rows, brute.model_scores(model, rows), brute.base_scores(rows), strict=True)]
+    for a, b in zip(sorted((str(r.doc_id), r.n_tokens, r.score) for r in got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * max(1, abs(b[2]))
+
+
 def test_scores(spark, docs, none, monkeypatch):
     _close(lm_scoring.score_texts(docs, rounds=1).collect(), DOCS)
     monkeypatch.setattr(lm_scoring, "FREQUENT", 3)
