@@ -3,15 +3,18 @@
 Method. Bytes are embedded; filters of several widths run over windows of fixed
 length; rectified maxima over each window feed a softmax. The network is trained
 in numpy on the driver from a bounded sample of labelled texts: LEARN_DOCS rows
-per language at most in expectation, LEARN_WINDOWS windows spread over each whole
-text. Prediction runs over all windows of the whole text, in batches, in Arrow
+per language at most in expectation, drawn by a hash of the id (of the text where
+the id is null). Every epoch passes over all windows of the whole texts of the
+sample; languages weigh alike, and so do the texts of a language. Prediction runs over all windows of the whole text, in batches, in Arrow
 tasks; a text's language is that of the largest mean log-probability, its score
 the mean probability of that language.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; the
 last window of a text is padded with spaces; without a labelled row everything is
 ``und``; with one language everything that has a letter is that one; repeated
-rows are judged alike; only the text is an input of a prediction.
+rows are judged alike; only the text is an input of a prediction. A row with a null
+id is held out by no rule (``held_out`` is null), so the registered query does not
+learn from it.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-LEARN_DOCS, LEARN_WINDOWS = 600, 5
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
+LEARN_DOCS = 300
+EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 7
 UNKNOWN = "und"
 #: A filtering stage keeps a text from this score on.
 LEAST_SCORE = 0.4
@@ -79,8 +82,8 @@ def probabilities(net: Network, windows: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(net.langs)))
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str]) -> Network:
-    """Adam on the cross-entropy, classes weighted alike; a pooled maximum passes its gradient to the place it came from."""
+def fit(windows: np.ndarray, labels: np.ndarray, texts: np.ndarray, langs: list[str]) -> Network:
+    """Adam on the cross-entropy; a pooled maximum passes its gradient to the place it came from. texts: the text of each window."""
     rng = np.random.default_rng(SEED)
     n_filters, mask = FILTERS * len(WIDTHS), _mask()
     p = [
@@ -92,8 +95,11 @@ def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str]) -> Network:
     ]
     p = [x.astype(np.float32) for x in p]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    weight = 1 / np.maximum(np.bincount(labels, minlength=len(langs)), 1)
-    weight = (weight / weight[labels].mean())[labels].astype(np.float32)
+    # each text weighs one over its language's texts, its windows share that
+    size = np.bincount(texts)
+    of_lang = np.bincount(labels, 1 / size[texts], len(langs))
+    weight = 1 / size[texts] / of_lang[labels]
+    weight = (weight / weight.mean()).astype(np.float32)
     places, t = np.arange(max(WIDTHS)), 0
     for _ in range(EPOCHS):
         for pick in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // BATCH)):
@@ -145,18 +151,15 @@ def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, LEARN_DOCS / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col).cast("string")), F.lit(1 << 24)) < share * (1 << 24)
-    room = F.greatest(F.length(text_col) - WINDOW, F.lit(0))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(LEARN_WINDOWS - 1)), lambda i: F.substring(F.col(text_col), (1 + F.floor(room * i / (LEARN_WINDOWS - 1))).cast("int"), F.lit(WINDOW)))
-    got = rows.where(drawn).select(F.col(lang_col).alias("lang"), F.explode(F.array_distinct(pieces)).alias("piece"))
-    got = sorted(got.select("lang", "piece").collect())
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 24)) < share * (1 << 24)
+    got = sorted(map(tuple, rows.where(drawn).select(lang_col, text_col).collect()))  # LEARN_DOCS rows per language
     if not got:
         return None
-    langs = sorted({r.lang for r in got})
-    raw = [r.piece.encode()[:WINDOW] for r in got]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    windows, _ = to_windows(at, np.frombuffer(b"".join(raw), np.uint8))
-    return fit(windows, np.array([langs.index(r.lang) for r in got]), langs)
+    langs = sorted({lang for lang, _ in got})
+    raw = [text.encode("utf-8", "replace") for _, text in got]
+    windows, first = to_windows(np.concatenate([[0], np.cumsum([len(x) for x in raw])]), np.frombuffer(b"".join(raw), np.uint8))
+    texts = np.repeat(np.arange(len(got)), np.diff(first))
+    return fit(windows, np.array([langs.index(lang) for lang, _ in got])[texts], texts, langs)
 
 
 def predict_column(network: Network | None, text: Column, spark) -> Column:
