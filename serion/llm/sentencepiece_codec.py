@@ -9,7 +9,8 @@ leaves the border between them. Ids are then recovered backwards from the end.
 
 Defined cases: a null text counts as empty; an empty text has no ids but the end
 id; characters that no piece holds become byte pieces; texts of any length are
-encoded whole; control pieces are never matched in a text. Rows are kept as they
+encoded whole (ids and decoding of one text are values of at most 2 GB, as strings
+are in Spark); control pieces are never matched in a text. Rows are kept as they
 are, repeated ones too, and columns of other names pass by untouched.
 """
 
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from serion.llm.words import byte_runs
+
 SPACE = "▁"
 END_ID = 2
 #: Entries that a worker's table of encoded chunks holds before it starts anew.
@@ -30,6 +33,8 @@ CHUNK_CACHE = 500_000
 PAIR_CACHE = 2_000_000
 _NONE = float("-inf")
 #: A piece holds neither a line end nor SPACE after another character, so no merge crosses these borders.
+#: White space at both ends and in runs, capitals, a ligature, a full-width and a composed letter: identity keeps them.
+_PROBE = "  A \ufb01\uff21 e\u0301  "
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -42,11 +47,18 @@ class Vocabulary(NamedTuple):
 
 
 def load_vocabulary(path: str) -> Vocabulary:
-    """Reads a BPE model with identity normalisation and byte fallback."""
+    """Reads a BPE model; ValueError unless it normalises by identity, has all byte pieces and no piece crosses a chunk's border."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(m.get_piece_size())
+    if m.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
+        raise ValueError("the model normalises texts")
+    if sum(map(m.is_byte, ids)) != 256:
+        raise ValueError("the model has no byte fallback")
+    pieces = [m.id_to_piece(i) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+    if any(len(_CHUNK.findall(p)) > 1 for p in pieces):
+        raise ValueError("a piece crosses the border of a word or line")
     kind = lambda i: "b" if m.is_byte(i) else "c" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "n"
     return Vocabulary([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], "".join(map(kind, ids)))
 
@@ -223,8 +235,8 @@ def encode_texts(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for first, end in byte_runs(b.column(1)):
+                part = b.slice(first, end - first)
                 ids = [codec.encode(x.as_py()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -252,10 +264,10 @@ def round_trip_texts(df: DataFrame, model: str, *, id_col: str = "doc_id", text_
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for first, end in byte_runs(b.column(1)):
+                part = b.slice(first, end - first)
                 n, ids, decoded = zip(*[codec.round_trip(x.as_py()) for x in part.column(1)], strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.large_string()).cast(pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_text", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_text", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n_tokens long, ids_text string, decoded string").withColumnRenamed("id", id_col)
