@@ -6,8 +6,8 @@ the forward-backward recursion over its training texts and returns expected
 counts, Spark sums them, the driver turns the sums (a table of fixed size) into
 new parameters. Scoring runs the scaled forward recursion over each whole text.
 
-A class is a part of the 64-bit hash of a token, the end of a text is one of its
-own. Long texts are cut into segments: in training each segment is a sequence; in
+Each of the OWN most frequent tokens is a class of its own, and so is the end of a
+text; all other tokens are in the class of a part of their 64-bit hash. Long texts are cut into segments: in training each segment is a sequence; in
 scoring a segment's recursion is run from every state at once and the segments
 are chained, which gives the exact likelihood of the whole text.
 
@@ -18,7 +18,8 @@ make no hot key, and what is broadcast does not grow.
 
 Defined cases: a null text is empty and has the end token only; without training
 texts all counts are 0; repeated rows are scored one by one; texts of any length
-are scored whole. Scores are log10 probabilities.
+are scored whole; a row with a null id is not held out, so it is learnt from.
+Scores are log10 probabilities.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from serion.llm.words import SPACE, crc_mod, slices, words
 
 STATES = 6
 CLASS_BITS = 12
-CLASSES = (1 << CLASS_BITS) + 1  # the last one is the end
+#: Most frequent tokens that are classes of their own.
+OWN = 1 << 12
+CLASSES = (1 << CLASS_BITS) + OWN + 1  # parts of the hash, own tokens, the end
 END_CLASS = CLASSES - 1
-#: The end's token number; no word hash takes part in its class.
+#: The end's token number.
 END = 0
 ROUNDS = 6
 SEGMENT = 256
@@ -59,11 +62,13 @@ class Model(NamedTuple):
 
 
 def held_out(id_col: Column) -> Column:
-    return F.pmod(F.crc32(id_col.cast("string")), F.lit(HELD_OUT_MODULUS)) == HELD_OUT_REMAINDER
+    """Rows that learning never sees; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(HELD_OUT_MODULUS)) == HELD_OUT_REMAINDER, F.lit(False))
 
 
 def _train_rows(ids: pa.Array) -> np.ndarray:
-    return crc_mod(ids.to_pylist(), HELD_OUT_MODULUS) != HELD_OUT_REMAINDER
+    named = np.array([i is not None for i in ids.to_pylist()], bool)
+    return ~named | (crc_mod(ids.to_pylist(), HELD_OUT_MODULUS) != HELD_OUT_REMAINDER)
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,6 +115,7 @@ class Counts(NamedTuple):
     class_share: np.ndarray
     frequent: np.ndarray
     frequent_count: np.ndarray
+    frequent_class: np.ndarray
 
 
 def summarise(table: DataFrame) -> Counts:
@@ -121,8 +127,17 @@ def summarise(table: DataFrame) -> Counts:
         sums[k], sizes[k] = c, n
     top = table.where(F.col("token") != END).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
     token, count = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy().astype(np.int64)
+    own = np.arange(len(token)) < OWN  # leave the class of their hash for one of their own
+    part = (token[own] >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+    np.subtract.at(sums, part, count[own])
+    np.subtract.at(sizes, part, 1)
+    kinds = (token >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+    kinds[own] = (1 << CLASS_BITS) + np.arange(own.sum())
+    sums[kinds[own]] = count[own]
+    # an own class holds one token, the end's too: all others keep room for one that training has not seen
+    room = np.where(np.arange(CLASSES) < 1 << CLASS_BITS, sizes + 1, 1)
     order = np.argsort(token)
-    return Counts(int(total), int(distinct), sums + 0.5 * (sizes + 1), (sums + 0.5) / (sums + 0.5).sum(), token[order], count[order])
+    return Counts(int(total), int(distinct), sums + 0.5 * room, (sums + 0.5) / (sums + 0.5).sum(), token[order], count[order], kinds[order].astype(np.uint16))
 
 
 _ENCODED = "key long, id {id}, train boolean, n_tokens long, known long, log_count double, seen binary, rare array<long>, rare_n array<int>"
@@ -140,7 +155,7 @@ def encode(docs: DataFrame, counts: Counts, id_col: str, text_col: str) -> DataF
         from pyspark import TaskContext
 
         c = shared.value
-        end_count = c.total and int(round(float(c.class_norm[END_CLASS]) - 1.0))
+        end_count = int(round(float(c.class_norm[END_CLASS]) - 0.5))
         log_frequent = np.log10(c.frequent_count + 0.5)
         key = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -154,6 +169,7 @@ def encode(docs: DataFrame, counts: Counts, id_col: str, text_col: str) -> DataF
                 known = np.bincount(row[common], minlength=len(n)) + (end_count > 0)
                 logs = np.bincount(row, np.where(common, log_frequent[place] if len(c.frequent) else 0.0, np.log10(0.5)), len(n)) + np.log10(end_count + 0.5)
                 seen = (w.hash >> np.uint64(64 - CLASS_BITS)).astype(np.uint16)
+                seen[common] = c.frequent_class[place[common]]
                 seen = np.insert(seen, w.bounds[1:], END_CLASS).astype(np.uint16)
                 ends = w.bounds[1:] + np.arange(1, len(n) + 1)
                 starts = ends - n - 1
@@ -338,19 +354,19 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, log_norm = shared.value
-        for b, rows in _steps(batches, 5):
+        for b, rows in _steps(batches, 6):
             # the classes' probability, over each class's smoothed total
             hidden = log_likelihoods(model, rows) - np.array([log_norm[x].sum() for x in rows])
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(hidden)], ["key", "id", "train", "n_tokens", "known", "hidden"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(hidden)], ["key", "id", "train", "n_tokens", "known", "log_count", "hidden"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = encoded.select("key", "id", "train", "n_tokens", "known", "seen").mapInArrow(task, f"key long, id {kind}, train boolean, n_tokens long, known long, hidden double")
+    scored = encoded.select("key", "id", "train", "n_tokens", "known", "log_count", "seen").mapInArrow(task, f"key long, id {kind}, train boolean, n_tokens long, known long, log_count double, hidden double")
     rare = encoded.select("key", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("key", F.col("x.rare").alias("token"), F.col("x.rare_n").alias("times"))
     met = rare.join(table, "token").groupBy("key").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * (F.log10(F.col("count") + 0.5) - F.log10(F.lit(0.5)))).alias("more_log"))
-    both = scored.join(encoded.select("key", "log_count"), "key").join(met, "key", "left")
+    both = scored.join(met, "key", "left")
     logs = F.col("log_count") + F.coalesce("more_log", F.lit(0.0))
     norm = float(np.log10(counts.total + 0.5 * (counts.distinct + 1)))
-    return both.select(
+    out = both.select(
         F.col("id").alias(id_col),
         (~F.col("train")).alias("held_out"),
         "n_tokens",
@@ -359,3 +375,6 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         (logs - F.col("n_tokens") * norm).alias("base_score"),
         (logs + F.col("hidden")).alias("score"),
     )
+    out = scratch.save("scores", out)
+    scratch.drop_others("scores")
+    return out

@@ -15,7 +15,8 @@ sample are read whole, and all texts are scored whole.
 Defined cases: a null or empty text has no feature and gets the model's base
 probabilities; without labels every text gets the probabilities of an untrained
 model (tails of one half) and is kept; null labels are not learnt from; of
-several labels of one id the lowest grade counts; repeated rows are scored alike.
+several labels of one id the lowest grade counts; a null id has no label; repeated
+rows are scored alike.
 """
 
 from __future__ import annotations
@@ -93,6 +94,21 @@ def features(at: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, at: np.ndarray, text: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood and its gradient in weights and thresholds; text ``text[k]`` has feature ``at[k]``."""
+    row, n = np.arange(len(grades)), len(grades)
+    s = np.bincount(text, w[at], n)
+    tail = np.ones((n, GRADES + 1))
+    tail[:, 1:GRADES] = 1 / (1 + np.exp(np.clip(t[None, :] - s[:, None], -50, 50)))
+    tail[:, GRADES] = 0
+    p = (tail[row, grades] - tail[row, grades + 1]).clip(1e-9)
+    slope = tail * (1 - tail)
+    low, high = slope[row, grades] / p, slope[row, grades + 1] / p
+    g = np.bincount(at, (-(low - high) / n)[text], len(w))
+    g_t = np.array([(low[grades == k].sum() - high[grades == k - 1].sum()) / n for k in range(1, GRADES)])
+    return float(-np.log(p).mean()), g, g_t
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> Ordinal:
     """Minimises the mean negative log-likelihood plus PENALTY times the L1 norm."""
     size = np.array([len(x) for x in rows])
@@ -103,17 +119,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Ordinal:
     share = np.array([(grades >= k).mean() for k in range(1, GRADES)]).clip(1e-3, 1 - 1e-3)
     t = -np.log(share / (1 - share))
     t_seen = np.zeros(GRADES - 1)
-    row, n = np.arange(len(rows)), len(rows)
     for _ in range(STEPS):
-        s = np.bincount(text, w[at], n)
-        tail = np.ones((n, GRADES + 1))
-        tail[:, 1:GRADES] = 1 / (1 + np.exp(np.clip(t[None, :] - s[:, None], -50, 50)))
-        tail[:, GRADES] = 0
-        p = (tail[row, grades] - tail[row, grades + 1]).clip(1e-9)
-        slope = tail * (1 - tail)
-        low, high = slope[row, grades] / p, slope[row, grades + 1] / p
-        g = np.bincount(at, (-(low - high) / n)[text], 1 << BITS)
-        g_t = np.array([(low[grades == k].sum() - high[grades == k - 1].sum()) / n for k in range(1, GRADES)])
+        _, g, g_t = loss_and_gradient(w, t, at, text, grades)
         seen += g * g
         t_seen += g_t * g_t
         rate = RATE / (np.sqrt(seen) + 1e-3)
