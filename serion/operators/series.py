@@ -1,68 +1,127 @@
 """Operators on ordered numeric series.
 
-A series is a table with one numeric order column. No operator sorts a whole
-series in one task: the order column is cut at quantiles into chunks, each chunk
-is one window partition, and what crosses a border (one row, or one count, per
-chunk) is carried over by a small table.
+A series is a table, or the rows of one key in a table, with one numeric order
+column. No operator sorts a whole long series in one task: a series of more than
+CHUNK_ROWS rows is cut at quantiles of the order column into chunks, each chunk is
+one window partition, and what crosses a border (one row, one count or one value
+per chunk, or the last rows before it) is carried over. Shorter series are one
+window partition each. Cutting takes one count of rows (with keys: per key) and one
+pass over the order column of the long series; the borders, MAX_CHUNKS at most, are
+searched by halving. Beyond MAX_CHUNKS chunks grow, and their windows spill.
+
+Rows with a null order value are dropped. Rows of equal order value stand in the
+order of the columns ``then``, then of the values asked for (nulls first); what
+they still share, they share in any order. Null keys are a series of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a chunk should hold.
 CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 4096
+MAX_CHUNKS = 1 << 14
 
+Names = tuple[str, ...]
 
-def _chunk(df: DataFrame, order: str) -> tuple[Column, int]:
-    """Number of the chunk of a row, by quantiles of the order column."""
-    n = max(1, min(MAX_CHUNKS, -(-df.count() // CHUNK_ROWS)))
-    if n == 1:
-        return F.lit(0), 1
-    found = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n).alias("cuts")).first().cuts
-    cuts = sorted(set(found or []))
-    borders = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(borders, lambda c: c <= F.col(order))), len(cuts) + 1
 
+class _Cut(NamedTuple):
+    rows: DataFrame  # with _long: whether a row's series is cut
+    chunk: Callable[[Column], Column]  # number of the chunk that an order value falls into
+    many: bool
 
-def previous(df: DataFrame, order: str, values: list[str], keys: tuple[str, ...] = (), prefix: str = "prev_") -> DataFrame:
-    """df and, per value, its value in the row before (null in the first row).
 
-    With keys, each key is a series of its own. Rows with a null order value are dropped.
-    """
+def _below(borders: list, x: Column) -> Column:
+    """How many of the sorted borders are not above x, by halving."""
+    steps, n = [], 1
+    while n <= len(borders):
+        steps.insert(0, n)
+        n *= 2
+    cuts = F.array(*[F.lit(c) for c in borders])
+
+    def go(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(borders)) & (F.element_at(cuts, F.least(at + step, F.lit(len(borders)))) <= x), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), go)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Names) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[f"_of_{k}"])
+    return out
+
+
+def _joined(rows: DataFrame, carried: DataFrame, keys: Names) -> DataFrame:
+    """rows left join carried, which has one row per key and chunk; without keys it has a row per chunk and is broadcast."""
+    renamed = carried.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_chunk")], *[c for c in carried.columns if c not in (*keys, "_chunk")])
+    renamed = renamed if keys else F.broadcast(renamed)
+    return rows.join(renamed, _same(rows, renamed, (*keys, "_chunk")), "left").drop(*[f"_of_{k}" for k in (*keys, "_chunk")])
+
+
+def _cut(df: DataFrame, order: str, keys: Names) -> _Cut:
     df = df.where(F.col(order).isNotNull())
+    whole = _Cut(df.withColumn("_long", F.lit(False)), lambda x: F.lit(0), False)
+    total = df.count()
+    if total <= CHUNK_ROWS:
+        return whole
+    marked = df.withColumn("_long", F.lit(True))
     if keys:
-        w = Window.partitionBy(*keys).orderBy(order)
-        return df.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in values])
-    chunk, n = _chunk(df, order)
-    cut = df.withColumn("_chunk", chunk)
-    w = Window.partitionBy("_chunk").orderBy(order)
-    out = cut.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in values], (F.row_number().over(w) == 1).alias("_first"))
-    if n == 1:
-        return out.drop("_chunk", "_first")
-    # the last row of each chunk, handed to the next chunk that has rows
-    last = cut.groupBy("_chunk").agg(F.max(F.struct(F.col(order).alias("_order"), *values)).alias("_last"))
-    following = Window.orderBy("_chunk")  # one row per chunk
-    last = last.select(F.lead("_chunk").over(following).alias("_chunk"), "_last").where("_chunk IS NOT NULL")
-    out = out.join(F.broadcast(last), "_chunk", "left")
-    for v in values:
-        out = out.withColumn(prefix + v, F.when(F.col("_first"), F.col("_last")[v]).otherwise(F.col(prefix + v)))
-    return out.drop("_chunk", "_first", "_last")
-
-
-def ranked(df: DataFrame, order: str, name: str = "n") -> DataFrame:
-    """df and a 1-based rank in ascending order."""
-    df = df.where(F.col(order).isNotNull())
-    chunk, n = _chunk(df, order)
-    cut = df.withColumn("_chunk", chunk)
-    out = cut.withColumn(name, F.row_number().over(Window.partitionBy("_chunk").orderBy(order)).cast("long"))
-    if n == 1:
+        # total / CHUNK_ROWS keys at most
+        long = df.groupBy(*keys).count().where(F.col("count") > CHUNK_ROWS)
+        total = long.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        if not total:
+            return whole
+        long = F.broadcast(long.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.lit(True).alias("_is_long")))
+        marked = df.join(long, _same(df, long, keys), "left").withColumn("_long", F.coalesce("_is_long", F.lit(False))).drop("_is_long", *[f"_of_{k}" for k in keys])
+    n = min(MAX_CHUNKS, -(-total // CHUNK_ROWS))
+    found = marked.where("_long").agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n).alias("cuts")).first().cuts
+    borders = sorted(set(found or []))
+    if not borders:
+        return whole
+    return _Cut(marked, lambda x: F.when(F.col("_long"), _below(borders, x)).otherwise(F.lit(0)), True)
+
+
+def _window(keys: Names, order: Names):
+    return Window.partitionBy(*keys, "_chunk").orderBy(*order)
+
+
+def previous(df: DataFrame, order: str, values: list[str], keys: Names = (), prefix: str = "prev_", then: Names = ()) -> DataFrame:
+    """df and, per value, its value in the row before (null in the first row)."""
+    cut = _cut(df, order, keys)
+    rows = cut.rows.withColumn("_chunk", cut.chunk(F.col(order)))
+    by = (order, *then, *[v for v in values if v not in (order, *then)])
+    w = _window(keys, by)
+    out = rows.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in values], (F.row_number().over(w) == 1).alias("_first"))
+    if cut.many:
+        # the last row of each chunk, handed to the next chunk of the series that has rows
+        last = rows.where("_long").groupBy(*keys, "_chunk").agg(F.max(F.struct(*by)).alias("_last"))
+        following = Window.partitionBy(*keys).orderBy("_chunk")  # one row per chunk
+        last = last.select(*keys, F.lead("_chunk").over(following).alias("_chunk"), "_last").where("_chunk IS NOT NULL")
+        out = _joined(out, last, keys)
+        for v in values:
+            out = out.withColumn(prefix + v, F.when(F.col("_first"), F.col("_last")[v]).otherwise(F.col(prefix + v)))
+        out = out.drop("_last")
+    return out.drop("_chunk", "_first", "_long")
+
+
+def _ranked(cut: _Cut, order: str, name: str, keys: Names, then: Names) -> DataFrame:
+    rows = cut.rows.withColumn("_chunk", cut.chunk(F.col(order)))
+    out = rows.withColumn(name, F.row_number().over(_window(keys, (order, *then))).cast("long"))
+    if not cut.many:
         return out.drop("_chunk")
-    sizes = cut.groupBy("_chunk").count()  # one row per chunk
-    before = sizes.select("_chunk", (F.sum("count").over(Window.orderBy("_chunk")) - F.col("count")).alias("_before"))
-    return out.join(F.broadcast(before), "_chunk").withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before")
+    sizes = rows.where("_long").groupBy(*keys, "_chunk").count()  # one row per chunk
+    before = sizes.select(*keys, "_chunk", (F.sum("count").over(Window.partitionBy(*keys).orderBy("_chunk")) - F.col("count")).alias("_before"))
+    return _joined(out, before, keys).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_chunk", "_before")
+
+
+def ranked(df: DataFrame, order: str, name: str = "n", keys: Names = (), then: Names = ()) -> DataFrame:
+    """df and a 1-based rank in ascending order, within each key."""
+    return _ranked(_cut(df, order, keys), order, name, keys, then).drop("_long")
 
 
 def gaps(df: DataFrame, order: str, keys: tuple[str, ...] = (), name: str = "gap") -> DataFrame:
@@ -83,22 +142,48 @@ def sign_changes(df: DataFrame, order: str, value: str, keys: tuple[str, ...] =
     return out.where(change)
 
 
-def carried_forward(df: DataFrame, order: str, value: str, keys: tuple[str, ...], name: str) -> DataFrame:
+def carried_forward(df: DataFrame, order: str, value: str, keys: Names, name: str, then: Names = ()) -> DataFrame:
     """df and the last non-null value up to each row."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-
-
-def ring_stats(df: DataFrame, order: str, value: str, keys: tuple[str, ...], rows: int = 300) -> DataFrame:
+    cut = _cut(df, order, keys)
+    rows = cut.rows.withColumn("_chunk", cut.chunk(F.col(order)))
+    by = (order, *[c for c in (*then, value) if c != order])
+    out = rows.withColumn(name, F.last(value, ignorenulls=True).over(_window(keys, by).rowsBetween(Window.unboundedPreceding, 0)))
+    if cut.many:
+        last = rows.where("_long").groupBy(*keys, "_chunk").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*by)))[value].alias("_last"))
+        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+        last = last.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        out = _joined(out, last, keys).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+    return out.drop("_chunk", "_long")
+
+
+def ring_stats(df: DataFrame, order: str, value: str, keys: Names, rows: int = 300, then: Names = ()) -> DataFrame:
     """df and n, least, largest, total and mean value of the last ``rows`` rows."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(rows - 1), 0)
-    return df.select("*", F.count(value).over(w).alias("n"), F.min(value).over(w).alias("least"), F.max(value).over(w).alias("largest"), F.sum(value).over(w).alias("total"), F.avg(value).over(w).alias("mean"))
-
-
-def clipped_stats(df: DataFrame, seconds: str, value: str, keys: tuple[str, ...], span: int = 300) -> DataFrame:
-    """df and count and mean of the rows of the last ``span`` seconds."""
-    w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-span, 0)
-    return df.select("*", F.count(value).over(w).alias("n"), F.avg(value).over(w).alias("mean"))
+    cut = _cut(df, order, keys)
+    if cut.many:
+        # chunks of equal numbers of rows; the last rows of a chunk are guests of the next one
+        out = _ranked(cut, order, "_n", keys, (*then, value))
+        size = max(CHUNK_ROWS, rows)
+        own = F.when(F.col("_long"), F.floor((F.col("_n") - 1) / size).cast("int")).otherwise(0)
+        border = F.col("_long") & ((F.col("_n") - 1) % size >= size - (rows - 1))
+        out = out.withColumn("_own", own).withColumn("_chunk", F.explode(F.when(border, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+        by: Names = ("_n",)
+    else:
+        out = cut.rows.withColumn("_own", F.lit(0)).withColumn("_chunk", F.lit(0))
+        by = (order, *[c for c in (*then, value) if c != order])
+    w = _window(keys, by).rowsBetween(-(rows - 1), 0)
+    out = out.select("*", F.count(value).over(w).alias("n"), F.min(value).over(w).alias("least"), F.max(value).over(w).alias("largest"), F.sum(value).over(w).alias("total"), F.avg(value).over(w).alias("mean"))
+    return out.where("_chunk = _own").drop("_chunk", "_own", "_long", *(["_n"] if cut.many else []))
+
+
+def clipped_stats(df: DataFrame, seconds: str, value: str, keys: Names, span: int = 300) -> DataFrame:
+    """df and count and mean of the rows of the last ``span`` seconds (rows of one second count alike)."""
+    cut = _cut(df, seconds, keys)
+    out = cut.rows.withColumn("_own", cut.chunk(F.col(seconds)))
+    # a row is a guest of every later chunk that begins within its span
+    out = out.withColumn("_chunk", F.explode(F.sequence(F.col("_own"), cut.chunk(F.col(seconds) + span))) if cut.many else F.col("_own"))
+    w = _window(keys, (seconds,)).rangeBetween(-span, 0)
+    out = out.select("*", F.count(value).over(w).alias("n"), F.avg(value).over(w).alias("mean"))
+    return out.where("_chunk = _own").drop("_chunk", "_own", "_long")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -24,6 +24,50 @@ def test_order_across_chunks(spark, tiny_chunks):
     assert got == {r.k: (rows[i - 1].v if i else None, i + 1) for i, r in enumerate(rows)}
 
 
+def _walk(rows):
+    """Rows (key, order, tie, value) of each key in order, in plain Python; nulls first."""
+    out = {}
+    for r in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2], r[3] is not None, r[3] or 0)):
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 40, 10**6])
+def test_keyed_series_across_chunks(spark, monkeypatch, chunk):
+    """A hot key, many small ones, a null key, ties, null values and null order values."""
+    monkeypatch.setattr(series, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 9 else int(k), int(rng.integers(0, 90)) if rng.random() < 0.97 else None, int(i), float(rng.integers(0, 50)) if rng.random() < 0.8 else None) for i, k in enumerate(rng.choice([0, 0, 0, 0, 1, 2, 3, 9], 300))]
+    df = spark.createDataFrame(rows, "key long, o long, tie long, v double")
+    by_key = _walk(rows)
+    want = {}
+    for each in by_key.values():
+        carried = None
+        for i, r in enumerate(each):
+            carried = r[3] if r[3] is not None else carried
+            ring = [x[3] for x in each[max(0, i - 4) : i + 1] if x[3] is not None]
+            clip = [x[3] for x in each if r[1] - 10 <= x[1] <= r[1] and x[3] is not None]
+            want[r[2]] = (each[i - 1][3] if i else None, each[i - 1][2] if i else None, i + 1, carried, len(ring), min(ring, default=None), max(ring, default=None), len(clip), round(sum(clip) / len(clip), 9) if clip else None)
+    keys, then = ("key",), ("tie",)
+    parts = [
+        {r.tie: (r.prev_v, r.prev_tie) for r in series.previous(df, "o", ["v", "tie"], keys, then=then).collect()},
+        {r.tie: (r.n,) for r in series.ranked(df, "o", keys=keys, then=then).collect()},
+        {r.tie: (r.c,) for r in series.carried_forward(df, "o", "v", keys, "c", then).collect()},
+        {r.tie: (r.n, r.least, r.largest) for r in series.ring_stats(df, "o", "v", keys, 5, then).collect()},
+        {r.tie: (r.n, r.mean if r.mean is None else round(r.mean, 9)) for r in series.clipped_stats(df, "o", "v", keys, 10).collect()},
+    ]
+    assert all(set(p) == set(want) for p in parts)
+    assert {t: sum((p[t] for p in parts), ()) for t in want} == want
+    assert series.previous(df, "o", ["v"], keys).columns == [*df.columns, "prev_v"]
+
+
+def test_borders_are_found_by_halving(spark):
+    borders = [1, 4, 9, 16, 25, 36, 49]
+    for n in (0, 1, 2, 3, 6, 7):
+        got = spark.range(-2, 60).select("id", (series._below(borders[:n], F.col("id")) if n else F.lit(0)).alias("k")).collect()
+        assert all(r.k == sum(b <= r.id for b in borders[:n]) for r in got)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, 1.0)], [(1.0, 5.0)]])
 def test_series_without_pairs(spark, rows):
     df = spark.createDataFrame(rows, "k double, v double")
