@@ -44,4 +44,9 @@ def first_present(*values: Column) -> Column:
 
 def periodic(t: Column, step: float, every: int = 100) -> Column:
     """True on the grid point that is nearest to a multiple of ``every``."""
-    return (F.floor(t).cast("long") % every == 0) & (F.abs(t - F.bround(t)) < step)
+    return within_unit(t, every) & (F.abs(t - F.bround(t)) < step)
+
+
+def within_unit(t: Column, every: int = 100) -> Column:
+    """True on every point whose whole part is a multiple of ``every`` (earlier form: once per step of the unit)."""
+    return F.floor(t).cast("long") % every == 0

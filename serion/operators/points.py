@@ -67,3 +67,8 @@ def upper_half(results: DataFrame) -> DataFrame:
 
 def on_axis(results: DataFrame) -> DataFrame:
     return results.where(F.col("s.im") == 0).select(F.col("s.re").alias("x"), F.hypot("zeta_s.re", "zeta_s.im").alias("modulus"))
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """One row: points, successes, failures, seconds spent on all."""
+    return results.agg(F.count("*").alias("n_points"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))

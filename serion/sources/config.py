@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass, fields
 from typing import Any
 
 import yaml
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -44,3 +46,16 @@ def load(path: str, *, create: bool = False) -> RunConfig:
         return RunConfig()
     with open(path, encoding="utf-8") as f:
         return overlay(yaml.safe_load(f) or {})
+
+
+def defaults() -> dict[str, Any]:
+    return asdict(RunConfig())
+
+
+def overlaid(spark: SparkSession, given: dict[str, Any]) -> DataFrame:
+    """(k, v, number) of every setting as a table: given values over the defaults, other keys ignored."""
+    rows = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, str(v))])
+    known = {k: v for k, v in given.items() if k in defaults() and v is not None}
+    own = spark.range(1).select(rows(defaults()).alias("own"))
+    both = F.map_zip_with(own.own, rows(known), lambda k, a, b: F.coalesce(b, a)) if known else own.own
+    return own.select(F.explode(both).alias("k", "v")).withColumn("number", F.col("v").try_cast("double"))

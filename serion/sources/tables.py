@@ -86,6 +86,12 @@ def write_points(results: DataFrame, path: str) -> None:
     text.write.mode("overwrite").csv(path, header=True, nullValue="NaN")
 
 
+def write_numbered(zeros: DataFrame, path: str, first: int = 20) -> None:
+    """(zero_num, imag) of the first zeros as one CSV file."""
+    rows = zeros.orderBy("n").limit(first).select(F.col("n").alias("zero_num"), F.col("t").alias("imag"))
+    rows.coalesce(1).sortWithinPartitions("zero_num").write.mode("overwrite").csv(path, header=True)
+
+
 def write_if_any(df: DataFrame, path: str) -> bool:
     """Writes a CSV unless df is empty."""
     if df.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -65,5 +66,39 @@ def dashboard(buffer: DataFrame, bins: int = 20) -> dict[str, DataFrame]:
     }
 
 
+def live_dashboard(stream: DataFrame, show: Callable[[dict[str, DataFrame], int], None], checkpoint: str, path: str, *, rows: int = ROWS, bins: int = 20, every: str | None = None) -> None:
+    """Refreshes the dashboard with every micro-batch of samples (elapsed_s, temp_c, cpu_pct).
+
+    The retained buffer, the last ``rows`` samples with a temperature, is a table under
+    ``path``, one version per batch; a batch that is run again writes its version again.
+    Fewer than two retained samples give no dashboard. every: the interval of an endless
+    run (the query is returned to no one and runs until it is stopped); without it, what
+    the source has now is worked off.
+    """
+    spark = stream.sparkSession
+    kept = stream.where(F.col("temp_c").isNotNull()).select("elapsed_s", "temp_c", "cpu_pct")
+    shape = kept.schema
+
+    def refresh(batch: DataFrame, k: int) -> None:
+        held = spark.read.schema(shape).parquet(f"{path}/{k - 1}") if k else spark.createDataFrame([], shape)
+        last = held.union(batch).orderBy(F.desc("elapsed_s"), "temp_c", "cpu_pct").limit(rows)
+        last.write.mode("overwrite").parquet(f"{path}/{k}")
+        now = spark.read.schema(shape).parquet(f"{path}/{k}")
+        if now.limit(2).count() == 2:
+            show(dashboard(now, bins), k)
+
+    writer = kept.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    writer.start().awaitTermination()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where a session on one machine (tests) has none, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="serion-")
+
+
 def read_files(spark: SparkSession, path: str, schema: Any, per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
