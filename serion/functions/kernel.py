@@ -88,3 +88,28 @@ def bisect(f, a: np.ndarray, b: np.ndarray, rounds: int = 45) -> np.ndarray:
         same = fa * f(c) > 0
         a, b = np.where(same, c, a), np.where(same, b, c)
     return np.where(fine, (a + b) / 2, np.nan)
+
+
+def newton(f, a: np.ndarray, b: np.ndarray, tol: float = 1e-13, rounds: int = 50) -> np.ndarray:
+    """Roots by Newton's method from the middle of each bracket, with the slope taken from differences.
+
+    A root that leaves its bracket or does not settle is found by halving; NaN where the ends have one sign.
+    """
+    a, b = np.array(a, float), np.array(b, float)
+    x, live, done = (a + b) / 2, np.arange(len(a)), np.zeros(len(a), bool)
+    for _ in range(rounds):
+        if not len(live):
+            break
+        h = 1e-6 * np.maximum(1.0, np.abs(x[live]))
+        slope = (f(x[live] + h) - f(x[live] - h)) / (2 * h)
+        step = np.divide(f(x[live]), slope, out=np.full(len(live), np.inf), where=slope != 0)
+        after = x[live] - step
+        inside = (after >= a[live]) & (after <= b[live])
+        x[live[inside]] = after[inside]
+        settled = inside & (np.abs(step) <= tol * np.maximum(1.0, np.abs(after)))
+        done[live[settled]] = True
+        live = live[inside & ~settled]
+    rest = np.flatnonzero(~done)
+    if len(rest):
+        x[rest] = bisect(f, a[rest], b[rest])
+    return x

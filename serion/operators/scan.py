@@ -13,12 +13,12 @@ from serion.functions import kernel, special
 from serion.operators import series
 
 ORIGIN = 10.0
-#: Grid points that one task evaluates with its right neighbour's first point.
-BLOCK = 20_000
+#: Terms of the zeta sum that one task evaluates: a point at height t takes about t of them.
+BLOCK_TERMS = 2_000_000
 RESIDUAL = 1e-10
 
 DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"hardy_z": kernel.hardy_z, "real_zeta": kernel.real_zeta}
-REFINERS = {"illinois": kernel.illinois, "bisect": kernel.bisect}
+REFINERS = {"illinois": kernel.illinois, "bisect": kernel.bisect, "newton": kernel.newton}
 
 
 def check_height(t_max: float) -> float:
@@ -44,17 +44,22 @@ def brackets(spark: SparkSession, t_max: float, step: float = 0.05, detector: st
 def candidates(spark: SparkSession, t_max: float, step: float = 0.05, detector: str = "hardy_z", refiner: str = "illinois") -> DataFrame:
     """(t, residual) of all refined sign changes; failed refinements have null t.
 
-    The grid is split into blocks of points; each evaluates one point more than
+    The grid is split into blocks of equal cost; each evaluates one point more than
     it owns, so no order over the whole grid is needed.
     """
     n = round((check_height(t_max) - ORIGIN) / step)
-    blocks = -(-n // BLOCK)
+    # the terms up to height t grow with its square
+    low, high = ORIGIN**2, (ORIGIN + n * step) ** 2
+    blocks = max(1, round((high - low) / 2 / step / BLOCK_TERMS))
+
+    def first(k: int) -> int:
+        return min(n, max(0, round(((low + (high - low) * k / blocks) ** 0.5 - ORIGIN) / step)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, refine = DETECTORS[detector], REFINERS[refiner]
         for b in batches:
             for k in b.column(0).to_pylist():
-                t = ORIGIN + step * np.arange(k * BLOCK, min((k + 1) * BLOCK, n) + 1)
+                t = ORIGIN + step * np.arange(first(k), first(k + 1) + 1)
                 z = f(t)
                 at = np.flatnonzero(z[1:] * z[:-1] < 0)
                 root = np.concatenate([refine(f, t[at], t[at + 1]), t[:-1][z[:-1] == 0]])

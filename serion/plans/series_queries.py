@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from serion.functions import classify, parse
 from serion.operators import series
 from serion.plans.registry import query, table
+from serion.sources import logs
 from serion.streaming import monitor
 
 _SECONDS = "unix_micros(cast(ts as timestamp))"
@@ -69,10 +69,7 @@ def gap_summary(spark, sf_dir):
 @query(f"SELECT user_id, n::BIGINT AS n, gap_us FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us) AS n, gap_us FROM ({_GAPS_SQL})) WHERE n >= 2")
 def rank_gap_series(spark, sf_dir):
     """Gap against rank, the first gap of each user dropped."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("us")).cast("long")
-    return _gaps(spark, sf_dir).withColumn("n", rank).where("n >= 2").select("user_id", "n", "gap_us")
+    return series.ranked(_gaps(spark, sf_dir), "us", keys=("user_id",)).where("n >= 2").select("user_id", "n", "gap_us")
 
 
 @query("""
@@ -89,14 +86,14 @@ def mean_crossings(spark, sf_dir):
     return got.where(F.col("prev_d") * F.col("d") < 0).select("user_id", "prev_event_id", "event_id")
 
 
-_RING = "OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)"
+_RING = "OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)"
 
 
 @query(f"SELECT event_id, count(value) {_RING} AS n, min(value) {_RING} AS least, max(value) {_RING} AS largest, (sum(value::DECIMAL(12,2)) {_RING})::DOUBLE / count(value) {_RING} AS mean FROM events")
 def ring_buffer_stats(spark, sf_dir):
-    """Statistics of the last 300 rows of each user."""
+    """Statistics of the last 300 rows of each kind of event."""
     e = _events(spark, sf_dir).withColumn("cents", F.col("value").cast("decimal(12,2)"))  # exact sums
-    got = series.ring_stats(e, "us", "cents", ("user_id",))
+    got = series.ring_stats(e, "us", "cents", ("event_type",))
     return got.select("event_id", "n", F.col("least").cast("double").alias("least"), F.col("largest").cast("double").alias("largest"), (F.col("total").cast("double") / F.col("n")).alias("mean"))
 
 
@@ -136,13 +133,11 @@ def snapshots_100(spark, sf_dir):
     return series.snapshots(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
-@query("SELECT user_id, n, event_id, us FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, event_id, epoch_us(ts) AS us FROM events) WHERE n % 100 = 0")
+@query("SELECT o_orderpriority, n, o_orderkey FROM (SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n, o_orderkey FROM orders) WHERE n % 100 = 0")
 def every_hundredth(spark, sf_dir):
-    """Emission of every hundredth row per user."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("us")).cast("long")
-    return _events(spark, sf_dir).withColumn("n", n).where("n % 100 = 0").select("user_id", "n", "event_id", "us")
+    """Emission of every hundredth row of each series."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
+    return series.ranked(o, "o_orderkey", keys=("o_orderpriority",)).where("n % 100 = 0")
 
 
 def _two_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -184,8 +179,7 @@ def tumbling_30s(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="serion-")
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return f"{monitor.shared_folder(spark).rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL '30 seconds', ts)) AS start_us, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -198,16 +192,59 @@ def stream_tumbling_30s(spark, sf_dir):
     return got.select(F.unix_micros("start").alias("start_us"), "x.n", F.round("x.mean", 6).alias("mean"))
 
 
-@query("SELECT user_id, count(value) AS n, min(value) AS least, max(value) AS largest, round(sum(value), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r <= 300 GROUP BY 1")
+@query("SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS largest, round(sum(value), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM events) WHERE r <= 300 GROUP BY 1")
 def stream_ring_buffer(spark, sf_dir):
-    """Each user's last 300 rows kept as bounded state of a stream; the last state."""
+    """The last 300 rows of each kind of event kept as bounded state of a stream; the last state."""
     path = _folder(spark)
     source = monitor.read_files(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
     source = source.withColumn("us", F.expr(_SECONDS))
-    stream = monitor.ring_buffers(source, "user_id", "us", "value")
+    stream = monitor.ring_buffers(source, "event_type", "us", "value")
     monitor.run_to_end(stream, "update", lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{path}/out"), f"{path}/state")
     got = spark.read.parquet(f"{path}/out").groupBy("key").agg(F.max(F.struct("batch", "n", "least", "largest", "mean")).alias("x"))
-    return got.select(F.col("key").alias("user_id"), "x.n", "x.least", "x.largest", F.round(F.col("x.mean") * F.col("x.n"), 2).alias("total"))
+    return got.select(F.col("key").alias("event_type"), "x.n", "x.least", "x.largest", F.round(F.col("x.mean") * F.col("x.n"), 2).alias("total"))
+
+
+_SAMPLES_SQL = "SELECT epoch_us(ts) / 1e6 AS elapsed_s, CASE WHEN event_type <> 'view' THEN value END AS temp_c, value AS cpu_pct FROM events"
+
+
+def _samples(events: DataFrame) -> DataFrame:
+    """Events as samples of a monitor; one kind has no temperature."""
+    return events.select((F.expr(_SECONDS) / 1e6).alias("elapsed_s"), F.when(F.col("event_type") != "view", F.col("value")).alias("temp_c"), F.col("value").alias("cpu_pct"))
+
+
+@query(f"SELECT min(temp_c) AS least, max(temp_c) AS largest, round(avg(temp_c), 6) AS mean, count(*) FILTER (WHERE temp_c IS NULL) AS dropped FROM ({_SAMPLES_SQL})")
+def dashboard_stats(spark, sf_dir):
+    """Statistics of all samples that have a temperature, and how many have none."""
+    samples = _samples(table(spark, sf_dir, "events"))
+    dropped = samples.agg(F.count_if(F.col("temp_c").isNull()).alias("dropped"))  # one row
+    return monitor.dashboard(samples)["stats"].withColumn("mean", F.round("mean", 6)).join(dropped)
+
+
+@query(_histogram_sql(f"SELECT temp_c FROM ({_SAMPLES_SQL}) WHERE temp_c IS NOT NULL ORDER BY elapsed_s DESC LIMIT 300", "temp_c", 20, ", CASE WHEN l >= 90 THEN 'critical' WHEN l >= 75 THEN 'warn' ELSE 'normal' END AS class"))
+def stream_dashboard(spark, sf_dir):
+    """The histogram that the live dashboard shows after the last refresh of a stream."""
+    path = _folder(spark)
+    source = monitor.read_files(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
+    shown = lambda parts, k: parts["histogram"].write.mode("overwrite").parquet(f"{path}/shown")
+    monitor.live_dashboard(_samples(source), shown, f"{path}/state", f"{path}/kept")
+    return _rounded(spark.read.parquet(f"{path}/shown"))
+
+
+@query("""SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S') AS taken_at, value AS first_c, round(value + 1.5, 2) AS hottest_c, CASE WHEN event_id % 3 > 0 THEN 2::BIGINT ELSE 0 END AS n_sensors,
+  CASE WHEN event_id % 2 = 0 THEN (user_id % 100)::DOUBLE END AS gpu_pct, CASE WHEN event_id % 2 = 0 THEN user_id::DOUBLE END AS gpu_mb, CASE WHEN event_id % 2 = 0 THEN 61.0::DOUBLE END AS gpu_c
+FROM events WHERE event_id % 3 > 0
+UNION ALL SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S'), NULL, NULL, 0, CASE WHEN event_id % 2 = 0 THEN (user_id % 100)::DOUBLE END, CASE WHEN event_id % 2 = 0 THEN user_id::DOUBLE END, CASE WHEN event_id % 2 = 0 THEN 61.0::DOUBLE END FROM events WHERE event_id % 3 = 0""")
+def sampler_snapshots(spark, sf_dir):
+    """Snapshots of the external sampler's text log, made of events and read back; some lack a section."""
+    e = table(spark, sf_dir, "events")
+    text = lambda c: c.cast("string")
+    time = F.date_format(F.col("ts").cast("timestamp"), "EEE MMM dd HH:mm:ss")
+    sensors = F.concat(F.lit("--- sensors ---\n  temp1_input: "), text(F.col("value")), F.lit("\n  temp2_input: "), text(F.round(F.col("value") + 1.5, 2)), F.lit("\n"))
+    card = F.concat(F.lit("--- nvidia-smi ---\n"), text(F.col("user_id") % 100), F.lit(" %, "), text(F.col("user_id")), F.lit(" MiB, 61\n"))
+    block = F.concat(time, F.lit(" ===\n--- iostat ---\nsda 1.0 2.0\n"), F.when(F.col("event_id") % 3 > 0, sensors).otherwise(""), F.when(F.col("event_id") % 2 == 0, card).otherwise(""))
+    got = logs.snapshots(e.select("event_id", block.alias("block")), keep=("event_id",))
+    first, hottest = F.get("temps", F.lit(0)), F.array_max("temps")
+    return got.select("event_id", "taken_at", first.alias("first_c"), hottest.alias("hottest_c"), F.size("temps").cast("long").alias("n_sensors"), "gpu_pct", "gpu_mb", "gpu_c")
 
 
 _TOKEN = "CASE event_id % 6 WHEN 0 THEN value::VARCHAR || ',' || user_id::VARCHAR || 'j' WHEN 1 THEN value::VARCHAR || '-' || user_id::VARCHAR || 'i' WHEN 2 THEN 'inf abc' WHEN 3 THEN '-' || value::VARCHAR || '+j' WHEN 4 THEN '1e' || (user_id % 5)::VARCHAR || '  nan' ELSE '' END"
@@ -308,7 +345,8 @@ def formatted_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.format_string("%.3f", "value").alias("fixed"), parse.file_name("zeros", F.col("value") + 0.123, stamp, "csv").alias("file"), parse.complex_text(s).alias("complex"))
 
 
-@query("SELECT event_id, (floor(value)::BIGINT % 100 = 0 AND abs(value - round_even(value, 0)) < 0.05) AS due FROM events")
+@query("SELECT event_id, (floor(value)::BIGINT % 100 = 0 AND abs(value - round_even(value, 0)) < 0.05) AS due, floor(value)::BIGINT % 100 = 0 AS due_in_unit, floor(value)::BIGINT % 50 = 0 AS due_at_50 FROM events")
 def periodic_trigger(spark, sf_dir):
-    """Whether a row is due for the periodic report."""
-    return table(spark, sf_dir, "events").select("event_id", classify.periodic(F.col("value"), 0.05).alias("due"))
+    """Whether a row is due for the periodic report, in its present and its two earlier forms."""
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", classify.periodic(v, 0.05).alias("due"), classify.within_unit(v).alias("due_in_unit"), classify.within_unit(v, 50).alias("due_at_50"))

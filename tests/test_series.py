@@ -102,7 +102,8 @@ def test_zeros(spark, monkeypatch):
     assert np.allclose(zeros[:10], tables.FIRST_ZEROS, atol=1e-12)
     gaps = np.diff(zeros)
     assert np.isclose(gaps.min(), 0.4364052411394823, atol=1e-9) and np.isclose(gaps.mean(), 1.8076345421192235, atol=1e-9)
-    monkeypatch.setattr(scan, "BLOCK", 999)
+    monkeypatch.setattr(scan, "BLOCK_TERMS", 99_999)
+    assert scan.candidates(spark, 500.0).rdd.getNumPartitions() == 25
     assert np.allclose([r.t for r in scan.accepted(scan.candidates(spark, 500.0)).orderBy("t").collect()], zeros, rtol=1e-13, atol=0)
     assert scan.rejected(scan.candidates(spark, 100.0), 0.0).count() == 29
     with pytest.raises(ValueError):
@@ -119,6 +120,9 @@ def test_kernel():
     assert np.allclose(kernel.zeta(np.array([2, 4])).real, [np.pi**2 / 6, np.pi**4 / 90])
     assert np.isnan(kernel.illinois(np.cos, np.array([0.0]), np.array([0.1]))[0])
     assert np.isclose(kernel.bisect(np.cos, np.array([1.0]), np.array([2.0]))[0], np.pi / 2)
+    # the second one starts at a flat place and leaves its bracket; the third has no root
+    roots = kernel.newton(lambda x: np.where(x < 3, np.cos(x), np.arctan(50 * (x - 10.9))), np.array([1.0, 10.0, 2.0]), np.array([2.0, 11.0, 2.5]))
+    assert np.allclose(roots[:2], [np.pi / 2, 10.9]) and np.isnan(roots[2])
 
 
 @pytest.mark.parametrize(
