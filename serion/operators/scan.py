@@ -13,11 +13,15 @@ from serion.functions import kernel, special
 from serion.operators import series
 
 ORIGIN = 10.0
-#: Terms of the zeta sum that one task evaluates: a point at height t takes about t of them.
+#: Terms that one task evaluates in expectation (see _cost).
 BLOCK_TERMS = 2_000_000
+#: Evaluations that refine one zero.
+REFINEMENTS = 12
 RESIDUAL = 1e-10
 
-DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"hardy_z": kernel.hardy_z, "real_zeta": kernel.real_zeta}
+Function = Callable[[np.ndarray], np.ndarray]
+#: What is evaluated on the grid, and what is refined.
+DETECTORS: dict[str, tuple[Function, Function]] = {"hardy_z": (kernel.hardy_z_signs, kernel.hardy_z), "real_zeta": (kernel.real_zeta, kernel.real_zeta)}
 REFINERS = {"illinois": kernel.illinois, "bisect": kernel.bisect, "newton": kernel.newton}
 
 
@@ -41,6 +45,13 @@ def brackets(spark: SparkSession, t_max: float, step: float = 0.05, detector: st
     return series.ranked(found, "high").select("n", "low", "high")
 
 
+def _cost(t: np.ndarray, step: float, detector: str) -> np.ndarray:
+    """Terms per unit of height: of the grid points, and of refining the log(t / 2 pi) / 2 pi zeros."""
+    exact = t / 3 + 60
+    of_point = np.sqrt(t) + 60 if detector == "hardy_z" else exact
+    return of_point / step + REFINEMENTS * exact * np.log(np.maximum(t, 10) / (2 * np.pi)) / (2 * np.pi)
+
+
 def candidates(spark: SparkSession, t_max: float, step: float = 0.05, detector: str = "hardy_z", refiner: str = "illinois") -> DataFrame:
     """(t, residual) of all refined sign changes; failed refinements have null t.
 
@@ -48,19 +59,19 @@ def candidates(spark: SparkSession, t_max: float, step: float = 0.05, detector:
     it owns, so no order over the whole grid is needed.
     """
     n = round((check_height(t_max) - ORIGIN) / step)
-    # the terms up to height t grow with its square
-    low, high = ORIGIN**2, (ORIGIN + n * step) ** 2
-    blocks = max(1, round((high - low) / 2 / step / BLOCK_TERMS))
-
-    def first(k: int) -> int:
-        return min(n, max(0, round(((low + (high - low) * k / blocks) ** 0.5 - ORIGIN) / step)))
+    # borders at equal parts of the cost, which grows steadily with the height
+    heights = np.linspace(ORIGIN, ORIGIN + n * step, 4097)
+    cost = np.concatenate([[0.0], np.cumsum(_cost(heights[1:], step, detector) * np.diff(heights))])
+    blocks = max(1, round(cost[-1] / BLOCK_TERMS))
+    borders = np.interp(np.linspace(0, cost[-1], blocks + 1), cost, heights)
+    first = np.clip(np.round((borders - ORIGIN) / step), 0, n).astype(int).tolist()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, refine = DETECTORS[detector], REFINERS[refiner]
+        (on_grid, f), refine = DETECTORS[detector], REFINERS[refiner]
         for b in batches:
             for k in b.column(0).to_pylist():
-                t = ORIGIN + step * np.arange(first(k), first(k + 1) + 1)
-                z = f(t)
+                t = ORIGIN + step * np.arange(first[k], first[k + 1] + 1)
+                z = on_grid(t)
                 at = np.flatnonzero(z[1:] * z[:-1] < 0)
                 root = np.concatenate([refine(f, t[at], t[at + 1]), t[:-1][z[:-1] == 0]])
                 yield pa.RecordBatch.from_arrays([pa.array(root, from_pandas=True), pa.array(kernel.residual(root))], ["t", "residual"])
