@@ -213,18 +213,19 @@ def test_ring_buffer_over_batches(spark, tmp_path):
         assert (last[g].n, last[g].least, last[g].largest) == (5, min(kept), max(kept))
 
 
-def test_stream_of_shuffled_files_counts_every_row(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 4, 20])
+def test_stream_of_shuffled_files_counts_every_row(spark, tmp_path, files):
     start = datetime.datetime(2024, 1, 1)
     rows = [(start + datetime.timedelta(seconds=7 * k), float(k * k % 17) if k % 5 else None) for k in range(180)]
-    parts = [rows[120:] + rows[:1], rows[:60], rows[60:120]]
-    for k, part in enumerate(parts):
-        spark.createDataFrame(part, "ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    np.random.default_rng(files).shuffle(rows)
+    for k in range(files):
+        spark.createDataFrame(rows[k::files], "ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
         for f in (tmp_path / "events.parquet").glob("part-*"):
             if f.stat().st_mtime > 1000:  # not yet dated
                 os.utime(f, (100 + k, 100 + k))
     got = _sorted_rows(series_queries.stream_tumbling_30s(spark, str(tmp_path)))
     assert got == _sorted_rows(series_queries.tumbling_30s(spark, str(tmp_path)))
-    assert sum(n for _, n, _ in got) == sum(v is not None for p in parts for _, v in p)
+    assert sum(n for _, n, _ in got) == sum(v is not None for _, v in rows)
 
 
 def _sorted_rows(df):
