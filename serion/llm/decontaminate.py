@@ -373,10 +373,12 @@ def with_contamination(found: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, test: DataFrame, **names) -> DataFrame:
+def drop_contaminated(docs: DataFrame, test: DataFrame, *, text_col: str = "text", **names) -> DataFrame:
     """Rows of docs, all columns, that the verdict leaves; row identity is kept with a key of its own."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     keyed = scratch.save("docs", docs.withColumn("_serion_row", F.expr("uuid()")))
-    found = with_contamination(decontaminate(keyed, test, **names | {"id_col": "_serion_row"}))
-    bad = scratch.save("bad", found.where("contaminated").select("_serion_row"))
+    index = scratch.save("index", build_index(keyed, id_col="_serion_row", text_col=text_col))
+    found = with_contamination(search_table(index, test, **names))
+    bad = scratch.save("bad", found.where("contaminated").select(F.col("id").alias("_serion_row")))
+    scratch.drop("index")
     return keyed.join(bad, "_serion_row", "left_anti").drop("_serion_row")

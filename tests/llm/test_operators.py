@@ -295,6 +295,13 @@ def test_representatives_of_repeated_and_null_ids(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_representatives_row_by_row(spark):
+    long, x, y = TEXTS[16], " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(1, SAID), (9, SAID), (9, long), (12, long + " end"), (20, x), (20, y), (30, None), (30, "")]
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_representatives(_docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, SAID), (9, long), (20, x), (20, y), (30, None), (30, "")], key=str)
+
+
 def test_joined_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in q.op3_jaccard_join(spark, SF).collect()}
