@@ -106,6 +106,15 @@ def clip_300s(spark, sf_dir):
     return series.clipped_stats(e, "s", "value", ("user_id",)).select("event_id", "n", F.round("mean", 6).alias("mean"))
 
 
+@query("""
+SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM (SELECT *, (epoch_us(ts) // 60000000) AS m FROM events)
+WINDOW w AS (PARTITION BY event_type ORDER BY m RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)""")
+def clip_300_minutes(spark, sf_dir):
+    """Statistics of the last 300 minutes of each kind of event: frames of many rows."""
+    e = _events(spark, sf_dir).withColumn("m", F.floor(F.col("us") / 60000000))
+    return series.clipped_stats(e, "m", "value", ("event_type",)).select("event_id", "n", F.round("mean", 6).alias("mean"))
+
+
 @query("""
 SELECT event_id, CASE WHEN value >= 90 THEN 'critical' WHEN value >= 75 THEN 'warn' ELSE 'normal' END AS temp_class,
   CASE WHEN value > 80 THEN 'danger' WHEN value > 50 THEN 'warm' ELSE 'normal' END AS cpu_class FROM events""")
@@ -204,6 +213,13 @@ def stream_ring_buffer(spark, sf_dir):
     return got.select(F.col("key").alias("event_type"), "x.n", "x.least", "x.largest", F.round(F.col("x.mean") * F.col("x.n"), 2).alias("total"))
 
 
+@query("""SELECT event_id, CASE WHEN e < 1e-8 THEN 'ok' WHEN e < 1e-4 THEN 'warn' ELSE 'fail' END AS status FROM (SELECT event_id, value / pow(10.0, event_id % 13) AS e FROM events)""")
+def error_tiers(spark, sf_dir):
+    """Errors of many sizes by tier."""
+    error = F.col("value") / F.pow(F.lit(10.0), F.col("event_id") % 13)
+    return table(spark, sf_dir, "events").select("event_id", classify.error_tier(error).alias("status"))
+
+
 _SAMPLES_SQL = "SELECT epoch_us(ts) / 1e6 AS elapsed_s, CASE WHEN event_type <> 'view' THEN value END AS temp_c, value AS cpu_pct FROM events"
 
 

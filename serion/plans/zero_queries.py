@@ -110,16 +110,20 @@ def run_summary(spark, sf_dir):
     return got.select("n_zeros", F.round("rate", 6).alias("rate"), "expected", F.round("expected_corrected", 6).alias("expected_corrected"))
 
 
-@query(f"WITH {_z_sql()} SELECT count(*) AS accepted, 0::BIGINT AS rejected FROM r")
+#: Zeros of the unrotated detector with their residuals.
+_LEGACY_SQL = f"""{_zeros_sql("real_zeta", 0.1)},
+x AS (SELECT t, sqrt({_z_of("t", "real_zeta", 3000)} ** 2 + {_z_of("t", "imaginary", 3000)} ** 2) AS residual FROM f)"""
+
+
+@query(f"WITH {_LEGACY_SQL} SELECT count(*) FILTER (WHERE residual < 1e-9) AS accepted, count(*) FILTER (WHERE NOT residual < 1e-9) AS rejected FROM x")
 def residual_split(spark, sf_dir):
-    """Refined sign changes by residual; rejects are kept as rows, not lost."""
-    found = scan.candidates(spark, T_MAX, STEP).withColumn("kept", F.col("t").isNotNull() & (F.col("residual") < scan.RESIDUAL))
-    return found.agg(F.count_if("kept").alias("accepted"), F.count_if(~F.col("kept")).alias("rejected"))
+    """Refined sign changes of the unrotated detector by residual; rejects are kept as rows, not lost."""
+    found = scan.candidates(spark, T_MAX, 0.1, "real_zeta", "bisect")
+    counts = [part(found, 1e-9).agg(F.count("*").alias(name)) for part, name in ((scan.accepted, "accepted"), (scan.rejected, "rejected"))]
+    return counts[0].join(counts[1])  # one row each
 
 
-@query(f"""WITH {_zeros_sql("real_zeta", 0.1)},
-x AS (SELECT t, sqrt({_z_of("t", "real_zeta", 3000)} ** 2 + {_z_of("t", "imaginary", 3000)} ** 2) AS residual FROM f)
-SELECT row_number() OVER (ORDER BY t) AS n, round(t, 7) AS t FROM x WHERE residual < 1e-9""")
+@query(f"WITH {_LEGACY_SQL} SELECT row_number() OVER (ORDER BY t) AS n, round(t, 7) AS t FROM x WHERE residual < 1e-9")
 def legacy_scan(spark, sf_dir):
     """Zeros by the unrotated detector and halving: its other sign changes are no zeros and are rejected."""
     return series.ranked(scan.accepted(scan.candidates(spark, T_MAX, 0.1, "real_zeta", "bisect"), 1e-9), "t").select("n", F.round("t", 7).alias("t"))

@@ -48,6 +48,14 @@ def load(path: str, *, create: bool = False) -> RunConfig:
         return overlay(yaml.safe_load(f) or {})
 
 
+def created(path: str) -> dict[str, Any]:
+    """The file's values alone, without defaults under them; a missing file is written with the defaults first."""
+    if not os.path.exists(path):
+        load(path, create=True)
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
 def defaults() -> dict[str, Any]:
     return asdict(RunConfig())
 

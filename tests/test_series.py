@@ -182,6 +182,8 @@ def test_config(tmp_path):
     got = config.load(str(p))
     assert got.tol == 1e-12 and got.T_max == 500.0 and got.step == 0.1
     assert config.load(str(tmp_path / "new.yaml"), create=True) == config.load(str(tmp_path / "new.yaml"))
+    assert config.created(str(p)) == {"tol": "1e-12", "T_max": 500, "unknown": 1}
+    assert config.created(str(tmp_path / "own.yaml")) == config.defaults()
 
 
 def test_prompts(spark):
