@@ -436,12 +436,15 @@ def _labels(scratch: Scratch, df: DataFrame, there: DataFrame, moved: DataFrame,
     marks = own.select("vertex", "n", "cold", *[F.col("sketch")[k].alias(f"s{k}") for k in range(COLD_WORDS + HOT_WORDS)])
     small = at.where(F.col("size") <= BLOCK_ROWS).select("key", "vertex", "label", F.lit(1).alias("cells"))
     crowd = at.where(F.col("size") > BLOCK_ROWS).select("vertex", "label").distinct()
-    again = prefix_keys(sets.join(crowd, "vertex"), hot, percent)
-    shared = _counted(again, "key").where("rows > 1").withColumn("cells", F.ceil(F.col("rows") / CELL_ROWS).cast("int")).select("key", "cells")
-    again = again.join(shared, "key").select("key", "vertex", "label", "cells")
+    again = scratch.save("again", prefix_keys(sets.join(crowd, "vertex"), hot, percent))
+    groups = _counted(again, "key").where("rows > 1")
+    shared = groups.select("key", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("cells"))
+    again = looked_up(again, shared, "key", hot_keys(groups, "key", again.count()), "vertex").select("key", "vertex", "label", "cells")
     rows = scratch.save("cells", small.union(again))
-    scratch.drop("met", "members", "open", "ids")
-    more = edges.limit(0) if rows.isEmpty() else verified("more", _cell_pairs(rows.join(marks, "vertex"), percent))
+    scratch.drop("met", "members", "open", "ids", "again")
+    n_rows = rows.count()
+    busy = hot_keys(_counted(rows, "vertex"), "vertex", n_rows)
+    more = verified("more", _cell_pairs(looked_up(rows, marks, "vertex", busy, "key"), percent)) if n_rows else edges.limit(0)
     if not more.isEmpty():
         if labels is not None:
             more = scratch.save("all", labels.where("vertex != label").select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(more))
