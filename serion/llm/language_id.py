@@ -5,7 +5,8 @@ length; rectified maxima over each window feed a softmax. The network is trained
 in numpy on the driver from a bounded sample of labelled texts: LEARN_DOCS rows
 per language at most in expectation, drawn by a hash of the id (of the text where
 the id is null). Every epoch passes over all windows of the whole texts of the
-sample; languages weigh alike, and so do the texts of a language. Prediction runs over all windows of the whole text, in batches, in Arrow
+sample; languages weigh alike, and a text weighs as the root of its number of windows.
+Prediction runs over all windows of the whole text, in batches, in Arrow
 tasks; a text's language is that of the largest mean log-probability, its score
 the mean probability of that language.
 
@@ -95,10 +96,10 @@ def fit(windows: np.ndarray, labels: np.ndarray, texts: np.ndarray, langs: list[
     ]
     p = [x.astype(np.float32) for x in p]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    # each text weighs one over its language's texts, its windows share that
+    # languages weigh alike; a text of n windows weighs as much as sqrt(n) texts of one
     size = np.bincount(texts)
-    of_lang = np.bincount(labels, 1 / size[texts], len(langs))
-    weight = 1 / size[texts] / of_lang[labels]
+    of_lang = np.bincount(labels, size[texts] ** -0.5, len(langs))
+    weight = size[texts] ** -0.5 / of_lang[labels]
     weight = (weight / weight.mean()).astype(np.float32)
     places, t = np.arange(max(WIDTHS)), 0
     for _ in range(EPOCHS):
