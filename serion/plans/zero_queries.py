@@ -234,7 +234,7 @@ def config_overlay(spark, sf_dir):
     return config.overlaid(spark, _GIVEN)
 
 
-@query("SELECT a::INT AS angle, m::INT AS modulus, round(m * cos(radians(a)), 9) AS x, round(-m * sin(radians(a)), 9) AS y, round(m, 9)::DOUBLE AS rx, true AS ry_is_zero FROM (SELECT range AS a FROM range(-165, 166, 15)), (SELECT range AS m FROM range(25, 91, 13))")
+@query("SELECT a::INT AS angle, m::INT AS modulus, round(m * cos(radians(a)), 9) AS x, round(-m * sin(radians(a)), 9) + 0.0 AS y, round(m, 9)::DOUBLE AS rx, true AS ry_is_zero FROM (SELECT range AS a FROM range(-165, 166, 15)), (SELECT range AS m FROM range(25, 91, 13))")
 def phase_rotation(spark, sf_dir):
     """Rotation by the opposite phase lays every vector on the real axis."""
     grid = spark.range(23).select((F.col("id") * 15 - 165).cast("int").alias("angle"), F.explode(F.sequence(F.lit(25), F.lit(90), F.lit(13))).alias("modulus"))
