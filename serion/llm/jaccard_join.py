@@ -40,9 +40,9 @@ become pairs. Sets are told apart by 128-bit digests (with n distinct texts the
 chance that any two agree is about n * n / 2**129). Texts without a shingle take
 no part in any join.
 
-No key of a join lands in one task: a key that holds more than HOT_KEY of a
-table's rows (there are 1 / HOT_KEY of them at most) is dealt to SALTS places, and
-its one row of the other table is repeated there.
+No large key of a join lands in one task: a key that holds more than HOT_KEY of a
+table's rows (there are 1 / HOT_KEY of them at most) and more than HOT_ROWS is dealt
+to SALTS places, and its one row of the other table is repeated there.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing; a
 text shorter than a shingle is one shingle; repeated rows are in one component;
@@ -77,8 +77,8 @@ BROADCAST_ROWS = 1_000_000
 HOT_SAMPLE, HOT_SHARE, HOT_TEXTS = 5000, 1 / 128, 10
 #: Hot shingles that are kept (8 bytes each, broadcast), the most frequent ones.
 HOT_SHINGLES = 200_000
-#: Share of a table's rows from which on a join key is hot, and the places it is dealt to.
-HOT_KEY, SALTS = 1 / 256, 256
+#: A join key is hot if it holds more than this share of a table's rows, and more than HOT_ROWS; it is dealt to SALTS places.
+HOT_KEY, HOT_ROWS, SALTS = 1 / 256, 1000, 256
 #: Members of a block up to which its pairs are tried; members of a cell of a larger group.
 BLOCK_ROWS, CELL_ROWS = 256, 256
 #: Words of 64 bits of the sketches of cold and of hot shingles.
@@ -313,7 +313,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
     """Keys of more than HOT_KEY of all rows, so 1 / HOT_KEY at most. counts: (key, rows)."""
-    return [r[0] for r in counts.where(F.col("rows") > total * HOT_KEY).select(key).collect()]
+    return [r[0] for r in counts.where(F.col("rows") > max(total * HOT_KEY, HOT_ROWS)).select(key).collect()]
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, hot: list[int], by: str, how: str = "inner") -> DataFrame:

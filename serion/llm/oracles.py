@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from serion.llm.chat_format import ACCEPT, TRANSITIONS, Template
-from serion.llm.decontaminate import NEAR_SPAN, WINDOW  # noqa: F401
 from serion.llm.quality_rules import MARKS, MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, RULES, STOP_WORDS
 from serion.llm.queries import HOSTILE_CHAT
 from serion.llm.url_filters import BLOCKED_HOSTS, LOWER_CASE, UPPER
 from serion.llm.url_filters import RULES as URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
-_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER_CASE}')"
 
 
 def _quote(x: str) -> str:

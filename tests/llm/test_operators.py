@@ -222,7 +222,7 @@ def test_components_of_mutants(spark, monkeypatch, seed, k, percent, small):
     rows = _mutants(seed)
     monkeypatch.setattr(jaccard_join, "HOT_TEXTS", 6)
     if small:
-        for name, value in {"BROADCAST_ROWS": 10, "BLOCK_ROWS": 2, "CELL_ROWS": 2, "HOT_KEY": 1 / 300, "SALTS": 3}.items():
+        for name, value in {"BROADCAST_ROWS": 10, "BLOCK_ROWS": 2, "CELL_ROWS": 2, "HOT_KEY": 1 / 300, "HOT_ROWS": 1, "SALTS": 3}.items():
             monkeypatch.setattr(jaccard_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(_docs(spark, rows), shingle=k, percent=percent).collect()}
     assert got == brute.components(rows, k, percent)
