@@ -103,6 +103,18 @@ def zeros_table(spark, sf_dir):
     return scan.zero_table(spark, PRODUCTION_T_MAX, STEP, run_ts=RUN)
 
 
+@query(f"""
+WITH g AS (SELECT k, t, sqrt(t / (2 * pi())) AS a, floor(sqrt(t / (2 * pi())))::INT AS m, {_PHASES["hardy_z"].format(t="t")} AS p
+  FROM (SELECT range AS k, 10.0::DOUBLE + range * {STEP}::DOUBLE AS t FROM range({round((PRODUCTION_T_MAX - scan.ORIGIN) / STEP) + 1}))),
+z AS (SELECT k, t, 2 * list_sum(list_transform(range(1, m + 1), lambda n: cos(p - t * ln(n::DOUBLE)) / sqrt(n::DOUBLE)))
+  + (CASE WHEN m % 2 = 1 THEN 1 ELSE -1 END) * cos(2 * pi() * ((a - m) ** 2 - (a - m) - 1.0 / 16)) / cos(2 * pi() * (a - m)) / sqrt(a) AS z FROM g),
+b AS (SELECT t, z, lag(t) OVER (ORDER BY k) AS pt, lag(z) OVER (ORDER BY k) AS pz FROM z)
+SELECT floor((pt + t) / 1000)::BIGINT AS block, count(*) AS n FROM b WHERE pz * z < 0 GROUP BY 1""")
+def zeros_by_block(spark, sf_dir):
+    """Zeros of the whole production run, counted by blocks of 500."""
+    return zeros_table(spark, sf_dir).groupBy(F.floor(F.col("t") / 500).alias("block")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_z_sql()} SELECT count(*) AS n_zeros, round(count(*) / {T_MAX}, 6) AS rate, trunc({_EST})::BIGINT AS expected, round({_EST} + 0.875, 6) AS expected_corrected FROM r")
 def run_summary(spark, sf_dir):
     """Count, rate and expected counts of a run."""
