@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from serion.llm.chat_format import ACCEPT, TRANSITIONS, Template
+from serion.llm.importance import BUCKETS as IMPORTANCE_BUCKETS
+from serion.llm.importance import MIN_WORDS as MIN_DRAW_WORDS
+from serion.llm.importance import PERCENT, SEED
 from serion.llm.quality_rules import MARKS, MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, RULES, STOP_WORDS
 from serion.llm.queries import HOSTILE_CHAT
 from serion.llm.url_filters import BLOCKED_HOSTS, LOWER_CASE, UPPER
@@ -68,8 +71,34 @@ SELECT conv_id, len(turns)::BIGINT AS n_turns,
   length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars, state IN ({", ".join(map(_quote, ACCEPT))}) AS valid FROM o"""
 
 
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _importance() -> str:
+    # crc32 byte by byte: the table of 256 registers comes from eight halvings each
+    return rf"""
+WITH RECURSIVE halved AS (SELECT x::BIGINT AS byte, x::BIGINT AS c, 0 AS k FROM range(256) r(x)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM halved WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY byte) AS t FROM halved WHERE k = 8),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER_CASE}'), '{ALNUM}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER_CASE}'), '{ALNUM}') AS w FROM benchmark),
+dw AS (SELECT k, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+h AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || hex(encode(w))[2 * i + 1:2 * i + 2])::BIGINT)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % {IMPORTANCE_BUCKETS} AS bucket FROM v, crcs),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN h USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN h USING (w) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {IMPORTANCE_BUCKETS}) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + {IMPORTANCE_BUCKETS}))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT k, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN h USING (w) JOIN g USING (bucket) GROUP BY 1),
+c AS (SELECT d.k, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('{SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m USING (k)),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM c WHERE n_features >= {MIN_DRAW_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {PERCENT} * n // 100 THEN r END::BIGINT AS "rank" FROM c LEFT JOIN r USING (k)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": _quality(),
     "op6_url_filters": _urls(),
     "op9_chat_format": _chats(),
+    "op11_importance_resampling": _importance(),
 }
