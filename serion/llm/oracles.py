@@ -10,6 +10,7 @@ from serion.llm.quality_rules import MARKS, MAX_REPEAT_PERCENT, MIN_WORDS, REPEA
 from serion.llm.queries import HOSTILE_CHAT
 from serion.llm.url_filters import BLOCKED_HOSTS, LOWER_CASE, UPPER
 from serion.llm.url_filters import RULES as URL_RULES
+from serion.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,9 +97,30 @@ r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) O
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= {PERCENT} * n // 100 THEN r END::BIGINT AS "rank" FROM c LEFT JOIN r USING (k)"""
 
 
+def _codes() -> str:
+    rounds = ""
+    for k in range(ROUNDS + 1):
+        rounds += f"""
+d{k} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'e': entry}}) AS m FROM (SELECT r, part, entry, sum((x.v - c{k}.v) * (x.v - c{k}.v))::BIGINT AS d FROM x JOIN c{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL),"""
+        if k < ROUNDS:
+            rounds += f"""
+c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(n.v, c{k}.v) AS v FROM c{k} LEFT JOIN
+  (SELECT part, m.e AS entry, pos, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM x JOIN d{k} USING (r, part) GROUP BY ALL) n USING (part, entry, pos)),"""
+    return f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+u AS (SELECT r, len(embedding) // {PARTS} AS wide, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM e),
+x AS MATERIALIZED (SELECT r, i // wide AS part, i % wide AS pos, floor({SCALE} * v)::BIGINT AS v FROM u),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, v FROM x WHERE r <= {ENTRIES}),{rounds}
+o AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM d{ROUNDS} GROUP BY 1),
+b AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS h FROM c{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM b) AS codebooks_sha256 FROM e JOIN o USING (r)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": _quality(),
     "op6_url_filters": _urls(),
     "op9_chat_format": _chats(),
     "op11_importance_resampling": _importance(),
+    "op12_vector_codes": _codes(),
 }

@@ -153,3 +153,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_importance_resampling"] = op11_importance_resampling
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and error of every embedding, and a digest of the codebooks."""
+    from serion.llm.vector_codes import compress
+
+    codes = compress(table(spark, sf_dir, "embeddings"))
+    return codes.rows.select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+QUERIES["op12_vector_codes"] = op12_vector_codes
