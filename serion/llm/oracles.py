@@ -8,6 +8,7 @@ from serion.llm.importance import MIN_WORDS as MIN_DRAW_WORDS
 from serion.llm.importance import PERCENT, SEED
 from serion.llm.quality_rules import MARKS, MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, RULES, STOP_WORDS
 from serion.llm.queries import HOSTILE_CHAT
+from serion.llm.substring_dedup import WINDOW
 from serion.llm.url_filters import BLOCKED_HOSTS, LOWER_CASE, UPPER
 from serion.llm.url_filters import RULES as URL_RULES
 from serion.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
@@ -117,10 +118,23 @@ b AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS h
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM b) AS codebooks_sha256 FROM e JOIN o USING (r)"""
 
 
+def _repeats() -> str:
+    n = WINDOW
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, 9223372036854775807) AS i, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT k, i, s, array_to_string(w[s:s + {n - 1}], ' ') AS x FROM (SELECT k, i, w, unnest(range(1, len(w) - {n - 2})) AS s FROM d WHERE len(w) >= {n})),
+hit AS (SELECT k, s FROM (SELECT k, i, s, min(i) OVER (PARTITION BY x) AS least FROM win) WHERE least < i),
+gone AS (SELECT DISTINCT k, s + o AS at FROM hit, range({n}) r(o)),
+each AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS at FROM d),
+kept AS (SELECT k, count(*) AS n, string_agg(x, ' ' ORDER BY at) AS t FROM each ANTI JOIN gone USING (k, at) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": _quality(),
     "op6_url_filters": _urls(),
     "op9_chat_format": _chats(),
     "op11_importance_resampling": _importance(),
     "op12_vector_codes": _codes(),
+    "op13_substring_dedup": _repeats(),
 }

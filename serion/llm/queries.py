@@ -164,3 +164,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_vector_codes"] = op12_vector_codes
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in 13-word windows which a document of smaller id has, and a digest of the rest."""
+    from serion.llm.substring_dedup import remove_repeats
+
+    got = remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op13_substring_dedup"] = op13_substring_dedup

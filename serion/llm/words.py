@@ -20,7 +20,7 @@ SLICE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = [(b, pow(b, -1, 1 << 64)) for b in (_BASE, 0xC2B2AE3D27D4EB4F)]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -54,9 +54,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_codes() -> np.ndarray:
-    raw = b"".join(hashlib.sha256(b"byte %d" % i).digest()[:8] for i in range(256))
+@lru_cache(maxsize=2)
+def _byte_codes(lane: int = 0) -> np.ndarray:
+    raw = b"".join(hashlib.sha256(b"byte %d" % i).digest()[8 * lane : 8 * lane + 8] for i in range(256))
     return np.frombuffer(raw, "<u8").copy()
 
 
@@ -106,16 +106,26 @@ def byte_runs(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = end
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+class Spans:
+    """Prefix sums over a row of 64-bit codes: ``of`` gives a hash of each span of it, equal for equal spans.
+
+    Hashes of two lanes are independent: together they are a 128-bit digest.
+    """
+
+    def __init__(self, codes: np.ndarray, lane: int = 0):
+        base, self._inverse = _BASES[lane]
+        self._total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * _power(base, len(codes))[: len(codes)], out=self._total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = (self._total[end] - self._total[start]) * _power(self._inverse, len(self._total) - 1)[start]
+        value += (end - start).astype(np.uint64) * _M1
+        return mix(value)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, equal for equal bytes; spans may overlap."""
-    n = len(data)
-    codes = _byte_codes()[data]
-    codes *= _power(_BASE, n)[:n]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes, out=total[1:])
-    value = (total[end] - total[start]) * _power(_BASE_INVERSE, n)[start]
-    value += (end - start).astype(np.uint64) * _M1
-    return mix(value)
+    return Spans(_byte_codes(lane)[data], lane).of(start, end)
 
 
 def words(at: np.ndarray, data: np.ndarray, stops: np.ndarray = SPACE, lower: bool = True) -> Words:
