@@ -124,9 +124,9 @@ def _repeats() -> str:
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, 9223372036854775807) AS i, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 win AS (SELECT k, i, s, array_to_string(w[s:s + {n - 1}], ' ') AS x FROM (SELECT k, i, w, unnest(range(1, len(w) - {n - 2})) AS s FROM d WHERE len(w) >= {n})),
 hit AS (SELECT k, s FROM (SELECT k, i, s, min(i) OVER (PARTITION BY x) AS least FROM win) WHERE least < i),
-gone AS (SELECT DISTINCT k, s + o AS at FROM hit, range({n}) r(o)),
-each AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS at FROM d),
-kept AS (SELECT k, count(*) AS n, string_agg(x, ' ' ORDER BY at) AS t FROM each ANTI JOIN gone USING (k, at) GROUP BY k)
+gone AS (SELECT DISTINCT k, s + o AS pos FROM hit, range({n}) r(o)),
+each AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (SELECT k, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS t FROM each ANTI JOIN gone USING (k, pos) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)"""
 
 
