@@ -26,7 +26,7 @@ their answers:
 A window settled in round 1 need not speak later: the smallest document that has it is
 never settled and does. Each block sends a key once, with the smallest id that has it,
 so a key that a third of all documents share is one row per block. Only keys travel:
-blocks are a table bucketed by the task that wrote it, answers are joined to it there,
+blocks are a table bucketed by the part of a task that wrote it, answers are joined to it there,
 and no text is shuffled.
 
 Defined cases: a null or empty text has no words, removes and keeps nothing (its kept
@@ -55,6 +55,8 @@ from serion.llm.words import SPACE, Spans, Words, mix, slices, span_hashes, word
 WINDOW = 13
 #: Bytes of text in a block, unless a single text is longer.
 BLOCK_BYTES = 1 << 20
+#: Bytes of text that a task writes under one number; they are read by one task.
+PART_BYTES = 16 << 20
 REVEAL_ROUNDS, ANCHOR_ROUNDS, ANCHOR_WORDS = 12, 1, 6
 _LAST = (1 << 63) - 1
 _U = np.uint64
@@ -181,7 +183,7 @@ class Block:
     def __init__(self, b: pa.RecordBatch, k: int):
         get = lambda name: b.column(b.schema.get_field_index(name))[k]
         self.ids = get("ids").values
-        self.number = (get("part").as_py() << 20) | get("seq").as_py()
+        self.number = _number(get("part").as_py(), get("seq").as_py())
         at = np.frombuffer(get("at").as_buffer(), np.int64)
         self.w = words(at, np.frombuffer(get("text").as_buffer(), np.uint8), SPACE, lower=False)
         self.doc = _numbers(self.ids)
@@ -202,19 +204,23 @@ class Block:
         depth = np.zeros(n + 1, np.int64)
         if len(answer):
             at, least = answer["at"], answer["least"]
-            group, key = _groups(self.spans["k1"], self.spans["k2"])
+            group, _ = _groups(self.spans["k1"], self.spans["k2"])
             smallest = np.full(group.max() + 1, _LAST, np.int64)
             smallest[group[at]] = least
-            hit = self.spans[smallest[group] < self.doc[self.row[self.spans["start"]]]]
+            hit = self.spans[smallest[group] < self.doc[self.spans["row"]]]
             np.add.at(depth, hit["start"], 1)
             np.add.at(depth, hit["end"] - width + 1, -1)
         return np.cumsum(depth)[:n] > 0
 
 
-_SPAN = np.dtype([("start", np.int32), ("end", np.int32), ("k1", np.uint64), ("k2", np.uint64)])
+_SPAN = np.dtype([("start", np.int32), ("end", np.int32), ("row", np.int32), ("k1", np.uint64), ("k2", np.uint64)])
 _ANSWER = np.dtype([("at", np.int64), ("least", np.int64)])
 
 
+def _number(part: int, seq: int) -> int:
+    return (part << 16) | seq
+
+
 def _numbers(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
@@ -248,18 +254,20 @@ def write_blocks(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", t
     """The block table: ids, texts and their revealing spans, bucketed by the writing task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, size = TaskContext.get().partitionId() << 24, 0, 0
         for b in batches:
             for a, z, at, data in slices(b.column(1), BLOCK_BYTES):
+                if seq and size + len(data) > PART_BYTES or seq >> 16:
+                    part, seq, size = part + 1, 0, 0
                 w = words(at, data, SPACE, lower=False)
-                start, end, _ = revealing(w, REVEAL_ROUNDS, width)
+                start, end, row = revealing(w, REVEAL_ROUNDS, width)
                 spans = np.zeros(len(start), _SPAN)
-                spans["start"], spans["end"] = start, end
+                spans["start"], spans["end"], spans["row"] = start, end, row
                 spans["k1"], spans["k2"] = Spans(w.hash).of(start, end), Spans(span_hashes(data, w.start, w.end, 1), 1).of(start, end)
                 values = [[part], [seq], [b.column(0).slice(a, z - a).to_pylist()], [np.ascontiguousarray(at).tobytes()], [data.tobytes()], [spans.tobytes()]]
                 kinds = [pa.int64(), pa.int64(), pa.list_(b.column(0).type), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["part", "seq", "ids", "at", "text", "spans"])
-                seq += 1
+                seq, size = seq + 1, size + len(data)
 
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"part long, seq long, ids array<{kind}>, at binary, text binary, spans binary")
@@ -270,7 +278,7 @@ def _answers(keys: DataFrame, scratch: Scratch, name: str, needed: Column) -> Da
     """One row per part: (block, place, least id) of the keys that ``needed`` keeps, given all rows of their key."""
     w = Window.partitionBy("k1", "k2") if "k2" in keys.columns else Window.partitionBy("k1")
     found = keys.withColumn("smallest", F.min("least").over(w)) if "least" in keys.columns else keys.withColumn("n", F.count("*").over(w))
-    found = found.where(needed).select(F.shiftright("block", 20).alias("of"), F.struct((F.col("block").bitwiseAND((1 << 20) - 1)).alias("seq"), F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")).alias("at"), F.col("smallest") if "least" in keys.columns else F.lit(0).cast("long").alias("smallest")).alias("a"))
+    found = found.where(needed).select(F.shiftright("block", 16).alias("of"), F.struct((F.col("block").bitwiseAND((1 << 16) - 1)).alias("seq"), F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")).alias("at"), F.col("smallest") if "least" in keys.columns else F.lit(0).cast("long").alias("smallest")).alias("a"))
     return scratch.save(name, found.groupBy("of").agg(F.collect_list("a").alias("answers")))
 
 
@@ -300,9 +308,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                x = Block(b, k)
-                if len(x.spans):
-                    yield _keys(x.number, x.spans["k1"], x.spans["k2"], x.doc[x.row[x.spans["start"]]], np.arange(len(x.spans)))
+                get = lambda name: b.column(b.schema.get_field_index(name))[k]  # noqa: B023, E731
+                spans = np.frombuffer(get("spans").as_buffer(), _SPAN)
+                if len(spans):
+                    yield _keys(_number(get("part").as_py(), get("seq").as_py()), spans["k1"], spans["k2"], _numbers(get("ids").values)[spans["row"]], np.arange(len(spans)))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,7 +368,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 gone = np.cumsum(depth)[:n] > 0
                 yield _kept(x, gone)
 
-    revealed = blocks.mapInArrow(reveal, _KEYS)
+    revealed = blocks.select("part", "seq", "ids", "spans").mapInArrow(reveal, _KEYS)
     settled = _answers(revealed, scratch, "settled", (F.col("smallest") < F.col("least")) | (F.col("at") < 0))
     # an anchor's smallest id is not asked for: two blocks or two documents share it
     anchored = _with(blocks, settled, "settled").mapInArrow(anchor, "k1 long, block long, at long")

@@ -92,13 +92,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, offsets from 0, bytes): runs of rows of at most ``limit`` bytes, one row at least."""
     at, raw = buffers(column)
-    for first, end in byte_runs(column, limit):
+    for first, end in _runs(at, limit):
         yield first, end, at[first : end + 1] - at[first], raw[at[first] : at[end]]
 
 
 def byte_runs(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(first row, end row) of runs of rows of at most ``limit`` bytes, one row at least."""
-    at, _ = buffers(column)
+    return _runs(buffers(column)[0], limit)
+
+
+def _runs(at: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     first, rows = 0, len(at) - 1
     while first < rows:
         end = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
