@@ -5,34 +5,49 @@ column. No operator sorts a whole long series in one task: a series of more than
 CHUNK_ROWS rows is cut at quantiles of the order column into chunks, each chunk is
 one window partition, and what crosses a border (one row, one count or one value
 per chunk, or the last rows before it) is carried over. Shorter series are one
-window partition each. Cutting takes one count of rows (with keys: per key) and one
-pass over the order column of the long series; the borders, MAX_CHUNKS at most, are
-searched by halving. Beyond MAX_CHUNKS chunks grow, and their windows spill.
+window partition each. Cutting takes one pass over the order column; with keys, one
+that counts rows per key and a second one over the long series only, where there are
+any. The borders, MAX_CHUNKS at most, are searched by halving; beyond MAX_CHUNKS
+chunks grow, and their windows spill.
+
+An order value that more than a chunk's rows share gets chunks of its own, for which
+the rows are first dealt by ranges of (key, order, the further order columns, a hash
+of the row) and stored: only rows that are equal in all columns stay together.
 
 Rows with a null order value are dropped. Rows of equal order value stand in the
 order of the columns ``then``, then of the values asked for (nulls first); what
 they still share, they share in any order. Null keys are a series of their own.
+Names that begin with ``_serion_`` are taken and refused in the input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from serion.sources.storage import Scratch
+
 #: Rows that a chunk should hold.
 CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 1 << 14
+MAX_CHUNKS = 4096
+#: Rows of short series that one task of a frame operator takes together.
+GROUP_ROWS = 100_000
 
 Names = tuple[str, ...]
 
 
 class _Cut(NamedTuple):
-    rows: DataFrame  # with _long: whether a row's series is cut
+    rows: DataFrame  # with _serion_chunk, and _serion_long: whether a row's series is cut
     chunk: Callable[[Column], Column]  # number of the chunk that an order value falls into
     many: bool
+    total: int
+    top: DataFrame | None  # the largest order value of each long series
 
 
 def _below(borders: list, x: Column) -> Column:
@@ -58,70 +73,90 @@ def _same(a: DataFrame, b: DataFrame, keys: Names) -> Column:
 
 def _joined(rows: DataFrame, carried: DataFrame, keys: Names) -> DataFrame:
     """rows left join carried, which has one row per key and chunk; without keys it has a row per chunk and is broadcast."""
-    renamed = carried.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_chunk")], *[c for c in carried.columns if c not in (*keys, "_chunk")])
+    renamed = carried.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_serion_chunk")], *[c for c in carried.columns if c not in (*keys, "_serion_chunk")])
     renamed = renamed if keys else F.broadcast(renamed)
-    return rows.join(renamed, _same(rows, renamed, (*keys, "_chunk")), "left").drop(*[f"_of_{k}" for k in (*keys, "_chunk")])
+    return rows.join(renamed, _same(rows, renamed, (*keys, "_serion_chunk")), "left").drop(*[f"_of_{k}" for k in (*keys, "_serion_chunk")])
 
 
-def _cut(df: DataFrame, order: str, keys: Names) -> _Cut:
+def _cut(df: DataFrame, order: str, keys: Names, by: Names = ()) -> _Cut:
+    """Chunks of all long series; by: the columns that order rows of one order value."""
+    if taken := [c for c in df.columns if c.startswith("_serion_")]:
+        raise ValueError(f"reserved column names: {taken}")
     df = df.where(F.col(order).isNotNull())
-    whole = _Cut(df.withColumn("_long", F.lit(False)), lambda x: F.lit(0), False)
-    total = df.count()
-    if total <= CHUNK_ROWS:
-        return whole
-    marked = df.withColumn("_long", F.lit(True))
+    plain = df.withColumns({"_serion_long": F.lit(False), "_serion_chunk": F.lit(0)})
+    marked = df.withColumn("_serion_long", F.lit(True))
     if keys:
-        # total / CHUNK_ROWS keys at most
-        long = df.groupBy(*keys).count().where(F.col("count") > CHUNK_ROWS)
-        total = long.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-        if not total:
-            return whole
-        long = F.broadcast(long.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.lit(True).alias("_is_long")))
-        marked = df.join(long, _same(df, long, keys), "left").withColumn("_long", F.coalesce("_is_long", F.lit(False))).drop("_is_long", *[f"_of_{k}" for k in keys])
-    n = min(MAX_CHUNKS, -(-total // CHUNK_ROWS))
-    found = marked.where("_long").agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n).alias("cuts")).first().cuts
-    borders = sorted(set(found or []))
+        # total / CHUNK_ROWS keys at most are long
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(order).alias("_serion_top"))
+        sizes = Scratch(df.sparkSession, "sizes").save("keys", sizes)
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        long = sizes.where(F.col("n") > CHUNK_ROWS)
+        rows = long.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not rows:
+            return _Cut(plain, lambda x: F.lit(0), False, total, None)
+        top = long.drop("n")
+        known = F.broadcast(long.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.lit(True).alias("_serion_is_long")))
+        marked = df.join(known, _same(df, known, keys), "left").withColumn("_serion_long", F.coalesce("_serion_is_long", F.lit(False))).drop("_serion_is_long", *[f"_of_{k}" for k in keys])
+        n = min(MAX_CHUNKS, -(-rows // CHUNK_ROWS))
+        found = marked.where("_serion_long").agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 10 * n).alias("cuts")).first().cuts
+    else:
+        shares = [k / MAX_CHUNKS for k in range(1, MAX_CHUNKS)]
+        got = df.agg(F.count("*").alias("n"), F.max(order).alias("_serion_top"), F.percentile_approx(order, shares, 10 * MAX_CHUNKS).alias("cuts")).first()
+        total = rows = got.n
+        if total <= CHUNK_ROWS:
+            return _Cut(plain, lambda x: F.lit(0), False, total, None)
+        n = min(MAX_CHUNKS, -(-rows // CHUNK_ROWS))
+        found = [got.cuts[k * MAX_CHUNKS // n - 1] for k in range(1, n)]
+        top = df.sparkSession.createDataFrame([(got._serion_top,)], df.select(F.col(order).alias("_serion_top")).schema)
+    cuts = found or []
+    if by and len(set(cuts)) < len(cuts):  # an order value fills whole chunks
+        every = [*keys, order, *by, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])]
+        dealt = marked.where("_serion_long").repartitionByRange(len(cuts) + 1, *every).withColumn("_serion_chunk", F.spark_partition_id())
+        dealt = Scratch(df.sparkSession, "ordered").save("rows", dealt)
+        short = marked.where("NOT _serion_long").withColumn("_serion_chunk", F.lit(0))
+        return _Cut(dealt.unionByName(short), lambda x: F.lit(None), True, total, top)
+    borders = sorted(set(cuts))
     if not borders:
-        return whole
-    return _Cut(marked, lambda x: F.when(F.col("_long"), _below(borders, x)).otherwise(F.lit(0)), True)
+        return _Cut(plain, lambda x: F.lit(0), False, total, None)
+    chunk = lambda x: F.when(F.col("_serion_long"), _below(borders, x)).otherwise(F.lit(0))
+    return _Cut(marked.withColumn("_serion_chunk", chunk(F.col(order))), chunk, True, total, top)
 
 
 def _window(keys: Names, order: Names):
-    return Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    return Window.partitionBy(*keys, "_serion_chunk").orderBy(*order)
 
 
 def previous(df: DataFrame, order: str, values: list[str], keys: Names = (), prefix: str = "prev_", then: Names = ()) -> DataFrame:
     """df and, per value, its value in the row before (null in the first row)."""
-    cut = _cut(df, order, keys)
-    rows = cut.rows.withColumn("_chunk", cut.chunk(F.col(order)))
     by = (order, *then, *[v for v in values if v not in (order, *then)])
-    w = _window(keys, by)
-    out = rows.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in values], (F.row_number().over(w) == 1).alias("_first"))
+    cut = _cut(df, order, keys, by[1:] or (order,))
+    rows, w = cut.rows, _window(keys, by)
+    out = rows.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in values], (F.row_number().over(w) == 1).alias("_serion_first"))
     if cut.many:
         # the last row of each chunk, handed to the next chunk of the series that has rows
-        last = rows.where("_long").groupBy(*keys, "_chunk").agg(F.max(F.struct(*by)).alias("_last"))
-        following = Window.partitionBy(*keys).orderBy("_chunk")  # one row per chunk
-        last = last.select(*keys, F.lead("_chunk").over(following).alias("_chunk"), "_last").where("_chunk IS NOT NULL")
+        last = rows.where("_serion_long").groupBy(*keys, "_serion_chunk").agg(F.max(F.struct(*by)).alias("_serion_last"))
+        following = Window.partitionBy(*keys).orderBy("_serion_chunk")  # one row per chunk
+        last = last.select(*keys, F.lead("_serion_chunk").over(following).alias("_serion_chunk"), "_serion_last").where("_serion_chunk IS NOT NULL")
         out = _joined(out, last, keys)
         for v in values:
-            out = out.withColumn(prefix + v, F.when(F.col("_first"), F.col("_last")[v]).otherwise(F.col(prefix + v)))
-        out = out.drop("_last")
-    return out.drop("_chunk", "_first", "_long")
+            out = out.withColumn(prefix + v, F.when(F.col("_serion_first"), F.col("_serion_last")[v]).otherwise(F.col(prefix + v)))
+        out = out.drop("_serion_last")
+    return out.drop("_serion_chunk", "_serion_first", "_serion_long")
 
 
 def _ranked(cut: _Cut, order: str, name: str, keys: Names, then: Names) -> DataFrame:
-    rows = cut.rows.withColumn("_chunk", cut.chunk(F.col(order)))
+    rows = cut.rows
     out = rows.withColumn(name, F.row_number().over(_window(keys, (order, *then))).cast("long"))
     if not cut.many:
-        return out.drop("_chunk")
-    sizes = rows.where("_long").groupBy(*keys, "_chunk").count()  # one row per chunk
-    before = sizes.select(*keys, "_chunk", (F.sum("count").over(Window.partitionBy(*keys).orderBy("_chunk")) - F.col("count")).alias("_before"))
-    return _joined(out, before, keys).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_chunk", "_before")
+        return out.drop("_serion_chunk")
+    sizes = rows.where("_serion_long").groupBy(*keys, "_serion_chunk").count()  # one row per chunk
+    before = sizes.select(*keys, "_serion_chunk", (F.sum("count").over(Window.partitionBy(*keys).orderBy("_serion_chunk")) - F.col("count")).alias("_serion_before"))
+    return _joined(out, before, keys).withColumn(name, F.col(name) + F.coalesce("_serion_before", F.lit(0))).drop("_serion_chunk", "_serion_before")
 
 
 def ranked(df: DataFrame, order: str, name: str = "n", keys: Names = (), then: Names = ()) -> DataFrame:
     """df and a 1-based rank in ascending order, within each key."""
-    return _ranked(_cut(df, order, keys), order, name, keys, then).drop("_long")
+    return _ranked(_cut(df, order, keys, then or (order,)), order, name, keys, then).drop("_serion_long")
 
 
 def gaps(df: DataFrame, order: str, keys: tuple[str, ...] = (), name: str = "gap") -> DataFrame:
@@ -144,46 +179,178 @@ def sign_changes(df: DataFrame, order: str, value: str, keys: tuple[str, ...] =
 
 def carried_forward(df: DataFrame, order: str, value: str, keys: Names, name: str, then: Names = ()) -> DataFrame:
     """df and the last non-null value up to each row."""
-    cut = _cut(df, order, keys)
-    rows = cut.rows.withColumn("_chunk", cut.chunk(F.col(order)))
     by = (order, *[c for c in (*then, value) if c != order])
-    out = rows.withColumn(name, F.last(value, ignorenulls=True).over(_window(keys, by).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = _cut(df, order, keys, by[1:] or (order,))
+    out = cut.rows.withColumn(name, F.last(value, ignorenulls=True).over(_window(keys, by).rowsBetween(Window.unboundedPreceding, 0)))
     if cut.many:
-        last = rows.where("_long").groupBy(*keys, "_chunk").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*by)))[value].alias("_last"))
-        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
-        last = last.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-        out = _joined(out, last, keys).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
-    return out.drop("_chunk", "_long")
+        last = cut.rows.where("_serion_long").groupBy(*keys, "_serion_chunk").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*by)))[value].alias("_serion_last"))
+        before = Window.partitionBy(*keys).orderBy("_serion_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+        last = last.select(*keys, "_serion_chunk", F.last("_serion_last", ignorenulls=True).over(before).alias("_serion_carried"))
+        out = _joined(out, last, keys).withColumn(name, F.coalesce(name, "_serion_carried")).drop("_serion_carried")
+    return out.drop("_serion_chunk", "_serion_long")
 
 
 def ring_stats(df: DataFrame, order: str, value: str, keys: Names, rows: int = 300, then: Names = ()) -> DataFrame:
     """df and n, least, largest, total and mean value of the last ``rows`` rows."""
-    cut = _cut(df, order, keys)
+    by: Names = (order, *[c for c in (*then, value) if c != order])
+    cut = _cut(df, order, keys, by[1:] or (order,))
     if cut.many:
         # chunks of equal numbers of rows; the last rows of a chunk are guests of the next one
-        out = _ranked(cut, order, "_n", keys, (*then, value))
+        out = _ranked(cut, order, "_serion_n", keys, by[1:])
         size = max(CHUNK_ROWS, rows)
-        own = F.when(F.col("_long"), F.floor((F.col("_n") - 1) / size).cast("int")).otherwise(0)
-        border = F.col("_long") & ((F.col("_n") - 1) % size >= size - (rows - 1))
-        out = out.withColumn("_own", own).withColumn("_chunk", F.explode(F.when(border, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
-        by: Names = ("_n",)
+        own = F.when(F.col("_serion_long"), F.floor((F.col("_serion_n") - 1) / size).cast("int")).otherwise(0)
+        border = F.col("_serion_long") & ((F.col("_serion_n") - 1) % size >= size - (rows - 1))
+        out = out.withColumn("_serion_own", own).withColumn("_serion_chunk", F.explode(F.when(border, F.array(F.col("_serion_own"), F.col("_serion_own") + 1)).otherwise(F.array("_serion_own"))))
+        by = ("_serion_n",)
     else:
-        out = cut.rows.withColumn("_own", F.lit(0)).withColumn("_chunk", F.lit(0))
-        by = (order, *[c for c in (*then, value) if c != order])
+        out = cut.rows.withColumn("_serion_own", F.lit(0))
     w = _window(keys, by).rowsBetween(-(rows - 1), 0)
     out = out.select("*", F.count(value).over(w).alias("n"), F.min(value).over(w).alias("least"), F.max(value).over(w).alias("largest"), F.sum(value).over(w).alias("total"), F.avg(value).over(w).alias("mean"))
-    return out.where("_chunk = _own").drop("_chunk", "_own", "_long", *(["_n"] if cut.many else []))
+    return out.where("_serion_chunk = _serion_own").drop("_serion_chunk", "_serion_own", "_serion_long", *(["_serion_n"] if cut.many else []))
+
+
+class _Totals(NamedTuple):
+    """Count, sum, least and largest of something, element by element."""
+
+    n: np.ndarray
+    total: np.ndarray
+    least: np.ndarray
+    largest: np.ndarray
+
+    def with_(self, other: _Totals) -> _Totals:
+        return _Totals(self.n + other.n, self.total + other.total, np.minimum(self.least, other.least), np.maximum(self.largest, other.largest))
 
+    def at(self, k) -> _Totals:
+        return _Totals(*(x[k] for x in self))
 
-def clipped_stats(df: DataFrame, seconds: str, value: str, keys: Names, span: int = 300) -> DataFrame:
-    """df and count and mean of the rows of the last ``span`` seconds (rows of one second count alike)."""
+    @staticmethod
+    def none(n: int) -> _Totals:
+        return _Totals(np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf))
+
+    @staticmethod
+    def of(values: np.ndarray) -> _Totals:
+        """One value each; NaN: none."""
+        gone = np.isnan(values)
+        return _Totals((~gone).astype(np.int64), np.where(gone, 0.0, values), np.where(gone, np.inf, values), np.where(gone, -np.inf, values))
+
+
+def range_totals(each: _Totals, first: np.ndarray, end: np.ndarray) -> _Totals:
+    """Totals of the elements first .. end - 1 of every range.
+
+    A sparse table, one level at a time: the level of size s holds the totals of s
+    elements from each place on, and a range is put together from one entry of each
+    level that its length has as a bit. Nothing is subtracted, so sums keep their digits.
+    """
+    out, place, length, size = _Totals.none(len(first)), first.copy(), end - first, 1
+    while True:
+        k = np.flatnonzero(length & size)
+        if len(k):
+            got = out.at(k).with_(each.at(place[k]))
+            for whole, part in zip(out, got, strict=True):
+                whole[k] = part
+            place[k] += size
+        if not len(length) or 2 * size > length.max():
+            return out
+        each = each.at(slice(None, -size)).with_(each.at(slice(size, None)))
+        size *= 2
+
+
+def _codes(table: pa.Table, keys: Names) -> np.ndarray:
+    """A number for each combination of keys (null is a key)."""
+    out = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        coded = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode")
+        _, out = np.unique(out * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    return out
+
+
+def _numeric(column: pa.ChunkedArray) -> np.ndarray:
+    column = column if pa.types.is_integer(column.type) and not column.null_count else column.cast(pa.float64())
+    return column.to_numpy()
+
+
+def _between(keys: Names) -> Callable[[pa.Table], pa.Table]:
+    """Per chunk of a series: totals of the rows before it that lie in the frames of all its rows."""
+
+    def task(g: pa.Table) -> pa.Table:
+        own, leave = g["own"].to_numpy(), g["leave"].to_numpy()
+        order = np.lexsort((leave, own))  # later rows leave later: leave is in order, too
+        own, leave = own[order], leave[order]
+        each = _Totals(*(g[c].to_numpy()[order] for c in ("n", "total", "least", "largest")))
+        chunk = np.unique(np.concatenate([np.arange(a + 1, b) for a, b in zip(own, leave, strict=True)]))
+        first, end = np.searchsorted(leave, chunk, "right"), np.searchsorted(own, chunk, "left")
+        got = range_totals(each, first, end)
+        key = [pa.repeat(g[k][0], len(chunk)) for k in keys]
+        return pa.table([*key, pa.array(chunk.astype(np.int32)), *map(pa.array, got)], [*keys, "_serion_chunk", "n", "total", "least", "largest"])
+
+    return task
+
+
+def clipped_stats(df: DataFrame, seconds: str, value: str, keys: Names, span: float = 300) -> DataFrame:
+    """df and n, least, largest, total and mean (of doubles) of the rows of the last ``span`` seconds.
+
+    Rows of one second count alike. However many rows or chunks a frame spans, a row is
+    in its own chunk and, without its other columns, in the one chunk where it leaves the
+    frame; what lies between the two is one total per chunk. Rows of one second are one
+    chunk.
+    """
     cut = _cut(df, seconds, keys)
-    out = cut.rows.withColumn("_own", cut.chunk(F.col(seconds)))
-    # a row is a guest of every later chunk that begins within its span
-    out = out.withColumn("_chunk", F.explode(F.sequence(F.col("_own"), cut.chunk(F.col(seconds) + span))) if cut.many else F.col("_own"))
-    w = _window(keys, (seconds,)).rangeBetween(-span, 0)
-    out = out.select("*", F.count(value).over(w).alias("n"), F.avg(value).over(w).alias("mean"))
-    return out.where("_chunk = _own").drop("_chunk", "_own", "_long")
+    kind = df.schema[seconds].dataType
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-cut.total // GROUP_ROWS)))) if keys else F.lit(0)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("total", "double"), ("least", "double"), ("largest", "double"))]
+    own = cut.rows.select(*[F.col(k).alias(f"_serion_key_{i}") for i, k in enumerate(keys)], "_serion_chunk", bucket.cast("long").alias("_serion_bucket"), F.col(seconds).alias("_serion_o"), v.alias("_serion_v"), *none, F.struct(*df.columns).alias("_serion_row"))
+    names = tuple(f"_serion_key_{i}" for i in range(len(keys)))
+    if cut.many:
+        renamed = cut.top.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_serion_top")
+        light = cut.rows.where("_serion_long").select(*keys, "_serion_chunk", "_serion_long", F.col(seconds).alias("_serion_o"), v.alias("_serion_v"), bucket.cast("long").alias("_serion_bucket"))
+        light = light.join(F.broadcast(renamed), _same(light, renamed, keys), "left").drop(*[f"_of_{k}" for k in keys])
+        until = F.col("_serion_o") + span
+        light = light.withColumn("_serion_leave", F.when(until < F.col("_serion_top"), cut.chunk(until)).otherwise(MAX_CHUNKS + 1))
+        light = light.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "_serion_chunk", "_serion_leave", "_serion_o", "_serion_v", "_serion_bucket")
+        shape = own.drop("_serion_row").schema
+        guests = light.where((F.col("_serion_leave") > F.col("_serion_chunk")) & (F.col("_serion_leave") <= MAX_CHUNKS)).withColumn("_serion_chunk", F.col("_serion_leave"))
+        guests = guests.select(*names, "_serion_chunk", "_serion_bucket", F.col("_serion_o").cast(kind), "_serion_v", *none)
+        # a row per pair of chunks where rows enter and leave: twice the chunks of a series at most
+        pairs = light.where(F.col("_serion_leave") > F.col("_serion_chunk") + 1).groupBy(*names, F.col("_serion_chunk").alias("own"), F.least(F.col("_serion_leave"), F.lit(MAX_CHUNKS)).alias("leave"))
+        pairs = pairs.agg(F.count("_serion_v").alias("n"), F.coalesce(F.sum("_serion_v"), F.lit(0.0)).alias("total"), F.coalesce(F.min("_serion_v"), F.lit(float("inf"))).alias("least"), F.coalesce(F.max("_serion_v"), F.lit(float("-inf"))).alias("largest"))
+        kinds = "".join(f"{n} {shape[n].dataType.simpleString()}, " for n in names)
+        middle = pairs.groupBy(*names).applyInArrow(_between(names), f"{kinds}_serion_chunk int, n long, total double, least double, largest double")
+        placed = F.pmod(F.xxhash64(*names), F.lit(max(1, -(-cut.total // GROUP_ROWS)))) if keys else F.lit(0)
+        middle = middle.select(*names, "_serion_chunk", placed.cast("long").alias("_serion_bucket"), F.lit(None).cast(kind).alias("_serion_o"), F.lit(None).cast("double").alias("_serion_v"), "n", "total", "least", "largest")
+        own = own.unionByName(guests.unionByName(middle).withColumn("_serion_row", F.lit(None).cast(own.schema["_serion_row"].dataType)))
+
+    own_columns = df.columns
+
+    def frames(g: pa.Table) -> pa.Table:
+        o_there = pc.is_valid(g["_serion_o"]).to_numpy()
+        code = _codes(g, names)
+        rest = _Totals.none(int(code.max()) + 1)
+        for k in np.flatnonzero(~o_there):
+            for whole, c in zip(rest, ("n", "total", "least", "largest"), strict=True):
+                whole[code[k]] = g[c][k].as_py()
+        t = g.filter(pa.array(o_there))
+        code, o, v = code[o_there], _numeric(t["_serion_o"]), t["_serion_v"].cast(pa.float64()).to_numpy()
+        order = np.lexsort((o, code))
+        t, code, o, v = t.take(pa.array(order)), code[order], o[order], v[order]
+        n = len(o)
+        mine = pc.is_valid(t["_serion_row"]).to_numpy()
+        # the first row of each frame: how many rows stand before (code, o - span)
+        asked = np.lexsort((np.repeat([1, 0], n), np.concatenate([o, o - span]), np.tile(code, 2)))
+        before = np.cumsum(asked < n)
+        first = np.empty(n, np.int64)
+        first[asked[asked >= n] - n] = before[asked >= n]
+        # its end: behind the last row of the same second
+        ends = np.append(np.flatnonzero((code[1:] != code[:-1]) | (o[1:] != o[:-1])) + 1, n)
+        end = ends[np.searchsorted(ends, np.arange(n), "right")] if n else np.zeros(0, np.int64)
+        got = range_totals(_Totals.of(v), first[mine], end[mine]).with_(rest.at(code[mine]))
+        any_ = got.n > 0
+        fields = t["_serion_row"].combine_chunks().filter(pa.array(mine, pa.bool_())).flatten()
+        stats = [pa.array(got.n), *[pa.array(x, mask=~any_) for x in (got.least, got.largest, got.total, got.total / np.maximum(got.n, 1))]]
+        return pa.table([*fields, *stats], [*own_columns, "n", "least", "largest", "total", "mean"])
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return own.groupBy("_serion_bucket", "_serion_chunk").applyInArrow(frames, f"{columns}, n long, least double, largest double, total double, mean double")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

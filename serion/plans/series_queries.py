@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serion.functions import classify, parse
-from serion.operators import series
+from serion.operators import matching, series
 from serion.plans.registry import query, table
 from serion.sources import logs
 from serion.streaming import monitor
@@ -98,21 +98,21 @@ def ring_buffer_stats(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM (SELECT *, (epoch_us(ts) // 1000000) AS s FROM events)
+SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean, min(value) OVER w AS least, max(value) OVER w AS largest FROM (SELECT *, (epoch_us(ts) // 1000000) AS s FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)""")
 def clip_300s(spark, sf_dir):
     """Statistics of the last 300 seconds of each user."""
     e = _events(spark, sf_dir).withColumn("s", F.floor(F.col("us") / 1000000))
-    return series.clipped_stats(e, "s", "value", ("user_id",)).select("event_id", "n", F.round("mean", 6).alias("mean"))
+    return series.clipped_stats(e, "s", "value", ("user_id",)).select("event_id", "n", F.round("mean", 6).alias("mean"), "least", "largest")
 
 
 @query("""
-SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM (SELECT *, (epoch_us(ts) // 60000000) AS m FROM events)
+SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean, min(value) OVER w AS least, max(value) OVER w AS largest FROM (SELECT *, (epoch_us(ts) // 60000000) AS m FROM events)
 WINDOW w AS (PARTITION BY event_type ORDER BY m RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)""")
 def clip_300_minutes(spark, sf_dir):
     """Statistics of the last 300 minutes of each kind of event: frames of many rows."""
     e = _events(spark, sf_dir).withColumn("m", F.floor(F.col("us") / 60000000))
-    return series.clipped_stats(e, "m", "value", ("event_type",)).select("event_id", "n", F.round("mean", 6).alias("mean"))
+    return series.clipped_stats(e, "m", "value", ("event_type",)).select("event_id", "n", F.round("mean", 6).alias("mean"), "least", "largest")
 
 
 @query("""
@@ -366,3 +366,106 @@ def periodic_trigger(spark, sf_dir):
     """Whether a row is due for the periodic report, in its present and its two earlier forms."""
     v = F.col("value")
     return table(spark, sf_dir, "events").select("event_id", classify.periodic(v, 0.05).alias("due"), classify.within_unit(v).alias("due_in_unit"), classify.within_unit(v, 50).alias("due_at_50"))
+
+
+@query("""
+SELECT event_id, count(value) OVER w AS n, min(value) OVER w AS least, max(value) OVER w AS largest, round(sum(value) OVER w, 2) AS total FROM (SELECT *, (epoch_us(ts) // 1000000) AS s FROM events)
+WINDOW w AS (ORDER BY s RANGE BETWEEN 432000 PRECEDING AND CURRENT ROW)""")
+def clip_five_days(spark, sf_dir):
+    """Statistics of the last five days over all events: each frame holds a sixth of the table."""
+    e = _events(spark, sf_dir).withColumn("s", F.floor(F.col("us") / 1000000))
+    return series.clipped_stats(e, "s", "value", (), 432_000).select("event_id", "n", "least", "largest", F.round("total", 2).alias("total"))
+
+
+_DAYS_SQL = "SELECT o_custkey AS user_id, epoch_us(o_orderdate + INTERVAL '10 years') // 1000000 AS paid_s, max(o_totalprice) AS price FROM orders GROUP BY 1, 2"
+
+
+def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest order of each customer and day, ten years later: into the time of the events."""
+    o = table(spark, sf_dir, "orders").withColumn("paid_s", F.expr("unix_seconds(cast(o_orderdate + interval '10' year as timestamp))"))
+    return o.groupBy(F.col("o_custkey").alias("user_id"), "paid_s").agg(F.max("o_totalprice").alias("price"))
+
+
+@query(f"""
+WITH p AS ({_DAYS_SQL}), e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events)
+SELECT e.event_id, p.paid_s, p.price FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.s >= p.paid_s""")
+def asof_last_order(spark, sf_dir):
+    """Each event with the last order of its user until then."""
+    e = _events(spark, sf_dir).select("event_id", "user_id", F.floor(F.col("us") / 1000000).alias("s"))
+    return matching.as_of(e, _paid(spark, sf_dir), "s", "paid_s", ("price",), ("user_id",)).select("event_id", "paid_s", "price")
+
+
+@query("""
+WITH e AS (SELECT *, epoch_us(ts) // 1000000 AS s FROM events), v AS (SELECT s, event_id AS view_id, value AS seen FROM e WHERE event_type = 'view'),
+r AS (SELECT s AS view_s, max({'id': view_id, 'seen': seen}) AS m FROM v GROUP BY 1),
+j AS (SELECT e.event_id, e.s, r.view_s, r.m.id AS view_id, r.m.seen AS seen FROM e ASOF LEFT JOIN r ON e.s > r.view_s)
+SELECT event_id, CASE WHEN s - view_s <= 900 THEN view_s END AS view_s, CASE WHEN s - view_s <= 900 THEN view_id END AS view_id, CASE WHEN s - view_s <= 900 THEN seen END AS seen FROM j""")
+def asof_recent_view(spark, sf_dir):
+    """Each event with the last view strictly before it, of whatever user, no more than 900 seconds back."""
+    e = _events(spark, sf_dir).withColumn("s", F.floor(F.col("us") / 1000000))
+    views = e.where("event_type = 'view'").select(F.col("s").alias("view_s"), F.col("event_id").alias("view_id"), F.col("value").alias("seen"))
+    return matching.as_of(e.select("event_id", "s"), views, "s", "view_s", ("view_id", "seen"), tolerance=900, strict=True).select("event_id", "view_s", "view_id", "seen")
+
+
+_SESSIONS_SQL = """
+WITH g AS (SELECT *, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 28800000000, true) AS opens FROM events),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM g)"""
+
+
+@query(_SESSIONS_SQL + " SELECT user_id, min(us) AS begin_us, max(us) AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k")
+def user_sessions(spark, sf_dir):
+    """Sessions of each user: events no more than eight hours apart."""
+    e = matching.sessions(_events(spark, sf_dir), "us", 28_800_000_000, ("user_id",), "begin_us", ("event_id",))
+    return e.groupBy("user_id", "begin_us").agg(F.max("us").alias("end_us"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_PAIR_SQL = """
+, v AS (SELECT t AS v, 0 AS side FROM a UNION ALL SELECT t_ref, 1 FROM b),
+g AS (SELECT v, side, row_number() OVER o AS r, coalesce(v - lag(v) OVER o >= 5, true) AS opens FROM v WINDOW o AS (ORDER BY v, side)),
+u AS (SELECT v, side, sum(opens::INT) OVER (ORDER BY r) AS run, r FROM g),
+w AS MATERIALIZED (SELECT run, side, v, row_number() OVER (PARTITION BY run, side ORDER BY r) AS k FROM u),
+l AS MATERIALIZED (SELECT run, v, k FROM w WHERE side = 0), m AS MATERIALIZED (SELECT run, v, k FROM w WHERE side = 1)"""
+
+
+@query(_TWO_SQL.replace("WITH a", "WITH RECURSIVE a") + _PAIR_SQL + """,
+s AS (SELECT DISTINCT run, 1 AS i, 1 AS j, ''::VARCHAR AS kind, NULL::DOUBLE AS t, NULL::DOUBLE AS t_ref FROM u
+  UNION ALL SELECT s.run, i + (x.kind <> 'extra')::INT, j + (x.kind <> 'missing')::INT, x.kind, CASE WHEN x.kind <> 'extra' THEN l.v END, CASE WHEN x.kind <> 'missing' THEN m.v END
+  FROM s LEFT JOIN l ON l.run = s.run AND l.k = i LEFT JOIN m ON m.run = s.run AND m.k = j,
+    LATERAL (SELECT CASE WHEN m.v IS NULL OR l.v <= m.v - 5 THEN 'missing' WHEN l.v IS NULL OR m.v <= l.v - 5 THEN 'extra' ELSE 'pair' END AS kind) x WHERE l.v IS NOT NULL OR m.v IS NOT NULL)
+SELECT kind, t, t_ref FROM s WHERE kind <> ''""")
+def matched_one_to_one(spark, sf_dir):
+    """Order prices and sums of their lines paired one to one within 5, in order, and what either side has alone."""
+    left, right = _two_series(spark, sf_dir)
+    return matching.matched(left, right, "t", "t_ref", 5.0)
+
+
+_EDGES = [0, 1, 10, 60, 300, 900, 3600]
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS s FROM events),
+p AS (SELECT a.event_type, abs(a.s - b.s) AS d FROM e a JOIN e b ON a.event_type = b.event_type AND a.event_id < b.event_id AND abs(a.s - b.s) < {_EDGES[-1]})
+SELECT event_type, bin, count(*) AS n FROM (SELECT event_type, (CASE {" ".join(f"WHEN d < {e} THEN {k}" for k, e in enumerate(_EDGES[1:], 1))} END)::INT AS bin FROM p) GROUP BY ALL""")
+def pair_correlation(spark, sf_dir):
+    """Distances of all pairs of events of a kind that lie less than an hour apart, in bins."""
+    e = _events(spark, sf_dir).withColumn("s", F.floor(F.col("us") / 1000000))
+    return matching.pair_distances(e, "s", [float(x) for x in _EDGES], ("event_type",))
+
+
+_SPANS_SQL = "SELECT l_orderkey, l_linenumber, l_suppkey, epoch_us(o_orderdate) // 86400000000 AS d1, greatest(epoch_us(l_shipdate), epoch_us(o_orderdate)) // 86400000000 AS d2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+@query(f"""
+WITH s AS ({_SPANS_SQL}), u AS (SELECT user_id % 10 + 1 AS l_suppkey, event_id, epoch_us(ts - INTERVAL '26 years') // 86400000000 AS e1, epoch_us(ts - INTERVAL '26 years') // 86400000000 + floor(value)::BIGINT % 3 + CASE WHEN event_id % 1000 = 0 THEN 1000 ELSE 0 END AS e2 FROM events WHERE event_id % 4 = 0)
+SELECT l_orderkey, l_linenumber, event_id FROM s JOIN u ON s.l_suppkey = u.l_suppkey AND s.d1 <= u.e2 AND u.e1 <= s.d2""")
+def overlapping_spans(spark, sf_dir):
+    """Lines of orders on their way while a campaign of their supplier runs; one campaign in a thousand is very long."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(floor(unix_micros(cast(o_orderdate as timestamp)) / 86400000000) as bigint)").alias("d1"))
+    lines = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    shipped = F.expr("cast(floor(unix_micros(cast(l_shipdate as timestamp)) / 86400000000) as bigint)")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_suppkey", "d1", F.greatest(shipped, F.col("d1")).alias("d2"))
+    e = table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    first = F.expr("cast(floor(unix_micros(cast(ts - interval '26' year as timestamp)) / 86400000000) as bigint)")
+    runs = F.floor("value") % 3 + F.when(F.col("event_id") % 1000 == 0, 1000).otherwise(0)
+    e = e.select((F.col("user_id") % 10 + 1).alias("l_suppkey"), "event_id", first.alias("e1"), (first + runs).alias("e2"))
+    return matching.overlaps(lines, e, "d1", "d2", "e1", "e2", ("l_suppkey",)).select("l_orderkey", "l_linenumber", "event_id")
