@@ -7,9 +7,11 @@ counts, Spark sums them, the driver turns the sums (a table of fixed size) into
 new parameters. Scoring runs the scaled forward recursion over each whole text.
 
 Each of the OWN most frequent tokens is a class of its own, and so is the end of a
-text; all other tokens are in the class of a part of their 64-bit hash. Long texts are cut into segments: in training each segment is a sequence; in
-scoring a segment's recursion is run from every state at once and the segments
-are chained, which gives the exact likelihood of the whole text.
+text; all other tokens are in the class of a part of their 64-bit hash. Long texts are
+worked off in segments, all segments of many texts at a time: a segment's recursion
+is first run from every state at once, and the segments are chained. That gives the
+exact likelihood of the whole text, and in training the exact forward and backward
+messages at every cut, so expected counts are those of whole texts, too.
 
 Counts of all training tokens are kept as a table (token, count). Texts meet it in
 two ways: a fixed number of the most frequent tokens is broadcast; all other
@@ -44,7 +46,8 @@ END_CLASS = CLASSES - 1
 #: The end's token number.
 END = 0
 ROUNDS = 6
-SEGMENT = 256
+#: Tokens of a segment.
+SEGMENT = 512
 #: Tokens that are broadcast with their counts (16 bytes each).
 FREQUENT = 1 << 16
 #: Tokens that one step of a task works on, unless one text is longer.
@@ -228,44 +231,101 @@ def _steps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield b.slice(first), seen[first:]
 
 
+def _transfers(model: Model, token: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per segment: probabilities of its tokens and its last state from every state before it, and their common log10 factor.
+
+    lead: a text's first segment; its first token is drawn from the start, whatever the state.
+    """
+    order = np.argsort(-length, kind="stable")
+    ranked, sizes, lead = start[order], length[order], lead[order]
+    active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), "right")  # segments longer than t
+    out = np.empty((len(start), STATES, STATES))
+    scale = np.zeros(len(start))
+    now = np.empty((len(start), STATES, STATES))
+    for t, k in enumerate(active):
+        if k < len(now):
+            out[k : len(now)] = now[k:]
+            now = now[:k]
+        emit = model.emit[token[ranked[:k] + t]]
+        if t == 0:
+            now = np.where(lead[:k, None, None], model.start[None, None, :], model.move[None, :, :]) * emit[:, None, :]
+        else:
+            now = (now.reshape(k * STATES, STATES) @ model.move).reshape(k, STATES, STATES) * emit[:, None, :]
+        if t % 16 == 15:
+            top = now.max((1, 2))
+            now /= top[:, None, None]
+            scale[:k] += np.log10(top)
+    out[: len(now)] = now
+    by_text = np.empty(len(start), np.int64)
+    by_text[order] = np.arange(len(start))
+    return out[by_text], scale[by_text]
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(1, keepdims=True)
+
+
+def _messages(model: Model, token: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per segment of texts of ``n`` segments each: the forward message that enters it, the backward one that meets its end."""
+    enters, meets = np.ones((len(start), STATES)), np.ones((len(start), STATES))
+    long = np.flatnonzero(np.repeat(n, n) > 1)
+    if not len(long):
+        return enters, meets
+    heads, n = np.cumsum(n[n > 1]) - n[n > 1], n[n > 1]
+    lead = np.zeros(len(long), bool)
+    lead[heads] = True
+    passed, _ = _transfers(model, token, start[long], length[long], lead)
+    state = _normal(passed[heads][:, 0, :])
+    for k in range(1, int(n.max())):
+        live = np.flatnonzero(n > k)
+        at = heads[live] + k
+        enters[long[at]] = state[live]
+        state[live] = _normal(np.einsum("ns,nst->nt", state[live], passed[at]))
+    for k in range(int(n.max()) - 1, 0, -1):
+        at = heads[n > k] + k
+        meets[long[at - 1]] = _normal(np.einsum("nst,nt->ns", passed[at], meets[long[at]]))
+    return enters, meets
+
+
 def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of segments by the scaled forward-backward recursion."""
+    """Expected starts, moves and emissions of whole texts by the scaled forward-backward recursion."""
     token, start, length = _segments(texts)
+    n = np.array([-(-len(x) // SEGMENT) for x in texts])
+    enters, meets = _messages(model, token, start, length, n)
+    lead = np.zeros(len(start), bool)
+    lead[np.cumsum(n) - n] = True
     order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
+    start, length, lead, enters, meets = start[order], length[order], lead[order], enters[order], meets[order]
     steps = int(length[0])
     active = np.searchsorted(-length, -np.arange(1, steps + 1), "right")  # segments longer than t
     forward = []
-    now = model.start[None, :] * model.emit[token[start]]
-    now /= now.sum(1, keepdims=True)
+    now = _normal(np.where(lead[:, None], model.start, enters @ model.move) * model.emit[token[start]])
     forward.append(now)
     for t in range(1, steps):
-        now = (now[: active[t]] @ model.move) * model.emit[token[start[: active[t]] + t]]
-        now /= now.sum(1, keepdims=True)
+        now = _normal((now[: active[t]] @ model.move) * model.emit[token[start[: active[t]] + t]])
         forward.append(now)
     moves, emits = np.zeros_like(model.move), np.zeros_like(model.emit)
-    back = np.ones((active[-1], STATES))
+    back = meets[: active[-1]]
     seen, share = [], []
     for t in range(steps - 1, -1, -1):
         if len(back) < active[t]:
-            back = np.concatenate([back, np.ones((active[t] - len(back), STATES))])
-        gamma = forward[t] * back
-        norm = 1 / gamma.sum(1, keepdims=True)
-        gamma *= norm
+            back = np.concatenate([back, meets[len(back) : active[t]]])
+        gamma = _normal(forward[t] * back)
         now = token[start[: active[t]] + t]
         seen.append(now)
         share.append(gamma)
+        # the move to this token, at a segment's first one out of the segment before
+        ahead, before = back * model.emit[now], forward[t - 1][: active[t]] if t else enters
+        if not t:
+            ahead, before = ahead[~lead], before[~lead]
+        pair = (before @ model.move * ahead).sum(1, keepdims=True)
+        moves += (before / pair).T @ ahead
         if t:
-            ahead = back * model.emit[now]
-            before = forward[t - 1][: active[t]]
-            pair = (before @ model.move * ahead).sum(1, keepdims=True)
-            moves += (before / pair).T @ ahead
-            back = ahead @ model.move.T
-            back /= back.sum(1, keepdims=True)
+            back = _normal(ahead @ model.move.T)
     seen, share = np.concatenate(seen), np.concatenate(share)
     for s in range(STATES):
         emits[:, s] = np.bincount(seen, share[:, s], CLASSES)
-    return gamma.sum(0), moves * model.move, emits
+    return gamma[lead].sum(0), moves * model.move, emits
 
 
 def train(encoded: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
@@ -301,45 +361,16 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     token, start, length = _segments(texts)
     n = np.array([-(-len(x) // SEGMENT) for x in texts])
     heads = np.cumsum(n) - n
-    order = np.argsort(-length, kind="stable")
-    ranked, sizes = start[order], length[order]
-    steps = int(sizes[0])
-    active = np.searchsorted(-sizes, -np.arange(1, steps + 1), "right")
-    # from every state at once: row i of a segment's matrix starts in state i
-    out = np.empty((len(start), STATES, STATES))
-    scale = np.zeros(len(start))
-    now = np.broadcast_to(np.eye(STATES), (len(start), STATES, STATES)).copy()
-    first = np.zeros(len(start), bool)
-    first[heads] = True
-    lead = first[order]
-    for t in range(steps):
-        k = active[t]
-        if k < len(now):
-            out[k : len(now)] = now[k:]
-            now = now[:k]
-        emit = model.emit[token[ranked[:k] + t]]
-        if t == 0:
-            # a text's first token is drawn from the start, every other one after a move
-            moved = np.where(lead[:k, None, None], model.start[None, None, :], model.move[None, :, :])
-            now = moved * emit[:, None, :]
-        else:
-            now = (now.reshape(k * STATES, STATES) @ model.move).reshape(k, STATES, STATES) * emit[:, None, :]
-        if t % 16 == 15:
-            top = now.max((1, 2))
-            now /= top[:, None, None]
-            scale[:k] += np.log10(top)
-    out[: len(now)] = now
-    by_text = np.empty(len(start), np.int64)
-    by_text[order] = np.arange(len(start))
-    score = np.zeros(len(texts))
-    state = out[by_text[heads]][:, 0, :]
-    score += scale[by_text[heads]]
+    lead = np.zeros(len(start), bool)
+    lead[heads] = True
+    passed, scale = _transfers(model, token, start, length, lead)
+    state, score = passed[heads][:, 0, :], scale[heads]
     for k in range(1, int(n.max())):
         live = np.flatnonzero(n > k)
-        at = by_text[heads[live] + k]
+        at = heads[live] + k
         top = state[live].sum(1, keepdims=True)
         score[live] += np.log10(top[:, 0]) + scale[at]
-        state[live] = np.einsum("ns,nst->nt", state[live] / top, out[at])
+        state[live] = np.einsum("ns,nst->nt", state[live] / top, passed[at])
     return score + np.log10(state.sum(1))
 
 
