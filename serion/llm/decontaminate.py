@@ -10,10 +10,14 @@ intersected with the postings of the next rarer terms until nothing is left or
 all terms agree. Proximity matches ask only that the rarest terms of an item lie
 within a span of words of one document.
 
+(A shard intersects by looking the other terms up at the place where the window
+would have them, since a position holds one term; the result is that of merging lists.)
+
 Sharding by document keeps each term's postings, however frequent, in pieces of
-bounded size; nothing is shuffled by term. Test items are searched in blocks of
-bounded bytes, as flat arrays: windows are ordered by their rarest term, so a shard
-looks only at windows whose rarest term it has, CANDIDATES at a time.
+bounded size; nothing is shuffled by term. Equal test texts are searched once and get
+their items' ids back by a join. The distinct texts are searched in blocks of bounded
+bytes, as flat arrays: windows are ordered by their rarest term, and items, too, so a
+shard looks only at those whose rarest term it has, CANDIDATES at a time.
 
 Defined cases: a null text has no words and is never contaminated; an item
 without words (or null) matches nothing; an item shorter than the window is one
@@ -41,6 +45,8 @@ WINDOW = 13
 SHARD_BYTES = 8 << 20
 #: Bytes of test texts that one pass over the index searches (its arrays take about five times that).
 BLOCK_BYTES = 16 << 20
+#: Bytes that a text counts for besides its own.
+TEXT_BYTES = 64
 #: A proximity match: this many rarest terms of an item within this many words.
 NEAR_TERMS, NEAR_SPAN = 4, 40
 #: Pairs of a window and a place that a shard looks at together, unless one term has more postings.
@@ -101,22 +107,21 @@ class _Shard:
 
 
 class Items(NamedTuple):
-    """A block of test items as flat arrays."""
+    """A block of distinct test texts as flat arrays."""
 
-    ids: list[str | None]
+    numbers: np.ndarray
     vocabulary: np.ndarray  # distinct word hashes in order
     tokens: np.ndarray  # numbers of all items' words, one item behind the other
     bounds: np.ndarray  # the first token of each item, and the end
 
     @staticmethod
-    def read(test: DataFrame, id_col: str, text_col: str) -> Items:
-        """The items of a block (of bounded bytes) that have words."""
-        rows = [r for r in test.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).collect() if r.t is not None]
-        found = [(r.i, h) for r, h in zip(rows, hash_words([r.t for r in rows], NOT_ALNUM), strict=True) if len(h)]
-        found.sort(key=lambda x: (x[0] is None, x[0] or ""))
+    def read(texts: DataFrame) -> Items:
+        """The texts (number, text) of a block (of bounded bytes) that have words."""
+        rows = texts.select("number", "text").collect()
+        found = sorted(((r.number, h) for r, h in zip(rows, hash_words([r.text for r in rows], NOT_ALNUM), strict=True) if len(h)), key=lambda x: x[0]) if rows else []
         every = np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)
         vocabulary, tokens = np.unique(every, return_inverse=True)
-        return Items([i for i, _ in found], vocabulary, tokens.astype(np.int32), np.concatenate([[0], np.cumsum([len(h) for _, h in found])]).astype(np.int64))
+        return Items(np.array([i for i, _ in found], np.int64), vocabulary, tokens.astype(np.int32), np.concatenate([[0], np.cumsum([len(h) for _, h in found])]).astype(np.int64))
 
 
 def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -162,9 +167,12 @@ class Plan(NamedTuple):
     counts: np.ndarray  # of each vocabulary term in the corpus
     width: np.ndarray  # words of a window, by item
     start: np.ndarray  # first token of each window, windows ordered by their rarest term
+    item: np.ndarray  # of each window
     offset: np.ndarray  # place of the rarest term in each window
     by_term: np.ndarray  # first window of each term, and the end
     rare: np.ndarray  # items x NEAR_TERMS: the rarest terms of each item, rarest first; -1: none
+    near: np.ndarray  # items by their rarest term
+    near_by_term: np.ndarray  # first place of each term among them, and the end
 
 
 def plan(items: Items, counts: np.ndarray, window: int = WINDOW) -> Plan:
@@ -187,7 +195,10 @@ def plan(items: Items, counts: np.ndarray, window: int = WINDOW) -> Plan:
     for i, (a, z) in enumerate(zip(items.bounds[:-1].tolist(), items.bounds[1:].tolist(), strict=True)):
         each = list(dict.fromkeys(items.tokens[a:z][np.argsort(own[a:z], kind="stable")].tolist()))[:NEAR_TERMS]
         rare[i, : len(each)] = each
-    return Plan(items, counts, width, start[order], offset[order], np.searchsorted(term[order], np.arange(len(items.vocabulary) + 1)), rare)
+    terms = np.arange(len(items.vocabulary) + 1)
+    near = np.argsort(rare[:, 0], kind="stable")
+    item = np.repeat(np.arange(len(size), dtype=np.int32), n)[order]
+    return Plan(items, counts, width, start[order], item, offset[order], np.searchsorted(term[order], terms), rare, near, np.searchsorted(rare[near, 0], terms))
 
 
 class _Postings:
@@ -236,17 +247,16 @@ def exact_matches(p: Plan, have: _Postings) -> tuple[np.ndarray, np.ndarray]:
     begin, end = p.by_term[have.term], p.by_term[have.term + 1]
     n = end - begin
     window = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
-    item_of = np.searchsorted(p.items.bounds, p.start, "right") - 1
     items, starts = [], []
     for w, at in have.pairs(window, np.repeat(np.arange(len(n)), n)):
         at = at - p.offset[w]
         alive = at >= 0
         w, at = w[alive], at[alive]
-        width = p.width[item_of[w]]
+        width = p.width[p.item[w]]
         # terms of each window, the rarest first; places beyond a window's end come last
         few, which = np.unique(w, return_inverse=True)
         place = p.start[few][:, None] + np.arange(int(width.max(initial=1)))
-        outside = np.arange(place.shape[1])[None, :] >= p.width[item_of[few]][:, None]
+        outside = np.arange(place.shape[1])[None, :] >= p.width[p.item[few]][:, None]
         often = p.counts[p.items.tokens[np.minimum(place, len(p.items.tokens) - 1)]]
         order = np.argsort(np.where(outside, np.iinfo(np.int64).max, often), axis=1, kind="stable")
         for k in range(1, order.shape[1]):
@@ -255,7 +265,7 @@ def exact_matches(p: Plan, have: _Postings) -> tuple[np.ndarray, np.ndarray]:
             step = order[which, k]
             held = (k >= width) | have.has(p.items.tokens[np.minimum(p.start[w] + step, len(p.items.tokens) - 1)], at + step)
             w, at, width, which = w[held], at[held], width[held], which[held]
-        items.append(item_of[w])
+        items.append(p.item[w])
         starts.append(at)
     return (np.concatenate(items), np.concatenate(starts)) if items else (_NOTHING, _NOTHING)
 
@@ -268,7 +278,9 @@ def near_matches(p: Plan, have: _Postings, first: np.ndarray, n_words: np.ndarra
     there = np.zeros(len(p.items.vocabulary) + 1, bool)  # the last one stands for no term
     there[have.term] = True
     there[-1] = True
-    item = np.flatnonzero(there[p.rare].all(1) & (p.rare[:, 0] >= 0)) if len(p.rare) else _NOTHING
+    begin, n = p.near_by_term[have.term], p.near_by_term[have.term + 1] - p.near_by_term[have.term]
+    item = p.near[np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)]
+    item = item[there[p.rare[item]].all(1)]
     items, rows = [], []
     for i, at in have.pairs(item, np.searchsorted(have.term, p.rare[item, 0])):
         row = np.searchsorted(first, at, "right") - 1
@@ -281,7 +293,7 @@ def near_matches(p: Plan, have: _Postings, first: np.ndarray, n_words: np.ndarra
     return (np.concatenate(items), np.concatenate(rows)) if items else (_NOTHING, _NOTHING)
 
 
-_HITS = "shard string, row int, id {id}, n_words long, n_hit long, span_start array<int>, span_end array<int>, items array<string>, near_items array<string>"
+_HITS = "shard string, row int, id {id}, n_words long, n_hit long, span_start array<int>, span_end array<int>, items array<long>, near_items array<long>"
 
 
 def search(index: DataFrame, items: Items, *, window: int = WINDOW, found_only: bool = False) -> DataFrame:
@@ -297,15 +309,11 @@ def search(index: DataFrame, items: Items, *, window: int = WINDOW, found_only:
     return index.mapInArrow(task, _HITS.format(id=id_kind))
 
 
-def _lists(p: Plan, item: np.ndarray, row: np.ndarray, n: int) -> list[list[str | None]]:
-    """The distinct item ids of each row, in order (null last)."""
-    out: list[list[str | None]] = [[] for _ in range(n)]
-    ranked = np.unique(row * len(p.items.ids) + item) if len(item) else _NOTHING
-    for x in ranked.tolist():  # items are in the order of their ids
-        r, i = divmod(x, len(p.items.ids))
-        if not out[r] or out[r][-1] != p.items.ids[i]:
-            out[r].append(p.items.ids[i])
-    return out
+def _lists(p: Plan, item: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """The numbers of each row's texts."""
+    ranked = np.unique(row * len(p.items.numbers) + item) if len(item) else _NOTHING
+    row, item = np.divmod(ranked, max(len(p.items.numbers), 1))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(p.items.numbers[item]))
 
 
 def _search_shard(b: pa.RecordBatch, p: Plan, found_only: bool) -> pa.RecordBatch:
@@ -327,45 +335,63 @@ def _search_shard(b: pa.RecordBatch, p: Plan, found_only: bool) -> pa.RecordBatc
         row = int(np.searchsorted(first, a, "right")) - 1
         span_start[row].append(a - int(first[row]))
         span_end[row].append(z - int(first[row]))
-    ids, ints, texts = b.column(1), pa.list_(pa.int32()), pa.list_(pa.string())
+    ids, ints = b.column(1), pa.list_(pa.int32())
     out = pa.RecordBatch.from_arrays(
-        [pa.array([b.column(0)[0].as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int32()), ids.values.slice(ids.offsets[0].as_py(), n), pa.array(n_words), pa.array(n_hit), pa.array(span_start, ints), pa.array(span_end, ints), pa.array(items, texts), pa.array(near, texts)],
+        [pa.array([b.column(0)[0].as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int32()), ids.values.slice(ids.offsets[0].as_py(), n), pa.array(n_words), pa.array(n_hit), pa.array(span_start, ints), pa.array(span_end, ints), items, near],
         ["shard", "row", "id", "n_words", "n_hit", "span_start", "span_end", "items", "near_items"],
     )
-    return out.filter(pa.array([bool(x or y) for x, y in zip(items, near, strict=True)])) if found_only else out
+    return out.filter(pa.array((np.diff(items.offsets.to_numpy()) > 0) | (np.diff(near.offsets.to_numpy()) > 0))) if found_only else out
 
 
 def decontaminate(docs: DataFrame, test: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document row: (id_col, n_words, n_hit, span_start, span_end, items, near_items)."""
     scratch = Scratch(docs.sparkSession, "postings")
     index = scratch.save("index", build_index(docs, id_col=id_col, text_col=text_col))
-    return search_table(index, test, item_col=item_col, item_text_col=item_text_col, window=window).withColumnRenamed("id", id_col)
+    out = search_table(index, test, item_col=item_col, item_text_col=item_text_col, window=window)
+    scratch.drop("index")
+    return out.withColumnRenamed("id", id_col)
 
 
 def search_table(index: DataFrame, test: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per indexed document: (id, n_words, n_hit, span_start, span_end, items, near_items), for a whole test table.
 
-    index: a stored table of build_index. The test table is read in blocks of bounded
-    bytes; what several blocks find in a document is merged by its place in the
-    index. One block, the usual case, shuffles nothing but the term counts.
+    index: a stored table of build_index; it is not read after the call. The lists hold
+    the distinct ids, in order (null last), of all items whose text was found.
     """
-    size = test.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()[0]
+    scratch = Scratch(index.sparkSession, "contamination")
+    said = test.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+    texts = scratch.save("texts", said.select("text").distinct().withColumn("number", F.monotonically_increasing_id()))
+    found = scratch.save("found", _search_texts(index, texts, window))
+    items = said.join(texts, "text").select("number", F.struct("item").alias("item")).distinct()
+    met = found.select("shard", "row", F.explode("items").alias("number"), F.lit(False).alias("near")).union(found.select("shard", "row", F.explode("near_items"), F.lit(True)))
+    ids = lambda near: F.transform(F.array_sort(F.collect_set(F.when(F.col("near") == near, F.struct(F.col("item.item").isNull(), "item.item")))), lambda x: x["item"])
+    lists = met.join(items, "number").groupBy(F.col("shard").alias("of_shard"), F.col("row").alias("of_row")).agg(ids(False).alias("found_items"), ids(True).alias("found_near"))
+    out = found.join(lists, (F.col("shard") == F.col("of_shard")) & (F.col("row") == F.col("of_row")), "left")
+    none = F.array().cast("array<string>")
+    return out.select("id", "n_words", "n_hit", "span_start", "span_end", F.coalesce("found_items", none).alias("items"), F.coalesce("found_near", none).alias("near_items"))
+
+
+def _search_texts(index: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """search() for distinct texts (number, text) of any number, in blocks of bounded bytes.
+
+    What several blocks find in a document is merged by its place in the index. One
+    block, the usual case, shuffles nothing but the term counts.
+    """
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + TEXT_BYTES), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    names = ("id", "n_words", "n_hit", "span_start", "span_end", "items", "near_items")
     if n_blocks == 1:
-        return search(index, Items.read(test, item_col, item_text_col), window=window).select(*names)
-    # texts are dealt by their own hash, so items of one id may part; the merge joins them again
-    place = F.pmod(F.xxhash64(item_text_col), F.lit(n_blocks))
+        return search(index, Items.read(texts), window=window)
+    place = F.pmod(F.xxhash64("number"), F.lit(n_blocks))
     out = None
     for k in range(n_blocks):
-        found = search(index, Items.read(test.where(place == k), item_col, item_text_col), window=window, found_only=k > 0)
+        found = search(index, Items.read(texts.where(place == k)), window=window, found_only=k > 0)
         out = found if out is None else out.union(found)
     spans = F.flatten(F.collect_list(F.arrays_zip("span_start", "span_end")))
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    merged = lambda c: F.flatten(F.collect_list(c)).alias(c)
     out = out.groupBy("shard", "row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), spans.alias("spans"), merged("items"), merged("near_items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["span_start"], x["span_end"] - 1)))))
     n_hit = F.when(F.size("spans") > 0, hit).otherwise(0).cast("long").alias("n_hit")
-    return out.select("id", "n_words", n_hit, F.col("spans.span_start").alias("span_start"), F.col("spans.span_end").alias("span_end"), "items", "near_items")
+    return out.select("shard", "row", "id", "n_words", n_hit, F.col("spans.span_start").alias("span_start"), F.col("spans.span_end").alias("span_end"), "items", "near_items")
 
 
 def with_contamination(found: DataFrame) -> DataFrame:
@@ -373,12 +399,17 @@ def with_contamination(found: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, test: DataFrame, *, text_col: str = "text", **names) -> DataFrame:
-    """Rows of docs, all columns, that the verdict leaves; row identity is kept with a key of its own."""
+def drop_contaminated(docs: DataFrame, test: DataFrame, *, text_col: str = "text", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Rows of docs, all columns, that the verdict leaves; rows are told apart by a key of their own, under a name that docs has not."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    keyed = scratch.save("docs", docs.withColumn("_serion_row", F.expr("uuid()")))
-    index = scratch.save("index", build_index(keyed, id_col="_serion_row", text_col=text_col))
-    found = with_contamination(search_table(index, test, **names))
-    bad = scratch.save("bad", found.where("contaminated").select(F.col("id").alias("_serion_row")))
-    scratch.drop("index")
-    return keyed.join(bad, "_serion_row", "left_anti").drop("_serion_row")
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = scratch.save("docs", docs.withColumn(key, F.expr("uuid()")))
+    index = scratch.save("index", build_index(keyed, id_col=key, text_col=text_col))
+    said = test.select(F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()
+    texts = scratch.save("texts", said.withColumn("number", F.monotonically_increasing_id()))
+    found = with_contamination(_search_texts(index, texts, window))
+    bad = scratch.save("bad", found.where("contaminated").select(F.col("id").alias(key)))
+    scratch.drop("index", "texts")
+    return keyed.join(bad, key, "left_anti").drop(key)
