@@ -5,20 +5,24 @@ characters per tag (its own tag and those below, without marks of running text),
 adjusted by its share of link characters and link tags against the body's own
 share; a node's density sum is the sum over its children. The subtree of the
 largest density sum is the main text; the least density on its path to the body is
-the threshold. A subtree elsewhere belongs to the text, too, if all its path reaches
-the threshold and its density sum is a quarter of the largest one or it is a
-sibling of the same kind; so do first headings beside the path. Inside a chosen
-subtree, link lists below the threshold are left out, and where the body itself is
-chosen, all containers below it. If the choice lies in an article or main element,
-or such elements hold most of its text, their borders are taken.
-
-What elements, classes, ids and roles say is evidence only. Script, style and
-controls hold no text. A nav, footer, aside, form or the like, a class token that is
-a furniture word, or a compound that begins or ends with an unmistakable one, marks
-a subtree strongly; another compound with a furniture word marks it weakly. A marked
-subtree is left out unless it holds the page: a strong mark is void if the unmarked
-text elsewhere is less than a 30th of the subtree's own, a weak one if it is less
-than half.
+the threshold. A subtree beside that path belongs to the text, too, if it is alike (the
+same tag, paragraphs inside or none like its neighbour on the path, text rather than
+links), however short; if all its path reaches the threshold and its density sum is a
+quarter of the largest one; or if it is a first heading. Inside a chosen subtree, link
+lists below the threshold are left out, and where the body itself is chosen, all
+containers below it. If the choice lies in an article or main element, or such elements
+hold most of its text, their borders are taken.
+
+What elements, classes, ids and roles say is evidence only, and only of elements that
+hold parts of a page: headings, running text and, but for unmistakable words,
+paragraphs are never judged by their names. Script, style and controls hold no text. A
+nav, footer, form or the like, a name that is a furniture word, or a compound that
+begins or ends with an unmistakable one, marks a subtree: it is left out, unless it
+holds the page (the unmarked text elsewhere is less than a 30th of its own). Inside an
+article or main element a furniture word that is not unmistakable only breaks a tie:
+such a part is left out if its density does not reach the threshold. Asides there, and
+other compounds with a furniture word anywhere, are left out only if they are mostly
+links, and are no text of their own outside the chosen one.
 
 The text of the taken subtrees is written block by block in page order: character
 references decoded, white space inside a block turned into one space, trimmed,
@@ -58,13 +62,13 @@ CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"d
 INLINE = frozenset("abbr b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold no text of a page.
 HARD = frozenset("script style title textarea xmp iframe noembed noframes head noscript template button select option input svg canvas object audio video map".split())
-#: Elements that are strong evidence for furniture (a header outside articles, too).
+#: Elements that are strong evidence for furniture (a header outside articles, too; an aside inside is weak).
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset label".split())
 #: Words of class, id or role that mark furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments disqus complementary contentinfo cookie cookies consent disclaimer dialog footer form header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
-#: Those that mark a compound strongly as its first or last word.
+#: Those that mark a compound as its first or last word, and inside articles, too.
 UNMISTAKABLE = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus footer menu nav navbar navigation newsletter sidebar sponsor sponsored".split())
 #: Words by which a compound speaks of a layout or of the text itself.
 LAYOUT_WORDS = frozenset("no not non with without has have is hide show toggle js".split())
@@ -73,8 +77,12 @@ TEXT_WORDS = frozenset("content article story entry post body text".split())
 TRUSTED = frozenset(("html", "body", "article", "main"))
 #: Elements that hold parts of a page.
 CONTAINERS = frozenset("div section ul ol dl table center td".split())
+#: Elements whose names are evidence.
+NAMED = CONTAINERS | FURNITURE | frozenset("header li figure details".split())
+#: Paragraphs and headings: what a part of the text is made of.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Unmarked text elsewhere, as a share of a marked subtree's, below which the mark is void.
-STRONG_SHARE, WEAK_SHARE = 1 / 30, 1 / 2
+STRONG_SHARE = 1 / 30
 #: Density sum of a further subtree of the text, as a share of the largest.
 FURTHER_SHARE = 1 / 4
 
@@ -90,27 +98,32 @@ class _Tree:
     """Elements in page order; a parent's number is below its children's."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.cut, self.mark, self.kind = ["body"], [0], [False], [0], [""]
+        self.tag, self.parent, self.cut, self.mark = ["body"], [0], [False], [0]
         self.leaves: list[tuple[int, int, str]] = []  # element, block, text
 
 
 def _token_mark(token: str) -> int:
-    if token.lower() in FURNITURE_WORDS:
-        return 2
+    """3: an unmistakable word or a compound that begins or ends with one; 2: another furniture word; 1: another compound with one."""
+    word = token.lower()
+    if word in FURNITURE_WORDS:
+        return 3 if word in UNMISTAKABLE else 2
     parts = [w.lower() for w in _WORDS.findall(token)]
     if len(parts) < 2 or FURNITURE_WORDS.isdisjoint(parts) or not LAYOUT_WORDS.isdisjoint(parts):
         return 0
-    return 2 if (parts[0] in UNMISTAKABLE or parts[-1] in UNMISTAKABLE) and TEXT_WORDS.isdisjoint(parts) else 1
+    return 3 if (parts[0] in UNMISTAKABLE or parts[-1] in UNMISTAKABLE) and TEXT_WORDS.isdisjoint(parts) else 1
 
 
 def _mark(tag: str, attributes: str, in_article: bool) -> int:
-    """Evidence for furniture: 0 none, 1 weak, 2 strong."""
+    """Evidence for furniture: 0 none, 1 for links only, 2 below the threshold only, 3 strong."""
     if tag in FURNITURE or tag == "header" and not in_article:
-        return 2
-    if tag in TRUSTED or not attributes:
+        return 1 if tag == "aside" and in_article else 3
+    if tag in TRUSTED or not attributes or tag not in NAMED and tag != "p":
         return 0
     tokens = [x for m in _MARKED.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
-    return max(map(_token_mark, tokens), default=0)
+    if tag == "p":
+        return 3 * any(x.lower() in UNMISTAKABLE for x in tokens)
+    found = max(map(_token_mark, tokens), default=0)
+    return 3 if found == 2 and not in_article else found
 
 
 def _parse(page: str) -> _Tree:
@@ -165,7 +178,6 @@ def _parse(page: str) -> _Tree:
         t.parent.append(stack[-1])
         t.cut.append(t.cut[stack[-1]] or tag in HARD)
         t.mark.append(_mark(tag, m[3], articles > 0))
-        t.kind.append(f"{tag} {m[3].strip()}")
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
@@ -192,7 +204,7 @@ def _density(c: int, tags: int, link_c: int, link_tags: int, share: float) -> fl
 
 
 def _cut_furniture(t: _Tree, leaves: list[tuple[int, int, str]]) -> None:
-    """Cuts marked subtrees, the outer ones first, but those that hold the page."""
+    """Cuts strongly marked subtrees, the outer ones first, but those that hold the page."""
     n = len(t.tag)
     plain, link = [0] * n, [False] * n  # own characters outside links and outside marked elements below
     for e in range(1, n):
@@ -201,14 +213,14 @@ def _cut_furniture(t: _Tree, leaves: list[tuple[int, int, str]]) -> None:
         if not link[e]:
             plain[e] += len("".join(x.split()))
     for e in range(n - 1, 0, -1):
-        if not t.mark[e]:
+        if t.mark[e] < 3:
             plain[t.parent[e]] += plain[e]
     elsewhere = plain[0]
     for e in range(1, n):
         if t.cut[t.parent[e]]:
             t.cut[e] = True
-        elif t.mark[e] and not t.cut[e]:
-            if elsewhere < plain[e] * (STRONG_SHARE if t.mark[e] == 2 else WEAK_SHARE):
+        elif t.mark[e] == 3 and not t.cut[e]:
+            if elsewhere < plain[e] * STRONG_SHARE:
                 elsewhere += plain[e]
             else:
                 t.cut[e] = True
@@ -267,21 +279,31 @@ def _chosen(t: _Tree, leaves: list[tuple[int, int, str]]) -> list[bool]:
     for e in inner or [root]:
         taken[e] = True
     # other subtrees of the text
-    on_path, reached = set(path), [density[0] >= threshold] + [False] * (n - 1)
+    paragraphs = [t.tag[e] in PARAGRAPHS and not t.cut[e] and chars[e] > 0 for e in range(n)]
+    for e in range(n - 1, 0, -1):
+        paragraphs[t.parent[e]] = paragraphs[t.parent[e]] or paragraphs[e]
+    on_path, reached = {t.parent[e]: e for e in path if e}, [density[0] >= threshold] + [False] * (n - 1)
     for e in range(1, n):
         p = t.parent[e]
         reached[e] = reached[p] and density[e] >= threshold and density[e] > 0
-        if inner or e in on_path or p not in on_path or p == top:
+        beside = on_path.get(p)  # the path's own child of p
+        if inner or beside is None or e == beside or t.mark[e] or not chars[e]:
             continue
-        alike = t.parent[root] == p and t.kind[e] == t.kind[root] and t.tag[e] in CONTAINERS
-        if reached[e] and (alike or sums[best[e]] >= FURTHER_SHARE * sums[top] > 0) or t.tag[e] == "h1":
-            taken[e if alike or t.tag[e] == "h1" else best[e]] = True
+        alike = t.tag[e] == t.tag[beside] and t.tag[e] in CONTAINERS and paragraphs[e] == paragraphs[beside] and 2 * link_chars[e] < chars[e]
+        if alike or t.tag[e] == "h1":
+            taken[e] = True
+        elif reached[e] and sums[best[e]] >= FURTHER_SHARE * sums[top] > 0:
+            taken[best[e]] = True
     trusted = bool(inner) or t.tag[root] in ("article", "main")
+    widest = max((e for e in range(1, n) if t.parent[e] == 0 and t.tag[e] in CONTAINERS), key=lambda e: chars[e], default=0)
     for e in range(1, n):
         if not taken[e] and taken[t.parent[e]]:
-            linked = 2 * link_chars[e] > chars[e]
-            low = not trusted and t.tag[e] in CONTAINERS and density[e] < threshold and (linked or root == 0 and t.parent[e] == 0 and chars[e] < chars[0] / 2)
-            taken[e] = not low
+            linked, sparse = 2 * link_chars[e] > chars[e], density[e] < threshold
+            like = 2 * chars[widest] >= chars[0] and t.tag[e] == t.tag[widest] and paragraphs[e] == paragraphs[widest]
+            alone = root == 0 and t.parent[e] == 0 and chars[e] < chars[0] / 2 and not like
+            low = not trusted and t.tag[e] in CONTAINERS and sparse and (linked or alone)
+            weak = t.mark[e] == 2 and sparse or t.mark[e] == 1 and linked
+            taken[e] = not low and not weak
     return taken
 
 

@@ -186,7 +186,7 @@ def test_models_that_break_the_assumptions_are_refused(monkeypatch):
 # 3 -------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (1, 70)])
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (1, 70), (1, 50)])
 def test_components_of_awkward_rows(spark, docs, none, k, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(docs, shingle=k, percent=percent).collect()}
     assert got == brute.components(DOCS, k, percent)
