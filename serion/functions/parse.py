@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 _NUMBER = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 REAL = rf"^[+-]?{_NUMBER}$"
-COMPLEX = rf"^([+-]?{_NUMBER})?([+-]?{_NUMBER}|[+-])[ij]$"
 _SPLIT = rf"^([+-]?{_NUMBER}(?=[+-]))?([+-]?(?:{_NUMBER})?)[ij]$"
 
 
@@ -17,10 +16,11 @@ def tokens(text: Column) -> Column:
 
 
 def parse_number(token: Column) -> Column:
-    """struct<re, im> of ``a``, ``bj`` or ``a+bj`` (i or j); null if it is none of them.
+    """struct<re, im> of ``a``, ``bj`` or ``a+bj`` (i or j), in parentheses or not; null if it is none of them.
 
     Names such as inf and nan are no numbers.
     """
+    token = F.regexp_replace(token, r"^\((.*)\)$", "$1")
     re = F.regexp_extract(token, _SPLIT, 1)
     im = F.regexp_extract(token, _SPLIT, 2)
     im = F.when(im.isin("", "+"), F.lit("1")).when(im == "-", F.lit("-1")).otherwise(im)

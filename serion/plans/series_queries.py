@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serion.functions import classify, parse
 from serion.operators import matching, series
 from serion.plans.registry import query, table
-from serion.sources import logs
+from serion.sources import logs, runs
+from serion.sources.storage import Scratch
 from serion.streaming import monitor
 
 _SECONDS = "unix_micros(cast(ts as timestamp))"
@@ -187,29 +186,29 @@ def tumbling_30s(spark, sf_dir):
     return monitor.tumbling(table(spark, sf_dir, "events"), "ts", "value").select(F.unix_micros("start").alias("start_us"), "n", F.round("mean", 6).alias("mean"))
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{monitor.shared_folder(spark).rstrip('/')}/streams-{uuid.uuid4().hex}"
-
-
 @query("SELECT epoch_us(time_bucket(INTERVAL '30 seconds', ts)) AS start_us, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def stream_tumbling_30s(spark, sf_dir):
     """The same windows by Structured Streaming over all there is now; the last state of each window."""
-    path = _folder(spark)
+    scratch = Scratch(spark, "streams")
+    out = scratch.folder("out")
     stream = monitor.tumbling(monitor.read_files(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema), "ts", "value")
-    monitor.run_to_end(stream, "update", lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{path}/out"), f"{path}/state")
-    got = spark.read.parquet(f"{path}/out").groupBy("start").agg(F.max(F.struct("batch", "n", "mean")).alias("x"))
+    monitor.run_to_end(stream, "update", lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(out), scratch.folder("state"))
+    scratch.drop("state")
+    got = spark.read.parquet(out).groupBy("start").agg(F.max(F.struct("batch", "n", "mean")).alias("x"))
     return got.select(F.unix_micros("start").alias("start_us"), "x.n", F.round("x.mean", 6).alias("mean"))
 
 
 @query("SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS largest, round(sum(value), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM events) WHERE r <= 300 GROUP BY 1")
 def stream_ring_buffer(spark, sf_dir):
     """The last 300 rows of each kind of event kept as bounded state of a stream; the last state."""
-    path = _folder(spark)
+    scratch = Scratch(spark, "streams")
+    out = scratch.folder("out")
     source = monitor.read_files(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
     source = source.withColumn("us", F.expr(_SECONDS))
     stream = monitor.ring_buffers(source, "event_type", "us", "value")
-    monitor.run_to_end(stream, "update", lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{path}/out"), f"{path}/state")
-    got = spark.read.parquet(f"{path}/out").groupBy("key").agg(F.max(F.struct("batch", "n", "least", "largest", "mean")).alias("x"))
+    monitor.run_to_end(stream, "update", lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(out), scratch.folder("state"))
+    scratch.drop("state")
+    got = spark.read.parquet(out).groupBy("key").agg(F.max(F.struct("batch", "n", "least", "largest", "mean")).alias("x"))
     return got.select(F.col("key").alias("event_type"), "x.n", "x.least", "x.largest", F.round(F.col("x.mean") * F.col("x.n"), 2).alias("total"))
 
 
@@ -239,11 +238,13 @@ def dashboard_stats(spark, sf_dir):
 @query(_histogram_sql(f"SELECT temp_c FROM ({_SAMPLES_SQL}) WHERE temp_c IS NOT NULL ORDER BY elapsed_s DESC LIMIT 300", "temp_c", 20, ", CASE WHEN l >= 90 THEN 'critical' WHEN l >= 75 THEN 'warn' ELSE 'normal' END AS class"))
 def stream_dashboard(spark, sf_dir):
     """The histogram that the live dashboard shows after the last refresh of a stream."""
-    path = _folder(spark)
+    scratch = Scratch(spark, "streams")
     source = monitor.read_files(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
-    shown = lambda parts, k: parts["histogram"].write.mode("overwrite").parquet(f"{path}/shown")
-    monitor.live_dashboard(_samples(source), shown, f"{path}/state", f"{path}/kept")
-    return _rounded(spark.read.parquet(f"{path}/shown"))
+    out = scratch.folder("shown")
+    shown = lambda parts, k: parts["histogram"].write.mode("overwrite").parquet(out)
+    monitor.live_dashboard(_samples(source), shown, scratch.folder("state"), scratch.folder("kept"))
+    scratch.drop("state", "kept")
+    return _rounded(spark.read.parquet(out))
 
 
 @query("""SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S') AS taken_at, value AS first_c, round(value + 1.5, 2) AS hottest_c, CASE WHEN event_id % 3 > 0 THEN 2::BIGINT ELSE 0 END AS n_sensors,
@@ -469,3 +470,33 @@ def overlapping_spans(spark, sf_dir):
     runs = F.floor("value") % 3 + F.when(F.col("event_id") % 1000 == 0, 1000).otherwise(0)
     e = e.select((F.col("user_id") % 10 + 1).alias("l_suppkey"), "event_id", first.alias("e1"), (first + runs).alias("e2"))
     return matching.overlaps(lines, e, "d1", "d2", "e1", "e2", ("l_suppkey",)).select("l_orderkey", "l_linenumber", "event_id")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL '30 seconds', ts)) AS start_us, count(value) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_windows_and_late(spark, sf_dir):
+    """Windows of 30 seconds from a stream that closes them after a minute and keeps the rows that come later."""
+    scratch = Scratch(spark, "streams")
+    source = monitor.read_files(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
+    out = scratch.folder("windows")
+    monitor.windows_and_late(source, "ts", "value", out, scratch.folder("state"))
+    scratch.drop("state")
+    return monitor.all_windows(spark, out, "ts", "value").select("start_us", "n", F.round("total", 4).alias("total"))
+
+
+_HALF = "(SELECT count(*) // 2 FROM orders)"
+
+
+@query(f"""
+WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_totalprice FROM orders),
+s AS (SELECT (n - 1) // 100 AS snapshot, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM o GROUP BY 1)
+SELECT snapshot, rows, total, CASE WHEN (snapshot + 1) * 100 <= {_HALF} THEN 'run-1' ELSE 'run-2' END AS run FROM s WHERE rows = 100""")
+def orders_through_runs(spark, sf_dir):
+    """Whole snapshots of a hundred orders, published by two runs; the second sees all rows and adds what the first had not."""
+    scratch = Scratch(spark, "runs")
+    path = scratch.folder("published")
+    ranked = scratch.save("ranked", series.ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey"))
+    half = ranked.agg(F.floor(F.count("*") / 2).alias("half"))  # one row
+    runs.publish_snapshots(ranked.join(F.broadcast(half)).where("n <= half").drop("half"), path, "run-1")
+    runs.publish_snapshots(ranked, path, "run-2")
+    scratch.drop("ranked")
+    return runs.read_runs(spark, path).groupBy("snapshot", "run").agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))

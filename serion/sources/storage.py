@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Parquet tables of one run under the shared folder.
 
@@ -37,13 +43,17 @@ class Scratch:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *names]))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes df and reads it back: later jobs start from the files."""
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+    def folder(self, name: str) -> str:
+        """The path of a table or folder that goes like the others."""
         if not self._names:
             files, path = self._path()
             files.deleteOnExit(path)
         self._names.add(name)
+        return f"{self.base}/{name}"
+
+    def save(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes df and reads it back: later jobs start from the files."""
+        df.write.mode("overwrite").parquet(self.folder(name))
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def save_bucketed(self, name: str, df: DataFrame, by: str) -> DataFrame:
@@ -54,11 +64,7 @@ class Scratch:
         """
         entry = f"serion_{uuid.uuid4().hex}"
         buckets = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("path", f"{self.base}/{name}").bucketBy(buckets, by).saveAsTable(entry)
-        if not self._names:
-            files, path = self._path()
-            files.deleteOnExit(path)
-        self._names.add(name)
+        df.write.format("parquet").option("path", self.folder(name)).bucketBy(buckets, by).saveAsTable(entry)
         out = self.spark.table(entry)
         self.spark.sql(f"DROP TABLE {entry}")
         return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serion.functions import parse
+from serion.sources import runs
 
 ZERO_SCHEMA = "n long, t double, t_max double, method string, precision int, run_ts string"
 #: Column names of earlier layouts and ours (fixed values).
@@ -100,9 +101,10 @@ def write_if_any(df: DataFrame, path: str) -> bool:
     return True
 
 
-def write_snapshots(zeros: DataFrame, path: str, every: int = 100) -> None:
-    """All rows up to the last full hundred; batches of ``every`` rows are partitions, so a later run only adds some."""
-    n = F.col("n")
-    whole = zeros.agg(F.floor(F.max("n") / every).alias("_whole"))
-    rows = zeros.join(F.broadcast(whole)).where(n <= F.col("_whole") * every).drop("_whole")
-    rows.withColumn("snapshot", F.floor((n - 1) / every)).write.mode("overwrite").partitionBy("snapshot").parquet(path)
+def write_snapshots(zeros: DataFrame, path: str, run: str, every: int = 100) -> None:
+    """Adds the full hundreds that earlier runs have not published; read_snapshots reads them all."""
+    runs.publish_snapshots(zeros, path, run, every)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return runs.read_runs(spark, path)

@@ -1,40 +1,74 @@
-"""Streaming forms of the monitor: bounded row buffers, tumbling windows, dashboard refresh."""
+"""Streaming forms of the monitor: bounded row buffers, tumbling windows with their late rows, dashboard refresh."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from serion.functions import classify
 from serion.operators import series
+from serion.sources.storage import delete
 
 ROWS = 300
+#: Rows that a task holds while it trims.
+HELD = 1 << 18
+#: Bytes of files that one micro-batch takes, one file at least.
+BATCH_BYTES = 1 << 30
+
+
+def _last_rows(t: pa.Table, rows: int) -> pa.Table:
+    """The last ``rows`` rows of each key k in the order (o, v)."""
+    t = t.sort_by([("k", "ascending"), ("o", "ascending"), ("v", "ascending")])
+    code = pc.dictionary_encode(t["k"].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    ends = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))
+    return t.filter(pa.array(ends[np.searchsorted(ends, np.arange(len(code)), "right")] - np.arange(len(code)) <= rows)) if len(code) else t
+
+
+def _trimmed(df: DataFrame, rows: int) -> DataFrame:
+    """Of the rows (k, o, v) of each task no more than the last ``rows`` of each key: others are in no buffer."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            held = _last_rows(pa.concat_tables([held, new]) if held is not None else new, rows)
+            if held.num_rows > HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return df.mapInArrow(task, df.schema)
 
 
 def ring_buffers(stream: DataFrame, key: str, order: str, value: str, rows: int = ROWS) -> DataFrame:
     """(key, n, least, largest, mean) of each key's last ``rows`` rows, updated with every batch.
 
-    The state of a key is its buffer, ``rows`` pairs at most. Rows that arrive late
-    still take their place in the order; null values are dropped.
+    The state of a key is its buffer, ``rows`` pairs at most, and each task sends no more
+    of a key to it, however many rows the batch has. Rows that arrive late still take
+    their place in the order; null values are dropped.
     """
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        o, v = (np.array(x, np.float64) for x in (state.get if state.exists else ([], [])))
         for f in frames:
-            held = sorted(held + list(zip(f["o"].tolist(), f["v"].tolist(), strict=True)))[-rows:]
-        state.update(([o for o, _ in held], [v for _, v in held]))
-        values = [v for _, v in held]
-        yield pd.DataFrame({"key": [k[0]], "n": [len(values)], "least": [min(values)], "largest": [max(values)], "mean": [sum(values) / len(values)]})
+            o, v = np.concatenate([o, f["o"].to_numpy()]), np.concatenate([v, f["v"].to_numpy()])
+            last = np.lexsort((v, o))[-rows:]
+            o, v = o[last], v[last]
+        state.update((o.tolist(), v.tolist()))
+        yield pd.DataFrame({"key": [k[0]], "n": [len(v)], "least": [v.min()], "largest": [v.max()], "mean": [v.sum() / len(v)]})
 
     kind = stream.schema[key].dataType.simpleString()
     rows_in = stream.where(F.col(value).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("k"), F.col(order).cast("double").alias("o"), F.col(value).cast("double").alias("v"))
-    return rows_in.groupBy("k").applyInPandasWithState(update, f"key {kind}, n long, least double, largest double, mean double", "o array<double>, v array<double>", "update", GroupStateTimeout.NoTimeout)
+    return _trimmed(rows_in, rows).groupBy("k").applyInPandasWithState(update, f"key {kind}, n long, least double, largest double, mean double", "o array<double>, v array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def tumbling(stream: DataFrame, ts: str, value: str, width: str = "30 seconds", late: str | None = None) -> DataFrame:
@@ -50,6 +84,63 @@ def tumbling(stream: DataFrame, ts: str, value: str, width: str = "30 seconds",
     return rows.groupBy(F.window("_ts", width).alias("w")).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), "n", "mean")
 
 
+def windows_and_late(stream: DataFrame, ts: str, value: str, path: str, checkpoint: str, *, width_s: int = 30, late_s: int = 60, every: str | None = None) -> None:
+    """Tumbling windows that close, and the rows that come after that, kept: nothing is dropped.
+
+    A window closes when the latest time of all batches so far is ``late_s`` past its end.
+    Under ``path``: ``closed/<batch>`` (start_us, n, total) of the windows that a batch
+    closed, ``late/<batch>`` the batch's rows for windows closed before it, whole, and
+    ``open/<batch>`` what is open after it (with the latest time so far), the only state,
+    of which the last two versions stay. A batch that is run again, also after a restart
+    from the checkpoint, writes its own versions again. Rows without a time are dropped.
+    """
+    spark = stream.sparkSession
+    width, late = width_s * 1_000_000, late_s * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    start = F.floor(us / width).cast("long") * width
+    state = "start_us long, n long, total double, latest long"
+
+    def refresh(batch: DataFrame, k: int) -> None:
+        held = spark.read.schema(state).parquet(f"{path}/open/{k - 1}") if k else spark.createDataFrame([], state)
+        before = held.agg(F.max("latest")).first()[0]
+        rows = batch.where(F.col(ts).isNotNull())
+        past = F.lit(False) if before is None else start + width + late <= before
+        rows.where(past).write.mode("overwrite").parquet(f"{path}/late/{k}")
+        new = rows.groupBy(start.alias("start_us"), past.alias("past")).agg(F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("total"), F.max(us).alias("latest"))
+        latest = F.lit(before).cast("long")
+        both = held.withColumn("past", F.lit(False)).unionByName(new)
+        # the newest time also counts if it came with a late row (it cannot be newer then) or with no value
+        both = both.where(~F.col("past")).groupBy("start_us").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("latest").alias("latest"))
+        both.write.mode("overwrite").parquet(f"{path}/all/{k}")
+        both = spark.read.schema(state).parquet(f"{path}/all/{k}")
+        now = both.agg(F.max(F.greatest("latest", latest))).first()[0]
+        done = F.col("start_us") + width + late <= F.lit(now)
+        both.where(done & F.col("n").isNotNull()).drop("latest").write.mode("overwrite").parquet(f"{path}/closed/{k}")
+        # a row of no window carries the latest time on when no window is open
+        mark = spark.createDataFrame([(None, None, None, now)] if now is not None else [], state)
+        both.where(~done & F.col("start_us").isNotNull()).unionByName(mark).write.mode("overwrite").parquet(f"{path}/open/{k}")
+        delete(spark, f"{path}/all/{k}")
+        if k > 1:
+            delete(spark, f"{path}/open/{k - 2}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    writer.start().awaitTermination()
+
+
+def all_windows(spark: SparkSession, path: str, ts: str, value: str, width_s: int = 30) -> DataFrame:
+    """(start_us, n, total, n_late) of what windows_and_late has so far: closed, open and late rows together."""
+    width = width_s * 1_000_000
+    # the newest state is the one of the highest batch
+    opened = spark.read.parquet(f"{path}/open/*").withColumn("batch", F.element_at(F.split(F.input_file_name(), "/"), -2).cast("long"))
+    last = F.broadcast(opened.agg(F.max("batch").alias("last")))  # one row
+    opened = opened.join(last).where("batch = last AND start_us IS NOT NULL").select("start_us", "n", "total", F.lit(0).cast("long").alias("n_late"))
+    closed = spark.read.parquet(f"{path}/closed/*").select("start_us", "n", "total", F.lit(0).cast("long").alias("n_late"))
+    late = spark.read.parquet(f"{path}/late/*").groupBy((F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / width).cast("long") * width).alias("start_us"))
+    late = late.agg(F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("total"), F.count(value).alias("n_late"))
+    return opened.unionByName(closed).unionByName(late).groupBy("start_us").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("n_late").alias("n_late"))
+
+
 def run_to_end(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Works off all that a source has now, batch by batch."""
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
@@ -70,8 +161,9 @@ def live_dashboard(stream: DataFrame, show: Callable[[dict[str, DataFrame], int]
     """Refreshes the dashboard with every micro-batch of samples (elapsed_s, temp_c, cpu_pct).
 
     The retained buffer, the last ``rows`` samples with a temperature, is a table under
-    ``path``, one version per batch; a batch that is run again writes its version again.
-    Fewer than two retained samples give no dashboard. every: the interval of an endless
+    ``path``, one version per batch, of which the last two stay; a batch that is run again
+    reads the version before its own and writes its own again, so with that one missing the
+    stream fails. Fewer than two retained samples give no dashboard. every: the interval of an endless
     run (the query is returned to no one and runs until it is stopped); without it, what
     the source has now is worked off.
     """
@@ -86,19 +178,16 @@ def live_dashboard(stream: DataFrame, show: Callable[[dict[str, DataFrame], int]
         now = spark.read.schema(shape).parquet(f"{path}/{k}")
         if now.limit(2).count() == 2:
             show(dashboard(now, bins), k)
+        if k > 1:
+            delete(spark, f"{path}/{k - 2}")
 
     writer = kept.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     writer.start().awaitTermination()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where a session on one machine (tests) has none, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or "file://" + tempfile.mkdtemp(prefix="serion-")
-
-
-def read_files(spark: SparkSession, path: str, schema: Any, per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def read_files(spark: SparkSession, path: str, schema: Any, per_batch: int | None = None) -> DataFrame:
+    """A stream of Parquet files, BATCH_BYTES to a micro-batch, or ``per_batch`` files."""
+    source = spark.readStream.schema(schema)
+    source = source.option("maxFilesPerTrigger", per_batch) if per_batch else source.option("maxBytesPerTrigger", BATCH_BYTES)
+    return source.parquet(path)

@@ -170,8 +170,8 @@ def test_sources(spark, tmp_path):
     assert tables.run_dir("a/", 500.4, "s") == "a/T500_s"
     assert not tables.write_if_any(spark.createDataFrame([], "a int"), str(tmp_path / "e"))
     zeros = spark.range(1, 251).select(F.col("id").alias("n"), F.col("id").cast("double").alias("t"))
-    tables.write_snapshots(zeros, str(tmp_path / "snap"))
-    assert spark.read.parquet(str(tmp_path / "snap")).count() == 200
+    tables.write_snapshots(zeros, str(tmp_path / "snap"), "a")
+    assert tables.read_snapshots(spark, str(tmp_path / "snap")).count() == 200
     tables.write_points(points.evaluate(tables.points(spark, ((1.0, 0.0), (2.0, 0.0)))), str(tmp_path / "points"))
     assert {r.zeta_s for r in spark.read.csv(str(tmp_path / "points"), header=True).collect()} == {"NaN", "(1.6449340668+0.0000000000j)"}
 
@@ -207,7 +207,7 @@ def test_ring_buffer_over_batches(spark, tmp_path):
     data = [(k % 3, float(k), float(k * k % 17)) for k in range(60)]
     for k in range(3):
         spark.createDataFrame(data[k * 20 : k * 20 + 20], "g long, o double, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = monitor.ring_buffers(monitor.read_files(spark, str(tmp_path / "in"), "g long, o double, v double"), "g", "o", "v", rows=5)
+    stream = monitor.ring_buffers(monitor.read_files(spark, str(tmp_path / "in"), "g long, o double, v double", 1), "g", "o", "v", rows=5)
     last = {}
     monitor.run_to_end(stream, "update", lambda df, k: last.update({r.key: r for r in df.collect()}), str(tmp_path / "state"))
     for g in range(3):

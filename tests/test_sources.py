@@ -141,7 +141,7 @@ def test_live_dashboard(spark, tmp_path, files):
     def show(parts, k):
         shown.append((parts["current"].first(), parts["stats"].first(), parts["histogram"].collect()))
 
-    stream = monitor.read_files(spark, str(tmp_path / "in"), "elapsed_s double, temp_c double, cpu_pct double")
+    stream = monitor.read_files(spark, str(tmp_path / "in"), "elapsed_s double, temp_c double, cpu_pct double", 1)
     monitor.live_dashboard(stream, show, f"{tmp_path}/state", f"{tmp_path}/kept", rows=20, bins=5)
     kept = [r for r in rows if r[1] is not None][-20:]
     now, stats, histogram = shown[-1]
@@ -154,7 +154,7 @@ def test_live_dashboard(spark, tmp_path, files):
 def test_dashboard_of_too_few_samples(spark, tmp_path):
     _sample_files(spark, str(tmp_path / "in"), [(0.0, None, 1.0), (1.0, 50.0, 1.0)], 1)
     shown = []
-    stream = monitor.read_files(spark, str(tmp_path / "in"), "elapsed_s double, temp_c double, cpu_pct double")
+    stream = monitor.read_files(spark, str(tmp_path / "in"), "elapsed_s double, temp_c double, cpu_pct double", 1)
     monitor.live_dashboard(stream, lambda *a: shown.append(a), f"{tmp_path}/state", f"{tmp_path}/kept")
     assert shown == []
 
