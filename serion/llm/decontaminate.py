@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serion.llm.storage import Scratch
+from serion.llm.storage import Scratch, free_name
 from serion.llm.words import NOT_ALNUM, hash_words, slices, words
 
 #: Words of one window.
@@ -402,9 +402,7 @@ def with_contamination(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, test: DataFrame, *, text_col: str = "text", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows of docs, all columns, that the verdict leaves; rows are told apart by a key of their own, under a name that docs has not."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    key = "_row"
-    while key in docs.columns:
-        key += "_"
+    key = free_name(docs, "_row")
     keyed = scratch.save("docs", docs.withColumn(key, F.expr("uuid()")))
     index = scratch.save("index", build_index(keyed, id_col=key, text_col=text_col))
     said = test.select(F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()

@@ -62,7 +62,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serion.llm.storage import Scratch
+from serion.llm.storage import Scratch, free_name
 from serion.llm.words import SPACE, mix, slices, words
 
 #: Ratio of the bounds of a size band.
@@ -419,11 +419,23 @@ def _labels(scratch: Scratch, df: DataFrame, there: DataFrame, moved: DataFrame,
         scratch.drop(f"{name}_pairs")
         return found
 
+    marks = own.select("vertex", "n", "cold", *[F.col("sketch")[k].alias(f"s{k}") for k in range(COLD_WORDS + HOT_WORDS)])
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and sketches allow a link: for others no set need travel."""
+        pairs = scratch.save("pivots", pairs.distinct())
+        out, n = pairs, pairs.count()
+        for side, other in (("a", "b"), ("b", "a")):
+            found = marks.select(F.col("vertex").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in marks.columns[1:]])
+            out = looked_up(out, found, side, hot_keys(_counted(pairs, side), side, n), other)
+        return out.where(_near(percent)).select("a", "b")
+
     # the most central member is a block's pivot
     scored = looked_up(members, central.select("vertex", "score"), "vertex", busy, "key")
     pivots = scored.groupBy("key").agg(F.max_by("vertex", "score").alias("b"))
     pairs = looked_up(members.select("key", "vertex"), pivots, "key", crowded, "vertex").where("vertex != b").select(F.col("vertex").alias("a"), "b")
-    edges = verified("edges", pairs)
+    edges = verified("edges", possible(pairs))
+    scratch.drop("pivots")
     labels = None if edges.isEmpty() else components(scratch, "first", edges)
     at = members.select("key", "vertex")
     if labels is None:
@@ -433,7 +445,6 @@ def _labels(scratch: Scratch, df: DataFrame, there: DataFrame, moved: DataFrame,
     # blocks that still hold several components
     open_ = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x != y").select("key", "size")
     at = scratch.save("open", looked_up(at, open_, "key", crowded, "vertex"))
-    marks = own.select("vertex", "n", "cold", *[F.col("sketch")[k].alias(f"s{k}") for k in range(COLD_WORDS + HOT_WORDS)])
     small = at.where(F.col("size") <= BLOCK_ROWS).select("key", "vertex", "label", F.lit(1).alias("cells"))
     crowd = at.where(F.col("size") > BLOCK_ROWS).select("vertex", "label").distinct()
     again = scratch.save("again", prefix_keys(sets.join(crowd, "vertex"), hot, percent))
@@ -478,16 +489,21 @@ def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a_vertex", "b_vertex").alias("a"), F.greatest("a_vertex", "b_vertex").alias("b"))
 
 
-def _may_link(percent: int) -> Column:
-    """What a pair of different components must fulfil before its sets are looked at."""
+def _near(percent: int) -> Column:
+    """What sizes and sketches of a pair must fulfil before its sets are looked at."""
     a, b = F.col("a_n"), F.col("b_n")
     most = F.floor((100 - percent) * (a + b) / (100 + percent))
     away = F.lit(0)
     for k in range(COLD_WORDS + HOT_WORDS):
         away = away + F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}")))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.abs(F.col("a_cold") - F.col("b_cold")) <= most) & (away <= most)
+
+
+def _may_link(percent: int) -> Column:
+    """What a pair of different components in a cell must fulfil."""
     # within a cell, each pair comes in both orders
     once = (F.col("i") < F.col("j")) & (F.col("a_label") != F.col("b_label")) | (F.col("a_label") < F.col("b_label"))
-    return once & (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.abs(F.col("a_cold") - F.col("b_cold")) <= most) & (away <= most)
+    return once & _near(percent)
 
 
 def keep_representatives(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -498,12 +514,12 @@ def keep_representatives(docs: DataFrame, *, shingle: int = 5, percent: int = 80
     stored key, so a row goes only if its own text is a copy.
     """
     scratch = Scratch(docs.sparkSession, "representatives")
-    vague = scratch.save("vague", docs.groupBy(id_col).agg(F.count("*").alias("_serion_n")).where((F.col("_serion_n") > 1) | F.col(id_col).isNull()).select(id_col))
+    vague = scratch.save("vague", docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows")).where("rows > 1 OR id IS NULL").select(F.col("id").alias(id_col)))
     if vague.isEmpty():
         found = join_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
         lost = scratch.save("lost", found.where(F.col(id_col) != F.col("component_id")).select(id_col))
         return docs.join(_small(lost), id_col, "left_anti").select(docs.columns)
-    row, key = "_serion_row", "_serion_key"
+    row, key = free_name(docs, "row"), free_name(docs, "key")
     known, repeated = docs.where(F.col(id_col).isNotNull()), vague.where(F.col(id_col).isNotNull())
     single = known.join(_small(repeated), id_col, "left_anti").select(docs.columns)
     several = docs.where(F.col(id_col).isNull()).union(known.join(_small(repeated), id_col, "left_semi").select(docs.columns))

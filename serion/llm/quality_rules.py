@@ -17,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from serion.llm.storage import free_name
+
 #: Words that running prose of the corpus languages cannot avoid (fixed values).
 STOP_WORDS = (
     "the of and to in is was for that with it as on by at this are be from or an a not "
@@ -147,5 +149,5 @@ def with_quality(df: DataFrame, *, text_col: str = "text", out: str = "quality")
 
 def keep_good(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Rows of df that the rules keep; the columns stay as they were."""
-    name = "_serion_quality"
+    name = free_name(df, "quality")
     return with_quality(df, text_col=text_col, out=name).where(F.col(name)["kept"]).drop(name)
