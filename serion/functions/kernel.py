@@ -91,8 +91,14 @@ def residual(t: np.ndarray) -> np.ndarray:
 
 def illinois(f, a: np.ndarray, b: np.ndarray, tol: float = 4e-16, rounds: int = 150) -> np.ndarray:
     """Roots of f in all brackets (a, b) at once by the Illinois method; NaN where the ends have one sign."""
+    return illinois_rows(lambda x, _: f(x), a, b, tol, rounds)
+
+
+def illinois_rows(f, a: np.ndarray, b: np.ndarray, tol: float = 4e-16, rounds: int = 150) -> np.ndarray:
+    """The same for a function of its own in each bracket: f(x, rows) gives the values of those rows' functions."""
     a, b = np.array(a, float), np.array(b, float)
-    fa, fb = f(a), f(b)
+    every = np.arange(len(a))
+    fa, fb = f(a, every), f(b, every)
     out = np.where(fa == 0, a, np.where(fb == 0, b, np.nan))
     live = np.flatnonzero(fa * fb < 0)
     a, b, fa, fb = a[live], b[live], fa[live], fb[live]
@@ -100,7 +106,7 @@ def illinois(f, a: np.ndarray, b: np.ndarray, tol: float = 4e-16, rounds: int =
         if not len(live):
             break
         c = (a * fb - b * fa) / (fb - fa)
-        fc = f(c)
+        fc = f(c, live)
         crossed = fc * fb < 0
         a, fa = np.where(crossed, b, a), np.where(crossed, fb, fa / 2)
         done = (np.abs(c - b) <= tol * np.maximum(1, np.abs(c))) | (fc == 0)

@@ -159,6 +159,20 @@ def ranked(df: DataFrame, order: str, name: str = "n", keys: Names = (), then: N
     return _ranked(_cut(df, order, keys, then or (order,)), order, name, keys, then).drop("_serion_long")
 
 
+def running_totals(df: DataFrame, order: str, value: str, name: str = "running", keys: Names = (), then: Names = ()) -> DataFrame:
+    """df and the sum of the value up to each row (nulls add nothing; null before the first value)."""
+    by = (order, *[c for c in (*then, value) if c != order])
+    cut = _cut(df, order, keys, by[1:] or (order,))
+    out = cut.rows.withColumn(name, F.sum(value).over(_window(keys, by).rowsBetween(Window.unboundedPreceding, 0)))
+    if cut.many:
+        sums = cut.rows.where("_serion_long").groupBy(*keys, "_serion_chunk").agg(F.sum(value).alias("_serion_sum"))
+        before = Window.partitionBy(*keys).orderBy("_serion_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+        out = _joined(out, sums.select(*keys, "_serion_chunk", F.sum("_serion_sum").over(before).alias("_serion_before")), keys)
+        both = F.coalesce(name, F.lit(0)) + F.coalesce("_serion_before", F.lit(0))
+        out = out.withColumn(name, F.when(F.col(name).isNotNull() | F.col("_serion_before").isNotNull(), both)).drop("_serion_before")
+    return out.drop("_serion_chunk", "_serion_long")
+
+
 def gaps(df: DataFrame, order: str, keys: tuple[str, ...] = (), name: str = "gap") -> DataFrame:
     """First differences of the order column; the first row of a series has none and is dropped."""
     out = previous(df, order, [order], keys, "_prev_")
@@ -383,19 +397,34 @@ def compared(left: DataFrame, right: DataFrame, value: str, reference: str, on:
     return both.select(on, value, reference, error.alias("abs_err"), (error / F.nullif(F.abs(F.col(reference)), F.lit(0.0)) * 100).alias("rel_err_pct"))
 
 
+#: Places that the rows of a hot value are dealt to, and the share of all rows from which a value is hot.
+SALTS, HOT_SHARE = 64, 1 / 256
+
+
 def unmatched(left: DataFrame, right: DataFrame, value: str, reference: str, tolerance: float) -> DataFrame:
     """Rows of left without a reference value nearer than the tolerance.
 
-    Values are joined by cells of the tolerance's width and their two neighbours,
-    so the join is an equi-join; cells keep each value once.
+    The distinct values of left are joined by cells of the tolerance's width and their
+    two neighbours, so the join is an equi-join; cells keep each value once. Rows then
+    meet the verdict of their value, those of a hot value in many places by a hash of the row. A null value
+    has nothing near.
     """
-    cell = F.floor(F.col(value) / tolerance)
+    scratch = Scratch(left.sparkSession, "unmatched")
+    sizes = scratch.save("values", left.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_rows")))
     near = right.where(F.col(reference).isNotNull()).select(F.col(reference).alias("_ref"), F.floor(F.col(reference) / tolerance).alias("_cell"))
-    ends = near.groupBy("_cell").agg(F.min("_ref").alias("_low"), F.max("_ref").alias("_high"))
+    ends = scratch.save("ends", near.groupBy("_cell").agg(F.min("_ref").alias("_low"), F.max("_ref").alias("_high")))
     # a reference in the value's own cell is near; of the neighbours, only the nearest end can be
-    out = left.withColumn("_at", cell).join(ends.select(F.col("_cell").alias("_at")), "_at", "left_anti")
+    out = sizes.select("_v", F.floor(F.col("_v") / tolerance).alias("_at")).join(ends.select(F.col("_cell").alias("_at")), "_at", "left_anti")
     below = ends.select((F.col("_cell") + 1).alias("_at"), F.col("_high").alias("_below"))
     above = ends.select((F.col("_cell") - 1).alias("_at"), F.col("_low").alias("_above"))
     out = out.join(below, "_at", "left").join(above, "_at", "left")
-    met = F.coalesce(F.col(value) - F.col("_below") < tolerance, F.lit(False)) | F.coalesce(F.col("_above") - F.col(value) < tolerance, F.lit(False))
-    return out.where(~met).drop("_at", "_below", "_above")
+    met = F.coalesce(F.col("_v") - F.col("_below") < tolerance, F.lit(False)) | F.coalesce(F.col("_above") - F.col("_v") < tolerance, F.lit(False))
+    alone = out.where(~met).select("_v")
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    hot = [r._v for r in sizes.where(F.col("_rows") > max(total * HOT_SHARE, CHUNK_ROWS / SALTS)).select("_v").collect()]  # 1 / HOT_SHARE at most
+    is_hot = lambda c: F.col(c).isin(hot) if hot else F.lit(False)
+    place = F.when(is_hot(value), F.pmod(F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    alone = alone.withColumn("_place", F.explode(F.when(is_hot("_v"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    rows = left.where(F.col(value).isNotNull()).withColumn("_at", place)
+    rows = rows.join(alone, (F.col(value) == F.col("_v")) & (F.col("_at") == F.col("_place")), "left_semi").drop("_at")
+    return rows.unionByName(left.where(F.col(value).isNull()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serion.functions import classify, parse
-from serion.operators import matching, series
+from serion.operators import matching, roots, series
 from serion.plans.registry import query, table
 from serion.sources import logs, runs
 from serion.sources.storage import Scratch
@@ -500,3 +500,25 @@ def orders_through_runs(spark, sf_dir):
     runs.publish_snapshots(ranked, path, "run-2")
     scratch.drop("ranked")
     return runs.read_runs(spark, path).groupBy("snapshot", "run").agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, value, event_id FROM events),
+r AS (SELECT *, sum(value) OVER w AS c, sum(value) OVER (PARTITION BY user_id) / 2 AS half, lag(s) OVER w AS s0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+x AS (SELECT * FROM r WHERE c - value < half AND half <= c)
+SELECT user_id, round(s0 + (half - (c - value)) / value * (s - s0), 3) AS half_s, s0 IS NOT NULL AS ok FROM x""")
+def half_of_total(spark, sf_dir):
+    """When each user's running total crosses half of it, growing evenly between events; a user whose first event crosses it has no bracket."""
+    e = _events(spark, sf_dir).select("user_id", (F.col("us") / 1e6).alias("s"), "value", "event_id")
+    half = e.groupBy("user_id").agg((F.sum("value") / 2).alias("half"))
+    curve = series.previous(series.running_totals(e, "s", "value", "c", ("user_id",), ("event_id",)), "s", ["s"], ("user_id",), then=("event_id",)).join(half, "user_id")
+    at = curve.where((F.col("c") - F.col("value") < F.col("half")) & (F.col("half") <= F.col("c")))
+    line = F.array(F.col("c") - F.col("value") - F.col("half"), F.col("value") / (F.col("s") - F.col("prev_s")))
+    got = roots.row_roots(at.select("user_id", "prev_s", "s", line.alias("line")), "line", "prev_s", "s")
+    return got.select("user_id", F.round("root", 3).alias("half_s"), "ok")
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")
+def running_totals(spark, sf_dir):
+    """Running total of each kind of event."""
+    return series.running_totals(_events(spark, sf_dir), "us", "value", "running", ("event_type",), ("event_id",)).select("event_id", F.round("running", 4).alias("running"))

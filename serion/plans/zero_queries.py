@@ -115,11 +115,11 @@ def zeros_by_block(spark, sf_dir):
     return zeros_table(spark, sf_dir).groupBy(F.floor(F.col("t") / 500).alias("block")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_z_sql()} SELECT count(*) AS n_zeros, round(count(*) / {T_MAX}, 6) AS rate, trunc({_EST})::BIGINT AS expected, round({_EST} + 0.875, 6) AS expected_corrected FROM r")
+@query(f"WITH {_zeros_sql()} SELECT count(*) AS n_zeros, round(min(t), 8) AS first_t, round(max(t), 8) AS last_t, round(count(*) / {T_MAX}, 6) AS rate, trunc({_EST})::BIGINT AS expected, round({_EST} + 0.875, 6) AS expected_corrected FROM f")
 def run_summary(spark, sf_dir):
-    """Count, rate and expected counts of a run."""
+    """Count, first and last zero, rate and expected counts of a run."""
     got = scan.run_summary(scan.zero_table(spark, T_MAX, STEP, run_ts=RUN), T_MAX)
-    return got.select("n_zeros", F.round("rate", 6).alias("rate"), "expected", F.round("expected_corrected", 6).alias("expected_corrected"))
+    return got.select("n_zeros", F.round("first_t", 8).alias("first_t"), F.round("last_t", 8).alias("last_t"), F.round("rate", 6).alias("rate"), "expected", F.round("expected_corrected", 6).alias("expected_corrected"))
 
 
 #: Zeros of the unrotated detector with their residuals.

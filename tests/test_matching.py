@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from serion.operators import matching, series
+from serion.operators import matching, roots, series
 
 
 @pytest.fixture(params=[10, 1_000_000], ids=["many chunks", "one chunk"])
@@ -150,3 +150,34 @@ def test_overlaps(spark):
     assert _sorted(got.select("i", "j").collect()) == _sorted(want)
     none = spark.createDataFrame([], "j int, k int, c double, d double")
     assert matching.overlaps(spark.createDataFrame(left, "i int, k int, a double, b double"), none, "a", "b", "c", "d", ("k",)).collect() == []
+
+
+def test_running_totals(spark, chunks):
+    rows = [(i, k, s, None if v is None or v != v else v) for i, (k, s, v) in enumerate(_rows(7, 200))]
+    want = []
+    for k in {r[1] for r in rows}:
+        total = None
+        for i, _, _, v in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0])):
+            total = total if v is None else (total or 0.0) + v
+            want.append((i, total))
+    got = series.running_totals(spark.createDataFrame(rows, "i int, k int, s int, v double"), "s", "v", "c", ("k",), ("i",))
+    assert _sorted(got.select("i", "c").collect()) == _sorted(want)
+
+
+def test_roots_of_rows(spark):
+    """A line, a cubic, a root at an end, and rows that cannot be solved."""
+    rows = [(1, [-3.0, 2.0], 0.0, 5.0), (2, [-8.0, 0.0, 0.0, 1.0], 1.0, 9.0), (3, [0.0, 1.0], 4.0, 6.0), (4, [1.0], 0.0, 1.0), (5, None, 0.0, 1.0), (6, [1.0, None], 0.0, 1.0), (7, [], 0.0, 1.0), (8, [-1.0, 1.0], None, 2.0), (9, [float("nan")], 0.0, 1.0)]
+    got = {r.i: r for r in roots.row_roots(spark.createDataFrame(rows, "i int, c array<double>, a double, b double"), "c", "a", "b").collect()}
+    assert {i: round(got[i].root, 12) for i in (1, 2, 3)} == {1: 1.5, 2: 3.0, 3: 4.0}
+    assert all(got[i].ok and got[i].residual < 1e-9 and got[i].error is None for i in (1, 2, 3))
+    assert "sign" in got[4].error
+    assert all(got[i].root is None and not got[i].ok and "no function" in got[i].error for i in (5, 6, 7, 8, 9))
+
+
+def test_unmatched_with_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(series, "CHUNK_ROWS", 64)
+    left = [(i, v) for i, v in enumerate([5.0] * 200 + [7.5] * 100 + [None, 1.0, 2.4, 9.9, 30.0])]
+    right = [1.2, 7.4, None, 11.8, 11.8]
+    want = [i for i, v in left if v is None or not any(r is not None and abs(v - r) < 2 for r in right)]
+    got = series.unmatched(spark.createDataFrame(left, "i int, v double"), spark.createDataFrame([(r,) for r in right], "r double"), "v", "r", 2.0)
+    assert sorted(r.i for r in got.collect()) == want
