@@ -54,9 +54,9 @@ from serion.llm.words import SPACE, Spans, Words, mix, slices, span_hashes, word
 
 WINDOW = 13
 #: Bytes of text in a block, unless a single text is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of text that a task writes under one number; they are read by one task.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 REVEAL_ROUNDS, ANCHOR_ROUNDS, ANCHOR_WORDS = 12, 1, 6
 _LAST = (1 << 63) - 1
 _U = np.uint64
