@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from serion.functions import classify, parse
 from serion.operators import matching, roots, series
 from serion.plans.registry import query, table
-from serion.sources import logs, runs
+from serion.sources import logs, runs, tokens
 from serion.sources.storage import Scratch
 from serion.streaming import monitor
 
@@ -522,3 +522,21 @@ def half_of_total(spark, sf_dir):
 def running_totals(spark, sf_dir):
     """Running total of each kind of event."""
     return series.running_totals(_events(spark, sf_dir), "us", "value", "running", ("event_type",), ("event_id",)).select("event_id", F.round("running", 4).alias("running"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
+t AS (SELECT doc_id, line, unnest(regexp_extract_all(said, '[^ \t\r\f\x0B,]+')) AS token FROM l),
+b AS (SELECT doc_id, line, token, CASE WHEN regexp_matches(token, '^\(.*\)$') THEN token[2:-2] ELSE token END AS bare FROM t),
+k AS (SELECT doc_id, line, CASE WHEN regexp_full_match(bare, '[+-]?{_NUM}') THEN 'number' WHEN regexp_full_match(bare, '([+-]?{_NUM})?[+-]?({_NUM})?[ij]') THEN 'imaginary'
+  WHEN bare = '' THEN 'nothing in parentheses' WHEN regexp_full_match(bare, '[+-]?(?i:inf|infinity|nan)') THEN 'name of a number' ELSE 'no number' END AS k, bare FROM b)
+SELECT doc_id, count(*) AS n_tokens, max(line)::INT AS last_line, count(*) FILTER (WHERE k = 'number') AS n_plain, count(*) FILTER (WHERE k = 'imaginary') AS n_imaginary,
+  count(*) FILTER (WHERE k = 'no number') AS n_words, count(*) FILTER (WHERE k = 'name of a number') AS n_names, coalesce(max(TRY_CAST(bare AS DOUBLE)) FILTER (WHERE k = 'number'), 0.0) AS largest FROM k GROUP BY 1""")
+def document_numbers(spark, sf_dir):
+    """Tokens of every document by type, and the largest of its plain numbers."""
+    t = tokens.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    plain = F.col("kind").isin("real", "complex") & ~F.col("token").rlike(r"[ij]\)?$")
+    imaginary = F.col("kind").isin("real", "complex") & F.col("token").rlike(r"[ij]\)?$")
+    counts = [F.count("*").alias("n_tokens"), F.max("line").alias("last_line"), F.count_if(plain).alias("n_plain"), F.count_if(imaginary).alias("n_imaginary")]
+    counts += [F.count_if(F.col("reason") == "no number").alias("n_words"), F.count_if(F.col("reason") == "name of a number").alias("n_names")]
+    return t.groupBy("doc_id").agg(*counts, F.coalesce(F.max(F.when(plain, F.col("re"))), F.lit(0.0)).alias("largest"))

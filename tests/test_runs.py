@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serion.operators import points
-from serion.sources import runs, tables
+from serion.sources import runs, tables, tokens
 from serion.streaming import monitor
 
 
@@ -130,3 +130,17 @@ def test_points_written_are_read_back(spark, tmp_path):
     assert {(r.s.re, r.s.im) for r in back.collect()} == {(2.0, 0.0), (0.5, 14.1347), (3.0, -2.5)}
     (tmp_path / "odd.txt").write_text("(1+2j) (3) ((4)) (x) NaN")
     assert [(r.token, r.s and (r.s.re, r.s.im)) for r in tables.read_numbers(spark, str(tmp_path / "odd.txt")).collect()] == [("(1+2j)", (1.0, 2.0)), ("(3)", (3.0, 0.0)), ("((4))", None), ("(x)", None), ("NaN", None)]
+
+
+def test_tokens_with_rejects(spark):
+    text = "1,2 abc\n(0.5+14j)\t-j () nan\n\n +Inf 1e3i 0j x)"
+    got = tokens.with_tokens(spark.createDataFrame([(1, text), (2, None), (3, " , ")], "i int, t string"), "t").orderBy("line", "field").collect()
+    want = [
+        (1, 1, "1", "real", 1.0, 0.0, None), (1, 2, "2", "real", 2.0, 0.0, None), (1, 3, "abc", "skipped", None, None, "no number"),
+        (2, 1, "(0.5+14j)", "complex", 0.5, 14.0, None), (2, 2, "-j", "complex", 0.0, -1.0, None), (2, 3, "()", "skipped", None, None, "nothing in parentheses"), (2, 4, "nan", "skipped", None, None, "name of a number"),
+        (4, 1, "+Inf", "skipped", None, None, "name of a number"), (4, 2, "1e3i", "complex", 0.0, 1000.0, None), (4, 3, "0j", "real", 0.0, 0.0, None), (4, 4, "x)", "skipped", None, None, "no number"),
+    ]
+    assert [tuple(r)[2:] for r in got] == want
+    assert {r.i for r in got} == {1}
+    with pytest.raises(Exception, match="from text"):
+        tokens.with_tokens(spark.range(1), "id").collect()
