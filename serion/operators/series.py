@@ -86,15 +86,15 @@ def _cut(df: DataFrame, order: str, keys: Names, by: Names = ()) -> _Cut:
     plain = df.withColumns({"_serion_long": F.lit(False), "_serion_chunk": F.lit(0)})
     marked = df.withColumn("_serion_long", F.lit(True))
     if keys:
-        # total / CHUNK_ROWS keys at most are long
-        sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(order).alias("_serion_top"))
-        sizes = Scratch(df.sparkSession, "sizes").save("keys", sizes)
-        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        long = sizes.where(F.col("n") > CHUNK_ROWS)
-        rows = long.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_serion_n"), F.max(order).alias("_serion_top"))
+        one = F.struct(*keys, "_serion_n", "_serion_top")
+        # one row; total / CHUNK_ROWS keys at most are long
+        got = sizes.agg(F.coalesce(F.sum("_serion_n"), F.lit(0)).alias("total"), F.collect_list(F.when(F.col("_serion_n") > CHUNK_ROWS, one)).alias("long")).first()
+        total, rows = got.total, sum(r._serion_n for r in got.long)
         if not rows:
             return _Cut(plain, lambda x: F.lit(0), False, total, None)
-        top = long.drop("n")
+        long = df.sparkSession.createDataFrame([tuple(r) for r in got.long], sizes.schema)
+        top = long.drop("_serion_n")
         known = F.broadcast(long.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.lit(True).alias("_serion_is_long")))
         marked = df.join(known, _same(df, known, keys), "left").withColumn("_serion_long", F.coalesce("_serion_is_long", F.lit(False))).drop("_serion_is_long", *[f"_of_{k}" for k in keys])
         n = min(MAX_CHUNKS, -(-rows // CHUNK_ROWS))
