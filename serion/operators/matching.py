@@ -1,4 +1,4 @@
-"""Joins of ordered series: as-of, one-to-one within a tolerance, overlap of intervals; sessions and pair distances.
+"""Joins of ordered series: as-of, one-to-one within a tolerance, overlap of intervals; sessions, merged intervals and pair distances.
 
 All of them go by chunks of the order column (see serion.operators.series), so one key
 may hold most of the rows. Nulls: a row without an order value (for intervals: without
@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serion.operators import series
@@ -108,42 +109,74 @@ def _matches(rows: list[tuple[str, float | None, float | None]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.float64()), pa.array(reference, pa.float64())], ["kind", "value", "reference"])
 
 
+def merged_spans(df: DataFrame, start: str, end: str, gap: float = 0, keys: Names = (), sums: Names = ()) -> DataFrame:
+    """(keys, start, end, sums): closed intervals that lie ``gap`` apart or less, made one, with the sums of the columns ``sums``.
+
+    The order counts how many intervals (each made longer by gap) are open: one that
+    opens where none is begins a merged interval, and its start is carried forward to the
+    others, over chunk borders, too. Intervals whose end lies before their start, and nulls,
+    are left out.
+    """
+    spans = df.where(F.col(start) <= F.col(end))
+    ends = F.array(F.struct(F.col(start).alias("_at"), F.lit(0).alias("_close")), F.struct((F.col(end) + gap).cast(df.schema[end].dataType).alias("_at"), F.lit(1).alias("_close")))
+    rows = spans.select(*keys, F.col(end).alias("_end"), *sums, F.explode(ends).alias("_of")).select(*keys, "_end", *sums, "_of._at", "_of._close")
+    rows = series.running_totals(rows.withColumn("_step", 1 - 2 * F.col("_close")), "_at", "_step", "_open", keys, ("_close",))
+    begins = (F.col("_close") == 0) & (F.col("_open") == 1)
+    rows = rows.withColumn("_begin", F.when(begins, F.col("_at"))).withColumn("_late", ~begins)
+    rows = series.carried_forward(rows, "_at", "_begin", keys, "_span", ("_close", "_late")).where("_close = 0")
+    return rows.groupBy(*keys, F.col("_span").alias(start)).agg(F.max("_end").alias(end), *[F.sum(c).alias(c) for c in sums])
+
+
 def pair_distances(df: DataFrame, order: str, edges: list[float], keys: Names = ()) -> DataFrame:
     """(keys, bin, n): how many pairs of rows of a series lie edges[bin - 1] <= distance < edges[bin] apart.
 
-    edges rise and begin at 0 or above; empty bins are left out. No pair is ever made:
-    per row and edge, the rows behind it nearer than the edge are counted by their places
-    in the order. A row is also a guest of the chunks that begin within the last edge
-    behind it; rows of one order value count as pairs of distance 0.
+    edges rise and begin at 0 or above; empty bins are left out. Rows of one order value
+    are pairs of distance 0. No pair is ever made: the pairs nearer than an edge are, summed
+    over the rows, those before (row + edge) in the order less those up to the row. A row
+    goes to its own chunk and to those where (row + edge) lies for some edge, so to no more
+    than there are edges, whatever number of chunks the last edge spans; whole chunks
+    between are one count each.
     """
     if not edges or edges[0] < 0 or any(a >= b for a, b in zip(edges, edges[1:], strict=False)):
         raise ValueError("edges must rise from 0 or above")
     cut = _cut(df.select(*keys, F.col(order).alias("_o")), "_o", keys)
-    places = F.sequence(F.col("_serion_chunk"), cut.chunk(F.col("_o") + edges[-1])) if cut.many else F.array("_serion_chunk")
     bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-cut.total // series.GROUP_ROWS)))) if keys else F.lit(0)
-    rows = cut.rows.select(*keys, "_o", F.col("_serion_chunk").alias("_own"), bucket.alias("_bucket"), F.explode(places).alias("_chunk"))
+    # where each edge behind the row lies; null: in its own chunk
+    to = F.when(F.col("_serion_long"), F.array(*[cut.chunk(F.col("_o") + float(e)) for e in edges])) if cut.many else F.lit(None).cast("array<int>")
+    rows = cut.rows.select(*keys, "_o", F.col("_serion_chunk").alias("_own"), bucket.alias("_bucket"), to.alias("_to"))
+    places = F.array_distinct(F.concat(F.array("_own"), F.coalesce("_to", F.array().cast("array<int>"))))
+    rows = rows.withColumn("_chunk", F.explode(places))
 
     def count(g: pa.Table) -> pa.Table:
-        code, o, own = _codes(g, keys), _numeric(g["_o"]), g["_own"].to_numpy() == g["_chunk"].to_numpy()
-        order_ = np.lexsort((o, code))
-        code, o, own, g = code[order_], o[order_], own[order_], g.take(pa.array(order_))
-        n = len(o)
-        opens = np.append(np.flatnonzero(np.diff(code, prepend=-1)), n)
-        out = []
+        code, o, here = _codes(g, keys), _numeric(g["_o"]), g["_chunk"][0].as_py()
+        own, to = g["_own"].to_numpy() == here, g["_to"].combine_chunks()
+        at = np.ones((len(o), len(edges)), bool)
+        at[pc.is_valid(to).to_numpy(zero_copy_only=False)] = to.flatten().to_numpy().reshape(-1, len(edges)) == here
+        by = np.lexsort((o, code))
+        code, o, own, at = code[by], o[by], own[by], at[by]
+        opens = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(o))
+        firsts, out = [], []
         for a, z in zip(opens[:-1], opens[1:], strict=True):
-            x, here = o[a:z], np.flatnonzero(own[a:z])
-            # pairs (i, j), i < j in this order, j of this chunk: those from the first i that is nearer than the edge
-            near = [int((here - np.minimum(np.searchsorted(x, x[here] - e, "right"), here)).sum()) for e in edges]
-            for k, m in enumerate(np.diff(near).tolist(), 1):
-                if m:
-                    out.append([*[g[c][int(a)] for c in keys], k, m])
-        columns = list(zip(*out, strict=True)) or [()] * (len(keys) + 2)
-        kinds = [*[g.schema.field(c).type for c in keys], pa.int32(), pa.int64()]
-        return pa.table([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v for v in c], t) for c, t in zip(columns, kinds, strict=True)], [*keys, "bin", "n"])
+            x, mine = o[a:z], own[a:z]
+            y, rank = x[mine], np.cumsum(mine)  # rank: a row of this chunk and those before it
+            for k, e in enumerate(edges):
+                asks = at[a:z, k]
+                # the row itself is not behind its own edge, however small that is
+                there = np.maximum(np.searchsorted(y, x[asks] + float(e)), np.where(mine[asks], rank[asks], 0))
+                firsts.append(by[a])
+                out.append((k, len(y), len(y) * (len(y) + 1) // 2, int(asks.sum()), int(there.sum())))
+        counts = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)]
+        return pa.table([*[g[c].take(pa.array(firsts)) for c in keys], pa.repeat(pa.scalar(here, pa.int32()), len(out)), *counts], [*keys, "chunk", "edge", "rows", "ranks", "asks", "there"])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
-    found = rows.groupBy("_bucket", "_chunk").applyInArrow(count, f"{kinds}bin int, n long")
-    return found.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    # a row per key, chunk and edge: small from here on
+    found = rows.groupBy("_bucket", "_chunk").applyInArrow(count, f"{kinds}chunk int, edge int, rows long, ranks long, asks long, there long")
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy(*keys, "edge").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = lambda x: x.cast("decimal(18,0)")  # noqa: E731  counts times counts pass the longs
+    nearer = (F.col("there") - F.col("ranks")).cast("decimal(38,0)") + wide(F.col("asks") - F.col("rows")) * wide(before)
+    near = found.select(*keys, "edge", nearer.alias("near")).groupBy(*keys, "edge").agg(F.sum("near").cast("long").alias("near"))
+    n = F.col("near") - F.lag("near").over(Window.partitionBy(*keys).orderBy("edge"))
+    return near.select(*keys, F.col("edge").alias("bin"), n.alias("n")).where("n > 0")
 
 
 def overlaps(left: DataFrame, right: DataFrame, start: str, end: str, right_start: str, right_end: str, keys: Names = ()) -> DataFrame:

@@ -380,6 +380,96 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return edges.join(counted, "bin", "left").select("bin", (F.col("_low") + (F.col("bin") - 1) * F.col("_width")).alias("left"), (F.col("_low") + F.col("bin") * F.col("_width")).alias("right"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Cells that a task of histogram_once holds.
+CELLS = 4096
+
+
+class _Cells(NamedTuple):
+    """Count, least and largest value of the cells [i, i + 1) * 2**k that have values, sorted by i."""
+
+    k: int
+    i: np.ndarray
+    n: np.ndarray
+    least: np.ndarray
+    largest: np.ndarray
+
+    @staticmethod
+    def scale(least: float, largest: float) -> int:
+        """The finest k of CELLS cells at most, whose numbers a double holds exactly."""
+        top = max(abs(least), abs(largest))
+        exact = max(int(np.frexp(top)[1]) - 52, -1022)
+        return max(int(np.frexp(largest / CELLS - least / CELLS)[1]) + 1, exact)
+
+    def doubled(self, k: int) -> _Cells:
+        """Cells of width 2**k, k not below the own one: neighbours are put together."""
+        i, first = np.unique(self.i >> min(k - self.k, 63), return_index=True)
+        if not len(i):
+            return self._replace(k=k)
+        return _Cells(k, i, np.add.reduceat(self.n, first), np.minimum.reduceat(self.least, first), np.maximum.reduceat(self.largest, first))
+
+    def with_(self, other: _Cells) -> _Cells:
+        """Both together, in cells that double in width until the whole range fits."""
+        k = max(self.k, other.k, self.scale(min(self.least[0], other.least[0]), max(self.largest[-1], other.largest[-1])))
+        a, b = self.doubled(k), other.doubled(k)
+        order = np.argsort(np.concatenate([a.i, b.i]), kind="stable")
+        return _Cells(k, *(np.concatenate(c)[order] for c in zip(a[1:], b[1:], strict=True))).doubled(k)
+
+    @staticmethod
+    def of(values: np.ndarray) -> _Cells:
+        v = np.sort(values)
+        k = _Cells.scale(v[0], v[-1])
+        return _Cells(k, np.floor(np.ldexp(v, -k)).astype(np.int64), np.ones(len(v), np.int64), v, v).doubled(k)
+
+
+def _counted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: _Cells | None = None
+    for b in batches:
+        v = b.column(0).to_numpy(zero_copy_only=False)
+        v = v[np.isfinite(v)]
+        if len(v):
+            held = _Cells.of(v) if held is None else held.with_(_Cells.of(v))
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held.i), held.k, np.int32)), *map(pa.array, held[1:])], ["k", "i", "n", "least", "largest"])
+
+
+def histogram_once(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """What histogram gives, of values as doubles, with one pass over df's rows; it runs when called.
+
+    Each task counts into at most CELLS cells whose width doubles as the range grows, with
+    each cell's least and largest value; tasks' cells are put together at the coarsest
+    width. A cell whose least and largest value fall into one bin is counted there, so
+    bins are exact. Only where an edge of a bin parts the values of a cell (bins - 1 cells
+    at most) a second pass deals the values of those cells. Values that are not finite
+    are left out.
+    """
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "histogram")
+    v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    cells = scratch.save("cells", v.mapInArrow(_counted_cells, "k int, i long, n long, least double, largest double"))
+    schema = "bin int, left double, right double, n long"
+    span = cells.agg(F.max("k").alias("k"), F.min("least").alias("low"), F.max("largest").alias("high")).first()
+    if span.k is None:
+        scratch.drop("cells")
+        return spark.createDataFrame([], schema)
+    low, high, k = span.low, span.high, max(span.k, _Cells.scale(span.low, span.high))
+    width = (high - low) / bins
+    place = lambda x: F.least(F.floor((x - low) / width).cast("int"), F.lit(bins - 1)) if width > 0 else F.lit(0)
+    coarse = F.floor(F.col("i") / F.pow(F.lit(2.0), F.lit(k) - F.col("k"))).cast("long")  # |i| is below 2**53
+    merged = cells.groupBy(coarse.alias("i")).agg(F.sum("n").alias("n"), F.min("least").alias("a"), F.max("largest").alias("b"))  # CELLS + 1 rows at most
+    got = merged.select("i", "n", place(F.col("a")).alias("a"), place(F.col("b")).alias("b")).collect()
+    n = [0] * bins
+    for r in got:
+        if r.a == r.b:
+            n[r.a] += r.n
+    parted = [r.i for r in got if r.a != r.b]
+    if parted:
+        of = F.floor(F.col("v") / F.lit(2.0**k)) if k < 1024 else F.floor(F.col("v") / 2.0**1023 / 2.0 ** (k - 1023))
+        finite = F.abs("v") < float("inf")
+        for r in v.where(finite & of.cast("long").isin(parted)).groupBy(place(F.col("v")).alias("bin")).count().collect():
+            n[r.bin] += r["count"]
+    scratch.drop("cells")
+    return spark.createDataFrame([(b + 1, low + b * width, low + (b + 1) * width, m) for b, m in enumerate(n)], schema)
+
+
 def summary(df: DataFrame, order: str) -> DataFrame:
     """One row: count, first, last, mean gap."""
     return df.agg(F.count(order).alias("n"), F.min(order).alias("first"), F.max(order).alias("last"), ((F.max(order) - F.min(order)) / F.nullif(F.count(order) - 1, F.lit(0))).alias("mean_gap"))

@@ -52,7 +52,7 @@ SELECT bin, round(l, 3) AS "left", round(r, 3) AS "right", coalesce(n, 0)::BIGIN
 @query(_histogram_sql(f"SELECT gap_us FROM ({_GAPS_SQL})", "gap_us", 40))
 def gap_histogram(spark, sf_dir):
     """Equal-width histogram of the gaps, empty bins listed."""
-    return _rounded(series.histogram(_gaps(spark, sf_dir), "gap_us", 40))
+    return _rounded(series.histogram_once(_gaps(spark, sf_dir), "gap_us", 40))
 
 
 def _rounded(h: DataFrame) -> DataFrame:
@@ -420,6 +420,31 @@ def user_sessions(spark, sf_dir):
     return e.groupBy("user_id", "begin_us").agg(F.max("us").alias("end_us"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(_SESSIONS_SQL + " SELECT user_id, min(us) AS begin_us, max(us) AS end_us, count(value) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k")
+def stream_sessions_and_late(spark, sf_dir):
+    """The same sessions from a stream that closes them a day late and keeps the rows that come after that."""
+    scratch = Scratch(spark, "streams")
+    source = monitor.read_files(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
+    out = scratch.folder("sessions")
+    monitor.sessions_and_late(source, "ts", "value", ("user_id",), out, scratch.folder("state"), gap_s=28_800, late_s=86_400)
+    scratch.drop("state")
+    return monitor.all_sessions(spark, out, "ts", "value", ("user_id",), gap_s=28_800).withColumn("total", F.round("total", 4))
+
+
+_WAY_SQL = "SELECT l_suppkey, epoch_us(l_shipdate) // 86400000000 AS d1, epoch_us(l_shipdate) // 86400000000 + l_quantity::BIGINT % 5 AS d2 FROM lineitem"
+
+
+@query(f"""
+WITH s AS ({_WAY_SQL}), b AS (SELECT *, max(d2) OVER (PARTITION BY l_suppkey ORDER BY d1, d2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+g AS (SELECT *, sum((before IS NULL OR d1 - before > 1)::INT) OVER (PARTITION BY l_suppkey ORDER BY d1, d2 ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT l_suppkey, min(d1) AS d1, max(d2) AS d2, count(*) AS lines FROM g GROUP BY l_suppkey, k""")
+def busy_spans(spark, sf_dir):
+    """Days without a break in which a supplier has lines on their way (each for nought to four days)."""
+    shipped = F.expr("cast(floor(unix_micros(cast(l_shipdate as timestamp)) / 86400000000) as bigint)")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", shipped.alias("d1"), (shipped + F.col("l_quantity").cast("long") % 5).alias("d2"), F.lit(1).alias("lines"))
+    return matching.merged_spans(lines, "d1", "d2", 1, ("l_suppkey",), ("lines",))
+
+
 _PAIR_SQL = """
 , v AS (SELECT t AS v, 0 AS side FROM a UNION ALL SELECT t_ref, 1 FROM b),
 g AS (SELECT v, side, row_number() OVER o AS r, coalesce(v - lag(v) OVER o >= 5, true) AS opens FROM v WINDOW o AS (ORDER BY v, side)),

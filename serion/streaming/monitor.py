@@ -9,12 +9,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from serion.functions import classify
-from serion.operators import series
+from serion.operators import matching, series
 from serion.sources.storage import delete
 
 ROWS = 300
@@ -141,6 +141,68 @@ def all_windows(spark: SparkSession, path: str, ts: str, value: str, width_s: in
     return opened.unionByName(closed).unionByName(late).groupBy("start_us").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("n_late").alias("n_late"))
 
 
+def _as_sessions(rows: DataFrame, us: Column, value: str, keys: tuple[str, ...], gap_s: float) -> DataFrame:
+    """(keys, begin_us, end_us, n, total) of rows: their own sessions."""
+    rows = rows.select(*keys, us.alias("end_us"), F.col(value).cast("double").alias("_value"))
+    rows = matching.sessions(rows, "end_us", gap_s * 1_000_000, keys, "begin_us")
+    return rows.groupBy(*keys, "begin_us").agg(F.max("end_us").alias("end_us"), F.count("_value").alias("n"), F.sum("_value").alias("total"))
+
+
+def sessions_and_late(stream: DataFrame, ts: str, value: str, keys: tuple[str, ...], path: str, checkpoint: str, *, gap_s: int, late_s: int = 60, every: str | None = None) -> None:
+    """Sessions of each key (rows no more than ``gap_s`` apart) that close, and the rows that come too late, kept: nothing is dropped.
+
+    A session closes when the latest time of all batches so far is ``gap_s + late_s`` past
+    its last row; rows ``late_s`` or more before the latest time of the batches before are late.
+    Rows of a batch are first made sessions of their own, by chunks of time, so a hot key is
+    no single task; these are merged with the open ones. Tables and restarts are as
+    with windows_and_late: ``closed/<batch>``, ``late/<batch>`` and the state ``open/<batch>``.
+    Rows without a time are dropped; null keys are a key.
+    """
+    spark = stream.sparkSession
+    gap, late = gap_s * 1_000_000, late_s * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    kinds = "".join(f"`{c}` {stream.schema[c].dataType.simpleString()}, " for c in keys)
+    state = f"{kinds}begin_us long, end_us long, n long, total double, latest long"
+
+    def refresh(batch: DataFrame, k: int) -> None:
+        held = spark.read.schema(state).parquet(f"{path}/open/{k - 1}") if k else spark.createDataFrame([], state)
+        before = held.agg(F.max("latest")).first()[0]
+        rows = batch.where(F.col(ts).isNotNull())
+        past = F.lit(False) if before is None else us + late <= before
+        rows.where(past).write.mode("overwrite").parquet(f"{path}/late/{k}")
+        rows = rows.where(~past)
+        new = _as_sessions(rows, us, value, keys, gap_s)
+        merged = matching.merged_spans(new.unionByName(held.drop("latest")), "begin_us", "end_us", gap, keys, ("n", "total"))
+        merged.write.mode("overwrite").parquet(f"{path}/all/{k}")
+        merged = spark.read.schema(merged.schema).parquet(f"{path}/all/{k}")
+        # the newest row is in an open session or in a new one; late rows are never the newest
+        now = merged.agg(F.max(F.greatest("end_us", F.lit(before).cast("long")))).first()[0]
+        now = before if now is None else now
+        done = F.col("end_us") + gap + late <= F.lit(now).cast("long")
+        merged.where(done).write.mode("overwrite").parquet(f"{path}/closed/{k}")
+        # a row of no session carries the latest time on
+        mark = spark.createDataFrame([(*[None] * (len(keys) + 4), now)] if now is not None else [], state)
+        merged.where(~done).withColumn("latest", F.lit(now).cast("long")).unionByName(mark).write.mode("overwrite").parquet(f"{path}/open/{k}")
+        delete(spark, f"{path}/all/{k}")
+        if k > 1:
+            delete(spark, f"{path}/open/{k - 2}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    writer.start().awaitTermination()
+
+
+def all_sessions(spark: SparkSession, path: str, ts: str, value: str, keys: tuple[str, ...], gap_s: int) -> DataFrame:
+    """(keys, begin_us, end_us, n, total) of what sessions_and_late has so far: closed, open and late rows merged as if none had been late."""
+    parts = [*keys, "begin_us", "end_us", "n", "total"]
+    opened = spark.read.parquet(f"{path}/open/*").withColumn("batch", F.element_at(F.split(F.input_file_name(), "/"), -2).cast("long"))
+    last = F.broadcast(opened.agg(F.max("batch").alias("last")))  # one row
+    opened = opened.join(last).where("batch = last AND begin_us IS NOT NULL").select(*parts)
+    late = _as_sessions(spark.read.parquet(f"{path}/late/*"), F.unix_micros(F.col(ts).cast("timestamp")), value, keys, gap_s)
+    every = spark.read.parquet(f"{path}/closed/*").select(*parts).unionByName(opened).unionByName(late)
+    return matching.merged_spans(every, "begin_us", "end_us", gap_s * 1_000_000, keys, ("n", "total"))
+
+
 def run_to_end(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Works off all that a source has now, batch by batch."""
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()

@@ -135,6 +135,36 @@ def test_pair_distances(spark, chunks):
         matching.pair_distances(got, "n", [1, 1])
 
 
+def test_pair_distances_beyond_many_chunks(spark, monkeypatch):
+    """The last edge spans fifty chunks and more; a row is copied once per edge at most, and tiny edges find no pair."""
+    monkeypatch.setattr(series, "CHUNK_ROWS", 10)
+    values, edges = [random.Random(8).choice([x / 4, 50.0]) for x in range(1000)], [0.0, 1e-300, 0.25, 40.0, 190.0]
+    want = Counter(next((b for b in range(1, len(edges)) if abs(x - y) < edges[b]), 0) for i, x in enumerate(values) for y in values[:i])
+    got = matching.pair_distances(spark.createDataFrame([(v,) for v in values], "v double"), "v", edges)
+    assert {r.bin: r.n for r in got.collect()} == {k: n for k, n in want.items() if k}
+    none = matching.pair_distances(spark.createDataFrame([], "k int, v double"), "v", edges, ("k",))
+    assert none.columns == ["k", "bin", "n"] and not none.collect()
+
+
+@pytest.mark.parametrize("gap", [0, 3])
+def test_merged_spans(spark, chunks, gap):
+    """Intervals inside others, touching ones, equal ones and one over most chunks."""
+    pick = random.Random(gap)
+    rows = [(pick.choice([0, 0, 0, 1, None]), a, a + pick.choice([0, 0, 2, 5, -1]), 1) for a in (pick.randrange(1500) for _ in range(250))]
+    rows += [(0, 700, 1100, 1), (0, 700, 1100, 1), (1, None, 4, 1), (1, 4, None, 1)]
+    want = []
+    for k in (0, 1, None):
+        mine = sorted((a, b) for x, a, b, _ in rows if x == k and None not in (a, b) and a <= b)
+        for a, b in mine:
+            if want and want[-1][0] == k and a - want[-1][2] <= gap:
+                want[-1] = (k, want[-1][1], max(want[-1][2], b), want[-1][3] + 1)
+            else:
+                want.append((k, a, b, 1))
+    df = spark.createDataFrame(rows, "k int, a int, b int, n int")
+    assert _sorted(matching.merged_spans(df, "a", "b", gap, ("k",), ("n",)).collect()) == _sorted(want)
+    assert matching.merged_spans(df.limit(0), "a", "b").collect() == []
+
+
 def test_overlaps(spark):
     """One interval is a thousand times as long as most."""
     pick = random.Random(6)

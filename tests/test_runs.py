@@ -121,6 +121,40 @@ def test_windows_and_late_rows_are_all_rows(spark, tmp_path, restart):
     assert len([x for x in os.listdir(tmp_path / "out/open") if x.isdigit()]) == 2
 
 
+@pytest.mark.parametrize("restart", [False, True])
+def test_sessions_and_late_rows_are_all_rows(spark, tmp_path, restart):
+    """Shuffled files: late rows join, bridge and precede closed sessions, and together they are the sessions of the whole table."""
+    pick = random.Random(3)
+    rows = [(pick.choice([1, 1, 1, 2, None]), pick.randrange(6000), float(i % 7) if i % 5 else None) for i in range(240)]
+    path, shape = str(tmp_path / "in"), "k int, ts timestamp, v double"
+
+    def add(part):
+        for i in range(0, len(part), 60):
+            spark.createDataFrame(part[i : i + 60], "k int, s long, v double").select("k", F.timestamp_seconds("s").alias("ts"), "v").coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        monitor.sessions_and_late(monitor.read_files(spark, path, shape, 1), "ts", "v", ("k",), str(tmp_path / "out"), str(tmp_path / "state"), gap_s=40, late_s=2000)
+
+    add(rows[:120] if restart else rows)
+    run()
+    if restart:
+        add(rows[120:])
+        run()
+    want = []
+    for key in (1, 2, None):
+        for s, v in sorted(((s, v) for k, s, v in rows if k == key), key=lambda r: r[0]):
+            if not want or want[-1][0] != key or s - want[-1][2] > 40:
+                want.append([key, s, s, 0, None])
+            want[-1][2] = s
+            if v is not None:
+                want[-1][3:] = [want[-1][3] + 1, (want[-1][4] or 0.0) + v]
+    got = monitor.all_sessions(spark, str(tmp_path / "out"), "ts", "v", ("k",), 40).collect()
+    assert sorted(([r.k, r.begin_us // 1_000_000, r.end_us // 1_000_000, r.n, r.total] for r in got), key=str) == sorted(want, key=str)
+    assert 0 < spark.read.parquet(str(tmp_path / "out/late/*")).count() < 240
+    assert 0 < spark.read.parquet(str(tmp_path / "out/closed/*")).count()
+    assert len([x for x in os.listdir(tmp_path / "out/open") if x.isdigit()]) == 2
+
+
 def test_points_written_are_read_back(spark, tmp_path):
     got = points.evaluate(tables.points(spark, ((2.0, 0.0), (0.5, 14.1347), (3.0, -2.5))))
     tables.write_points(got, str(tmp_path / "p"))

@@ -75,6 +75,29 @@ def test_series_without_pairs(spark, rows):
     assert series.sign_changes(df, "k", "v").count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-300, 1e300, 3e-9])
+@pytest.mark.parametrize("cells", [4, 4096])
+def test_histogram_in_one_pass_is_the_one_in_two(spark, monkeypatch, cells, scale):
+    """Ranges that grow from batch to batch, edges that part cells, offsets, ties, values that are none."""
+    monkeypatch.setattr(series, "CELLS", cells)
+    pick = np.random.default_rng(cells)
+    for values in (pick.normal(0, 1, 300) ** 3 * scale, pick.integers(-3, 9, 200) * scale, 5e3 * scale + pick.random(50) * scale, np.full(3, scale)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        want = [tuple(r) for r in series.histogram(df, "v", 7).orderBy("bin").collect()]
+        odd = df.union(spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),)], "v double"))
+        assert [tuple(r) for r in series.histogram_once(odd, "v", 7).orderBy("bin").collect()] == want
+    assert series.histogram_once(df.limit(0), "v", 7).collect() == []
+
+
+def test_cells_double_as_the_range_grows():
+    a = series._Cells.of(np.arange(10.0))
+    for top in (1e3, 1e9, -1e12):
+        a = a.with_(series._Cells.of(np.array([top])))
+        assert len(a.i) <= series.CELLS + 1 and (np.diff(a.i) > 0).all()
+        assert (np.floor(np.ldexp(a.least, -a.k)) == a.i).all() and (np.floor(np.ldexp(a.largest, -a.k)) == a.i).all()
+    assert a.n.sum() == 13 and (a.least[0], a.largest[-1]) == (-1e12, 1e9)
+
+
 def test_histogram_is_numpys(spark):
     values = np.random.default_rng(1).normal(size=500).round(3)
     got = series.histogram(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double"), "v", 40).orderBy("bin").collect()
