@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Names and values of the settings (fixed values).
 @dataclass(frozen=True)
 class RunConfig:
     T_max: float = 1000.0
