@@ -535,12 +535,18 @@ SELECT user_id, round(s0 + (half - (c - value)) / value * (s - s0), 3) AS half_s
 def half_of_total(spark, sf_dir):
     """When each user's running total crosses half of it, growing evenly between events; a user whose first event crosses it has no bracket."""
     e = _events(spark, sf_dir).select("user_id", (F.col("us") / 1e6).alias("s"), "value", "event_id")
-    half = e.groupBy("user_id").agg((F.sum("value") / 2).alias("half"))
-    curve = series.previous(series.running_totals(e, "s", "value", "c", ("user_id",), ("event_id",)), "s", ["s"], ("user_id",), then=("event_id",)).join(half, "user_id")
-    at = curve.where((F.col("c") - F.col("value") < F.col("half")) & (F.col("half") <= F.col("c")))
-    line = F.array(F.col("c") - F.col("value") - F.col("half"), F.col("value") / (F.col("s") - F.col("prev_s")))
-    got = roots.row_roots(at.select("user_id", "prev_s", "s", line.alias("line")), "line", "prev_s", "s")
-    return got.select("user_id", F.round("root", 3).alias("half_s"), "ok")
+    curve = series.running_totals(e, "s", "value", "c", ("user_id",), ("event_id",))
+    # half of this very curve's end: another order of summing rounds otherwise and may miss it
+    half = curve.groupBy(F.col("user_id").alias("of")).agg((F.max_by("c", F.struct("s", "event_id")) / 2).alias("half"))
+    curve = series.previous(curve, "s", ["s", "c"], ("user_id",), then=("event_id",)).join(half, F.col("user_id").eqNullSafe(F.col("of")))
+    before = F.coalesce("prev_c", F.lit(0.0))
+    at = curve.where((before < F.col("half")) & (F.col("half") <= F.col("c")) & (F.abs("c") < float("inf")))
+    # by the share of the way from event to event, which may be of one time; rounding never puts the line's end below nought
+    need = F.col("half") - before
+    line = F.array(-need, F.greatest("value", need)).alias("line")
+    share = at.select("user_id", "prev_s", "s", line, F.when(F.col("prev_s").isNotNull(), 0.0).alias("low"), F.lit(1.0).alias("high"))
+    got = roots.row_roots(share, "line", "low", "high")
+    return got.select("user_id", F.round(F.col("prev_s") + F.col("root") * (F.col("s") - F.col("prev_s")), 3).alias("half_s"), "ok")
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")

@@ -1,13 +1,14 @@
 import datetime
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from serion.functions import kernel, parse
 from serion.operators import points, scan, series
-from serion.plans import series_queries, zero_queries
+from serion.plans import registry, series_queries, zero_queries
 from serion.sources import config, prompts, tables
 from serion.streaming import monitor
 
@@ -263,3 +264,18 @@ def test_the_whole_zero_table_comes_back(spark):
     assert all(a.t < b.t for a, b in zip(rows, rows[1:], strict=False)) and rows[-1].t < 10_000
     assert [r.t for r in rows[:10]] == pytest.approx(tables.FIRST_ZEROS, abs=1e-9)
     assert sum(r.t <= 1000 for r in rows) == 649
+
+
+def test_half_of_total_between_events_of_one_time(spark, tmp_path):
+    """Copies of an event at one time, an event that ends on the half, a first event beyond it and rows without a user, against the SQL."""
+    day = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    users = {1: [(0, 0.25), (5, 0.5), (5, 0.5), (5, 0.5), (9, 0.25)], 2: [(0, 0.25), (7, 0.75), (90, 0.5), (91, 0.5)], 3: [(0, 9.0), (4, 1.0)], None: [(0, 1.0), (10, 4.0)]}
+    users |= {4: [(k * 1000.5, 0.1) for k in range(10)], 5: [(k * 10.25, 0.7) for k in range(41)]}
+    rows = [(u, day(s), v) for u, each in users.items() for s, v in each]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "event_id long, user_id long, ts timestamp_ntz, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT user_id, half_s, ok FROM ({registry.ORACLES['half_of_total']})").fetchall()
+    got = [tuple(r) for r in series_queries.half_of_total(spark, str(tmp_path)).select("user_id", "half_s", "ok").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 6
