@@ -38,6 +38,8 @@ CHUNK_ROWS = 1_000_000
 MAX_CHUNKS = 4096
 #: Rows of short series that one task of a frame operator takes together.
 GROUP_ROWS = 100_000
+#: Rows that a chunk of a frame operator should hold, in Python and with as many guests (CHUNK_ROWS, if that is less).
+FRAME_ROWS = 200_000
 
 Names = tuple[str, ...]
 
@@ -78,8 +80,9 @@ def _joined(rows: DataFrame, carried: DataFrame, keys: Names) -> DataFrame:
     return rows.join(renamed, _same(rows, renamed, (*keys, "_serion_chunk")), "left").drop(*[f"_of_{k}" for k in (*keys, "_serion_chunk")])
 
 
-def _cut(df: DataFrame, order: str, keys: Names, by: Names = ()) -> _Cut:
-    """Chunks of all long series; by: the columns that order rows of one order value."""
+def _cut(df: DataFrame, order: str, keys: Names, by: Names = (), size: int | None = None) -> _Cut:
+    """Chunks of size (CHUNK_ROWS) rows of all longer series; by: the columns that order rows of one order value."""
+    size = size or CHUNK_ROWS
     if taken := [c for c in df.columns if c.startswith("_serion_")]:
         raise ValueError(f"reserved column names: {taken}")
     df = df.where(F.col(order).isNotNull())
@@ -88,8 +91,8 @@ def _cut(df: DataFrame, order: str, keys: Names, by: Names = ()) -> _Cut:
     if keys:
         sizes = df.groupBy(*keys).agg(F.count("*").alias("_serion_n"), F.max(order).alias("_serion_top"))
         one = F.struct(*keys, "_serion_n", "_serion_top")
-        # one row; total / CHUNK_ROWS keys at most are long
-        got = sizes.agg(F.coalesce(F.sum("_serion_n"), F.lit(0)).alias("total"), F.collect_list(F.when(F.col("_serion_n") > CHUNK_ROWS, one)).alias("long")).first()
+        # one row; total / size keys at most are long
+        got = sizes.agg(F.coalesce(F.sum("_serion_n"), F.lit(0)).alias("total"), F.collect_list(F.when(F.col("_serion_n") > size, one)).alias("long")).first()
         total, rows = got.total, sum(r._serion_n for r in got.long)
         if not rows:
             return _Cut(plain, lambda x: F.lit(0), False, total, None)
@@ -97,15 +100,15 @@ def _cut(df: DataFrame, order: str, keys: Names, by: Names = ()) -> _Cut:
         top = long.drop("_serion_n")
         known = F.broadcast(long.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.lit(True).alias("_serion_is_long")))
         marked = df.join(known, _same(df, known, keys), "left").withColumn("_serion_long", F.coalesce("_serion_is_long", F.lit(False))).drop("_serion_is_long", *[f"_of_{k}" for k in keys])
-        n = min(MAX_CHUNKS, -(-rows // CHUNK_ROWS))
+        n = min(MAX_CHUNKS, -(-rows // size))
         found = marked.where("_serion_long").agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 10 * n).alias("cuts")).first().cuts
     else:
         shares = [k / MAX_CHUNKS for k in range(1, MAX_CHUNKS)]
         got = df.agg(F.count("*").alias("n"), F.max(order).alias("_serion_top"), F.percentile_approx(order, shares, 10 * MAX_CHUNKS).alias("cuts")).first()
         total = rows = got.n
-        if total <= CHUNK_ROWS:
+        if total <= size:
             return _Cut(plain, lambda x: F.lit(0), False, total, None)
-        n = min(MAX_CHUNKS, -(-rows // CHUNK_ROWS))
+        n = min(MAX_CHUNKS, -(-rows // size))
         found = [got.cuts[k * MAX_CHUNKS // n - 1] for k in range(1, n)]
         top = df.sparkSession.createDataFrame([(got._serion_top,)], df.select(F.col(order).alias("_serion_top")).schema)
     cuts = found or []
@@ -308,7 +311,7 @@ def clipped_stats(df: DataFrame, seconds: str, value: str, keys: Names, span: fl
     frame; what lies between the two is one total per chunk. Rows of one second are one
     chunk.
     """
-    cut = _cut(df, seconds, keys)
+    cut = _cut(df, seconds, keys, size=min(CHUNK_ROWS, FRAME_ROWS))
     kind = df.schema[seconds].dataType
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-cut.total // GROUP_ROWS)))) if keys else F.lit(0)

@@ -234,3 +234,17 @@ def test_overlaps_copy_only_rows_that_can_meet(spark):
     assert moved < 500
     none = matching.overlaps(left, right.where("false"), "a", "b", "c", "d", ("k",))
     assert none.columns == ["k", "x", "a", "b", "y", "c", "d"] and none.count() == 0
+
+
+def test_frames_hold_few_rows_in_python(spark, monkeypatch):
+    """A frame operator cuts series that other operators leave whole, by the rows that it may hold in Python."""
+    monkeypatch.setattr(series, "FRAME_ROWS", 50)
+    cuts, cut = [], series._cut
+    monkeypatch.setattr(series, "_cut", lambda *a, **k: cuts.append(cut(*a, **k)) or cuts[-1])
+    df = spark.range(1000).selectExpr("id % 2 AS k", "id * 7 % 1000 AS o", "cast(id % 13 AS double) AS v")
+    rows = df.collect()
+    for keys in ((), ("k",)):
+        got = {(r.k, r.o): (r.n, r.total) for r in series.clipped_stats(df, "o", "v", keys, 300).collect()}
+        frame = lambda r, keys=keys: [x.v for x in rows if r.o - 300 <= x.o <= r.o and (not keys or x.k == r.k)]
+        assert got == {(r.k, r.o): (len(frame(r)), sum(frame(r))) for r in rows}
+        assert max(r["count"] for r in cuts[-1].rows.groupBy(*keys, "_serion_chunk").count().collect()) <= 60
