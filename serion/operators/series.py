@@ -50,10 +50,12 @@ class _Cut(NamedTuple):
     many: bool
     total: int
     top: DataFrame | None  # the largest order value of each long series
+    borders: tuple = ()  # least order values of all chunks but the first, where order values alone tell the chunk
 
 
-def _below(borders: list, x: Column) -> Column:
-    """How many of the sorted borders are not above x, by halving."""
+def _below(borders: list, x: Column, under: Callable[[Column], Column] | None = None) -> Column:
+    """How many of the sorted borders are not above x (or: under holds, for the first ones of all only), by halving."""
+    under = under or (lambda border: border <= x)
     steps, n = [], 1
     while n <= len(borders):
         steps.insert(0, n)
@@ -61,7 +63,7 @@ def _below(borders: list, x: Column) -> Column:
     cuts = F.array(*[F.lit(c) for c in borders])
 
     def go(at: Column, step: Column) -> Column:
-        return F.when((at + step <= len(borders)) & (F.element_at(cuts, F.least(at + step, F.lit(len(borders)))) <= x), at + step).otherwise(at)
+        return F.when((at + step <= len(borders)) & (under(F.element_at(cuts, F.least(at + step, F.lit(len(borders)))))), at + step).otherwise(at)
 
     return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), go)
 
@@ -122,7 +124,7 @@ def _cut(df: DataFrame, order: str, keys: Names, by: Names = (), size: int | Non
     if not borders:
         return _Cut(plain, lambda x: F.lit(0), False, total, None)
     chunk = lambda x: F.when(F.col("_serion_long"), _below(borders, x)).otherwise(F.lit(0))
-    return _Cut(marked.withColumn("_serion_chunk", chunk(F.col(order))), chunk, True, total, top)
+    return _Cut(marked.withColumn("_serion_chunk", chunk(F.col(order))), chunk, True, total, top, tuple(borders))
 
 
 def _window(keys: Names, order: Names):

@@ -148,10 +148,14 @@ def every_hundredth(spark, sf_dir):
     return series.ranked(o, "o_orderkey", keys=("o_orderpriority",)).where("n % 100 = 0")
 
 
+def _two_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("t"))
+    return left, table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("t_ref"))
+
+
 def _two_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    left = series.ranked(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("t")), "o_orderkey")
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("t_ref"))
-    return left, series.ranked(sums, "l_orderkey")
+    left, right = _two_values(spark, sf_dir)
+    return series.ranked(left, "o_orderkey"), series.ranked(right, "l_orderkey")
 
 
 _TWO_SQL = """
@@ -461,7 +465,7 @@ s AS (SELECT DISTINCT run, 1 AS i, 1 AS j, ''::VARCHAR AS kind, NULL::DOUBLE AS
 SELECT kind, t, t_ref FROM s WHERE kind <> ''""")
 def matched_one_to_one(spark, sf_dir):
     """Order prices and sums of their lines paired one to one within 5, in order, and what either side has alone."""
-    left, right = _two_series(spark, sf_dir)
+    left, right = _two_values(spark, sf_dir)
     return matching.matched(left, right, "t", "t_ref", 5.0)
 
 

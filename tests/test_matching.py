@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from serion.operators import matching, roots, series
 
@@ -122,6 +123,42 @@ def test_one_to_one(spark, chunks, seed):
     assert matching.matched(df([], "t"), df([1.0], "r"), "t", "r", 1.5).collect() == [("extra", None, 1.0)]
 
 
+@pytest.mark.parametrize("tolerance", [1e-3, 3.0, 70.0, float("inf"), 0.0])
+def test_one_to_one_over_chunks(spark, monkeypatch, tolerance):
+    """Tolerances of no chunk, of some and of all, values of very many copies; what is not finite stays alone, as in the SQL."""
+    monkeypatch.setattr(series, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(matching, "COPIES", 7)
+    pick = random.Random(9)
+    left, right = ([pick.choice([pick.gauss(0, 40), pick.gauss(90, 1), float(pick.randrange(9)), 50.0, -0.5, None]) for _ in range(300)] for _ in range(2))
+    odd = [float("inf"), float("inf"), float("-inf"), float("nan")]
+    want = _pairs(left, right, tolerance) + [("missing", v, None) for v in odd] + [("extra", None, v) for v in odd]
+    df = lambda x, c: spark.createDataFrame([(v,) for v in x], f"{c} double")
+    got = matching.matched(df(left + odd, "t"), df(right + odd, "r"), "t", "r", tolerance)
+    assert str(_sorted(got.collect())) == str(_sorted(want))  # NaN equals nothing
+
+
+def test_one_to_one_without_any_gap(spark, monkeypatch):
+    """All neighbours are near, so nothing parts the series: yet no chunk has many rows, and no task most of the result."""
+    monkeypatch.setattr(series, "CHUNK_ROWS", 64)
+    pick = random.Random(1)
+    left, right = ([pick.uniform(0, 100) for _ in range(800)] for _ in range(2))
+    df = lambda x, c: spark.createDataFrame([(v,) for v in x], f"{c} double")
+    plain = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in plain}
+    try:
+        for name, x in plain.items():
+            spark.conf.set(name, x)
+        got = matching.matched(df(left, "t"), df(right, "r"), "t", "r", 5.0)
+        rows = got.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, x in before.items():
+            spark.conf.set(name, x)
+    assert _sorted(tuple(r)[:3] for r in rows) == _sorted(_pairs(left, right, 5.0))
+    assert max(Counter(r.task for r in rows).values()) < len(rows) / 2
+    parts = spark.read.parquet(*got.inputFiles()).groupBy("_part").count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) <= 2 * 64
+
+
 def test_pair_distances(spark, chunks):
     rows, edges = [(k, s) for k, s, _ in _rows(5, 250)], [0, 1, 5, 60, 200]
     want = Counter()
