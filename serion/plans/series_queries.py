@@ -486,7 +486,7 @@ _SPANS_SQL = "SELECT l_orderkey, l_linenumber, l_suppkey, epoch_us(o_orderdate)
 
 
 @query(f"""
-WITH s AS ({_SPANS_SQL}), u AS (SELECT user_id % 10 + 1 AS l_suppkey, event_id, epoch_us(ts - INTERVAL '26 years') // 86400000000 AS e1, epoch_us(ts - INTERVAL '26 years') // 86400000000 + floor(value)::BIGINT % 3 + CASE WHEN event_id % 1000 = 0 THEN 1000 ELSE 0 END AS e2 FROM events WHERE event_id % 4 = 0)
+WITH s AS ({_SPANS_SQL}), u AS (SELECT user_id % 10 + 1 AS l_suppkey, event_id, epoch_us(ts - INTERVAL '26 years') // 86400000000 AS e1, epoch_us(ts - INTERVAL '26 years') // 86400000000 + floor(value)::BIGINT % 3 + CASE WHEN event_id % 1000 = 0 THEN 1000 ELSE 0 END AS e2 FROM events)
 SELECT l_orderkey, l_linenumber, event_id FROM s JOIN u ON s.l_suppkey = u.l_suppkey AND s.d1 <= u.e2 AND u.e1 <= s.d2""")
 def overlapping_spans(spark, sf_dir):
     """Lines of orders on their way while a campaign of their supplier runs; one campaign in a thousand is very long."""
@@ -494,7 +494,7 @@ def overlapping_spans(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     shipped = F.expr("cast(floor(unix_micros(cast(l_shipdate as timestamp)) / 86400000000) as bigint)")
     lines = lines.select("l_orderkey", "l_linenumber", "l_suppkey", "d1", F.greatest(shipped, F.col("d1")).alias("d2"))
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    e = table(spark, sf_dir, "events")
     first = F.expr("cast(floor(unix_micros(cast(ts - interval '26' year as timestamp)) / 86400000000) as bigint)")
     runs = F.floor("value") % 3 + F.when(F.col("event_id") % 1000 == 0, 1000).otherwise(0)
     e = e.select((F.col("user_id") % 10 + 1).alias("l_suppkey"), "event_id", first.alias("e1"), (first + runs).alias("e2"))

@@ -273,6 +273,19 @@ def test_overlaps_copy_only_rows_that_can_meet(spark):
     assert none.columns == ["k", "x", "a", "b", "y", "c", "d"] and none.count() == 0
 
 
+def test_overlaps_send_only_few_copies(spark, monkeypatch):
+    """Files of few rows are not sent to all tasks if these make many copies."""
+    left = spark.createDataFrame([(i, i % 3, i, i + 2 ** (i % 9)) for i in range(60)], "x int, k int, a long, b long")
+    right = spark.createDataFrame([(i, i % 4, i, i + 2 ** (i % 8)) for i in range(60)], "y int, k int, c long, d long")
+    want = [(r.x, q.y) for r in left.collect() for q in right.collect() if r.k == q.k and r.a <= q.d and q.c <= r.b]
+    for most, sent in ((5000, True), (50, False)):
+        monkeypatch.setattr(matching, "BROADCAST_COPIES", most, raising=False)
+        for one, other, names in ((left, right, ("a", "b", "c", "d")), (right, left.where("x < 40"), ("c", "d", "a", "b"))):
+            got = matching.overlaps(one, other, *names, ("k",))
+            assert ("SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()) == sent
+            assert _sorted(got.select("x", "y").collect()) == _sorted([w for w in want if one is left or w[0] < 40])
+
+
 def test_frames_hold_few_rows_in_python(spark, monkeypatch):
     """A frame operator cuts series that other operators leave whole, by the rows that it may hold in Python."""
     monkeypatch.setattr(series, "FRAME_ROWS", 50)

@@ -42,6 +42,19 @@ def test_query(spark, duck, name):
     assert got == _sorted(tuple(_plain(x[at[c]]) for c in names) for x in r.fetchall())
 
 
+def test_campaigns_of_all_events(spark, duck):
+    """Every event is a campaign, whatever its number."""
+    day = lambda ts: f"epoch_us({ts}) // 86400000000"
+    lines = duck.execute(f"SELECT l_orderkey, l_linenumber, l_suppkey, {day('o_orderdate')}, greatest({day('l_shipdate')}, {day('o_orderdate')}) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()
+    events = duck.execute(f"SELECT event_id, user_id % 10 + 1, {day('ts - INTERVAL 26 YEARS')}, value FROM events").fetchall()
+    want = []
+    for i, supplier, first, value in events:
+        last = first + math.floor(value) % 3 + (1000 if i % 1000 == 0 else 0)
+        want += [(o, n, i) for o, n, s, a, b in lines if s == supplier and a <= last and first <= b]
+    assert {i % 4 for _, _, i in want} == {0, 1, 2, 3}
+    assert sorted(map(tuple, catalog.QUERIES["overlapping_spans"](spark, SF).collect())) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
