@@ -178,6 +178,19 @@ def running_totals(df: DataFrame, order: str, value: str, name: str = "running",
     return out.drop("_serion_chunk", "_serion_long")
 
 
+def largest_before(df: DataFrame, order: str, value: str, name: str, keys: Names = (), then: Names = ()) -> DataFrame:
+    """df and the largest value of the rows before each (nulls do not count; null where none before has a value)."""
+    by = (order, *then, *[c for c in (value,) if c not in (order, *then)])
+    cut = _cut(df, order, keys, by[1:] or (order,))
+    out = cut.rows.withColumn(name, F.max(value).over(_window(keys, by).rowsBetween(Window.unboundedPreceding, -1)))
+    if cut.many:
+        largest = cut.rows.where("_serion_long").groupBy(*keys, "_serion_chunk").agg(F.max(value).alias("_serion_largest"))
+        before = Window.partitionBy(*keys).orderBy("_serion_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+        out = _joined(out, largest.select(*keys, "_serion_chunk", F.max("_serion_largest").over(before).alias("_serion_before")), keys)
+        out = out.withColumn(name, F.greatest(name, "_serion_before")).drop("_serion_before")
+    return out.drop("_serion_chunk", "_serion_long")
+
+
 def gaps(df: DataFrame, order: str, keys: tuple[str, ...] = (), name: str = "gap") -> DataFrame:
     """First differences of the order column; the first row of a series has none and is dropped."""
     out = previous(df, order, [order], keys, "_prev_")

@@ -443,10 +443,10 @@ WITH s AS ({_WAY_SQL}), b AS (SELECT *, max(d2) OVER (PARTITION BY l_suppkey ORD
 g AS (SELECT *, sum((before IS NULL OR d1 - before > 1)::INT) OVER (PARTITION BY l_suppkey ORDER BY d1, d2 ROWS UNBOUNDED PRECEDING) AS k FROM b)
 SELECT l_suppkey, min(d1) AS d1, max(d2) AS d2, count(*) AS lines FROM g GROUP BY l_suppkey, k""")
 def busy_spans(spark, sf_dir):
-    """Days without a break in which a supplier has lines on their way (each for nought to four days)."""
-    shipped = F.expr("cast(floor(unix_micros(cast(l_shipdate as timestamp)) / 86400000000) as bigint)")
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", shipped.alias("d1"), (shipped + F.col("l_quantity").cast("long") % 5).alias("d2"), F.lit(1).alias("lines"))
-    return matching.merged_spans(lines, "d1", "d2", 1, ("l_suppkey",), ("lines",))
+    """Days without a break in which a supplier has lines on their way (each for nought to four days); lines without a day or a quantity count, too."""
+    shipped = F.expr("unix_micros(cast(l_shipdate as timestamp)) div 86400000000")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", shipped.alias("d1"), (shipped + F.rint("l_quantity").cast("long") % 5).alias("d2"), F.lit(1).alias("lines"))
+    return matching.merged_spans(lines, "d1", "d2", 1, ("l_suppkey",), ("lines",), every=True)
 
 
 _PAIR_SQL = """

@@ -202,6 +202,26 @@ def test_merged_spans(spark, chunks, gap):
     assert matching.merged_spans(df.limit(0), "a", "b").collect() == []
 
 
+def test_merged_spans_of_every_row(spark, chunks):
+    """Nulls and ends before starts are rows like others, which a walk in order meets; one key has no end at all."""
+    pick = random.Random(9)
+    rows = [(pick.choice([0, 0, None]), a, None if pick.random() < 0.1 else a + pick.choice([0, 2, -1, -6]), 1) for a in (pick.randrange(900) for _ in range(250))]
+    rows += [(0, None, None, 1), (0, None, 950, 1), (0, -9, None, 1), (0, -9, None, 1), *[(2, a, None, 1) for a in (5, 5, None, None)]]
+    want = []
+    for k in (0, 2, None):
+        reach, mine = None, sorted(((a, b) for x, a, b, _ in rows if x == k), key=lambda r: [y for x in r for y in (x is None, x or 0)])
+        for at, (a, b) in enumerate(mine):
+            if at and reach is not None and (a is None or a - reach <= 3):
+                ends = [x for x in (want[-1][2], b) if x is not None]
+                want[-1] = (k, want[-1][1], max(ends, default=None), want[-1][3] + 1)
+            else:
+                want.append((k, a, b, 1))
+            reach = b if reach is None or b is not None and b > reach else reach
+    df = spark.createDataFrame(rows, "k int, a int, b int, n int")
+    assert _sorted(matching.merged_spans(df, "a", "b", 3, ("k",), ("n",), every=True).collect()) == _sorted(want)
+    assert matching.merged_spans(df.limit(0), "a", "b", every=True).collect() == []
+
+
 def test_overlaps(spark):
     """One interval is a thousand times as long as most."""
     pick = random.Random(6)
